@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, secrets
+from . import bpe, chat, decontam, fingerprint, html, langid, neardup, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": html.op1_html_text,
         "op2_language_id": langid.op2_language_id,
+        "op3_decontamination": decontam.op3_decontamination,
+        "op4_jaccard_join": neardup.op4_jaccard_join,
+        "op5_chat_format": chat.op5_chat_format,
+        "op6_weighted_fingerprint": fingerprint.op6_weighted_fingerprint,
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_byte_bpe": bpe.op9_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_format": chat.OP5_SQL}

@@ -20,6 +20,8 @@ an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -32,6 +34,7 @@ BLANK, OTHER, FIRST = 0, 1, 2
 UNKNOWN = "und"
 
 
+@lru_cache(2)
 def _classes(letters: str) -> np.ndarray:
     """Code point to symbol: blank, other letter, or one of ``letters``."""
     of = np.zeros(0x110000, np.uint8)
