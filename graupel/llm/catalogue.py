@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, fingerprint, html, langid, neardup, secrets
+from . import bpe, chat, decontam, fingerprint, html, langid, neardup, secrets, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_weighted_fingerprint": fingerprint.op6_weighted_fingerprint,
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_byte_bpe": bpe.op9_byte_bpe,
+        "op10_suffix_dedup": suffix.op10_suffix_dedup,
     }
 
 
