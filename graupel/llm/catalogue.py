@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, fingerprint, html, langid, neardup, secrets, suffix
+from . import bpe, chat, decontam, fingerprint, html, katz, langid, neardup, secrets, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_jaccard_join": neardup.op4_jaccard_join,
         "op5_chat_format": chat.op5_chat_format,
         "op6_weighted_fingerprint": fingerprint.op6_weighted_fingerprint,
+        "op7_katz_score": katz.op7_katz_score,
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_byte_bpe": bpe.op9_byte_bpe,
         "op10_suffix_dedup": suffix.op10_suffix_dedup,
