@@ -181,28 +181,29 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", into: s
     return df.withColumn(into, joined(F.col(ids_col)))
 
 
-def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``encode`` and ``decode`` in one pass that ships digests and not arrays:
-    n_tokens, the digest of the ids and the digest of the bytes that the ids
-    decode to."""
+def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``encode`` and ``decode`` in one pass: n_tokens, the digest of the ids,
+    the digest of the bytes that the ids decode to, and the ids if asked for."""
     shared = _Shared(df.sparkSession, ranks)
 
     def run(batches):
         split, words = splitter(pattern), _words(shared)
         pieces = {str(v): k for k, v in shared.value.items()}.__getitem__
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, c = [], [], [], []
             for text in batch.column(1).to_pylist():
                 said = ",".join(map(words.__getitem__, split(text or "")))
                 ids = said.split(",") if said else []
                 n.append(len(ids))
                 a.append(hashlib.sha256(said.encode()).hexdigest())
                 b.append(hashlib.sha256(b"".join(map(pieces, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                c.append([*map(int, ids)] if with_ids else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.list_(pa.int32()))], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
     cut = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return cut.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    out = cut.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>").withColumnRenamed("id", id_col)
+    return out if with_ids else out.drop("ids")
 
 
 def public_ranks(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[bytes, int], str]:

@@ -245,6 +245,21 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no segment of any item."""
+    at = docs.columns.index(text_col)
+    for ix in blocks(items, item_col, item_text_col):
+        shared = docs.sparkSession.sparkContext.broadcast(ix)
+
+        def run(batches, shared=shared):
+            ix = shared.value
+            for batch in batches:
+                yield batch.filter(pa.array([not t or not matches(t, ix) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

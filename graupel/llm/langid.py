@@ -5,8 +5,8 @@ characters one blank).  For each language a model of order ``ORDER`` is
 estimated from n-gram counts and kept, all languages together, in sorted
 arrays of packed n-grams with one column of log-probabilities a language and
 one of back-off weights.  A text gets the language of lowest cross-entropy,
-normalised by its length; a text whose best cross-entropy lies beyond what
-labelled texts of that language show is rejected.
+normalised by its length; a text whose best model fits it no better than that
+model fits labelled texts of other languages is rejected.
 
 Training takes at most about ``per_lang`` texts a language, chosen by a hash of
 their id (a documented bound: a classifier may be fitted on a sample); the
@@ -163,11 +163,12 @@ def labelled(learn: Column, lang: str) -> Column:
     return learn & F.col(lang).isNotNull()
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, order: int = ORDER, tolerance: float = 8.0) -> Model:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, order: int = ORDER, tolerance: float = 4.0) -> Model:
     """A model of all languages of ``df`` from about ``per_lang`` hashed texts
-    each.  A fifth of them isn't counted but calibrates the score's scale and,
-    with ``tolerance`` standard deviations, the cross-entropy beyond which a
-    text is rejected."""
+    each.  A fifth of them isn't counted but calibrates the score's scale and
+    the cross-entropy beyond which a text is rejected: where the model fits it
+    no better than it fits texts of other languages, with ``tolerance``
+    standard deviations more for short texts."""
     spark = df.sparkSession
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(7)).alias("h")).where("lang is not null and text is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
@@ -232,7 +233,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         model.scale = float(scales[int(np.argmin(loss))])
         for k in range(len(model.langs)):
             mine = own[true == k] if (true == k).sum() >= 5 else own
-            model.limits[k] = np.median(mine), tolerance * max(float(mine.std()), 0.05)
+            slack = tolerance * max(float(mine.std()), 0.05)
+            foreign = h[true != k, k]
+            far = float(np.median(foreign)) if len(foreign) >= 5 else float(np.median(mine)) + 5 * slack
+            model.limits[k] = max(far, float(np.median(mine)) + slack) - slack, slack
     shared.unpersist()
     return model
 

@@ -239,6 +239,14 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return out.select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links", "group_id")
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of linked texts, all columns: that of the least
+    id (of the texts with that id, the least digest; of equal rows, one)."""
+    named = df.withColumn("__row", F.struct(F.col(id_col).alias("id"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")).alias("digest")))
+    best = link(named, "__row", text_col).where(F.col("__row") == F.col("group_id")).select("__row").distinct()
+    return named.join(best.withColumnRenamed("__row", "__best"), F.col("__row") == F.col("__best"), "left_semi").dropDuplicates(["__row"]).drop("__row")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: class, links and group of each."""
     return link(table(spark, sf_dir, "documents"))

@@ -332,6 +332,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     found = written(long.select("key", "text").mapInArrow(_anchored, "key binary, anchor long, place long"), "suffix-anchors")
     where = F.xxhash64("key", "place")
     kept = found.groupBy("anchor").agg(F.min(where).alias("low"), F.max(where).alias("high"), F.count("*").alias("n")).where("low < high").select(F.col("anchor").alias("a"), "n")
+    kept = written(kept, "suffix-repeated")  # a join of two plain exchanges: a frequent anchor's rows can be split
     wanted = found.select("key", "anchor").join(kept, F.col("anchor") == F.col("a")).groupBy("key").agg(
         F.collect_set(F.when(F.col("n") <= group, F.col("anchor"))).alias("few"), F.collect_set(F.when(F.col("n") > group, F.col("anchor"))).alias("many")
     )
