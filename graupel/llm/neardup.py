@@ -7,8 +7,8 @@ Jaccard similarity of their sets is 0.8 or more.
 2. A one-permutation MinHash signature of 512 values (empty bins filled from a
    random non-empty one) gives 73 band keys of 7 values.  Classes that share a
    band key are candidates: a linked pair is missed with probability
-   (1 - 0.8^7)^73 < 4e-8.  A bucket yields edges to its least member, not
-   pairs, so its cost grows with its members.
+   (1 - 0.8^7)^73 < 4e-8.  A bucket yields edges between neighbours in the
+   order of its members, not pairs, so its cost grows with its members.
 3. Within the components of these edges the pairs' signatures are compared 32
    values at a time; a pair is dropped as soon as the posterior probability
    (uniform prior) of reaching the threshold is below ``TOLERANCE``, and what is
@@ -42,6 +42,8 @@ ROWS, BANDS = 7, 73
 STEP = 32
 TOLERANCE = 1e-9
 BLOCK = 512
+#: Members whose ids are broadcast to the scan of their texts (16 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: The threshold as a fraction: links have NUM / DEN or more.
 NUM, DEN = 4, 5
 
@@ -198,6 +200,42 @@ def _verified(group: pa.Table) -> pa.Table:
     return pa.table({"cid": cid, "links": links.astype(np.int64), "root": cid[root]})
 
 
+def _chained(batches):
+    """Edges between neighbours of the same band in rows sorted by (band, cid);
+    the first and last row of the partition go along with their band, to be
+    linked with other partitions' rows."""
+    last = None
+
+    def row(u, v, band):
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(band, pa.int64())], ["u", "v", "band"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        cid, band = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if last is None:
+            yield row([cid[0]], [None], [band[0]])
+        else:
+            cid, band = np.append(last[0], cid), np.append(last[1], band)
+        same = (band[1:] == band[:-1]) & (cid[1:] != cid[:-1])
+        u, v = cid[1:][same], cid[:-1][same]
+        yield row(u, v, [None] * len(u))
+        last = cid[-1], band[-1]
+    if last is not None:
+        yield row([last[0]], [None], [last[1]])
+
+
+def _bucket_edges(bands: DataFrame) -> DataFrame:
+    """Edges (u, v) that hold each bucket's members together: rows are dealt by
+    ranges of (band, cid), so a bucket of any size is split over partitions, and
+    each member is tied to the one before it."""
+    n = 2 * partitions(bands.sparkSession)
+    found = written(bands.repartitionByRange(n, "band", "cid").sortWithinPartitions("band", "cid").mapInArrow(_chained, "u long, v long, band long"), "join-edges")
+    seams = found.where("band is not null").select("u", "band")
+    least = seams.groupBy("band").agg(F.min("u").alias("v"))
+    return found.where("band is null").select("u", "v").unionByName(seams.join(least, "band").where("u <> v").select("u", "v"))
+
+
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: id, class_id (least id of the texts with the
     same words), n_copies (size of the class), n_links (other classes that are
@@ -210,16 +248,16 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     classes = rows.groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"), F.first("cid").alias("cid"))
     classes = written(classes, "join-classes")
 
-    # one row of each class goes on: equal rows have equal bands, so hashing drops them early
-    bands = rows.where("bands is not null").select("cid", "bands").dropDuplicates(["cid"]).mapInArrow(_unpacked, "cid long, band long")
-    buckets = bands.groupBy("band").agg(F.min("cid").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"), "least")
-    star = bands.join(buckets, F.col("band") == F.col("b")).where("cid <> least").select(F.col("cid").alias("u"), F.col("least").alias("v"))
-    parts = components(star)
+    bands = rows.where("bands is not null").select("cid", "bands").mapInArrow(_unpacked, "cid long, band long")
+    parts = components(_bucket_edges(bands))
     sizes = parts.groupBy("label").agg(F.count("*").alias("size"))
     members = parts.join(sizes, "label").select(F.col("node").alias("cid"), "label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     members = written(members.join(classes.select("cid", "class_id"), "cid"), "join-members")
 
-    texts = cut.join(members.select(F.col("class_id").alias("id"), "cid"), "id").select("text", "cid").mapInArrow(_sets, "cid long, sh binary")
+    own = members.select(F.col("class_id").alias("id"), "cid")
+    if own.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        own = F.broadcast(own)
+    texts = cut.join(own, "id").select("text", "cid").mapInArrow(_sets, "cid long, sh binary")
     dealt = texts.dropDuplicates(["cid"]).join(members.select("cid", "label", "blocks"), "cid")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
