@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 # Fixed value: keys whose values aren't logged.
 REDACTED = ("authorization", "cookie", "set-cookie", "password", "token", "secret")
@@ -21,7 +22,7 @@ def _kept(value):
     return ...
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sanitised(contexts: pd.Series) -> pd.Series:
     """A JSON object without nested values; null for anything else."""
 
