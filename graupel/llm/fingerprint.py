@@ -2,14 +2,14 @@
 operations only.
 
 A document is a weighted set: its lower-case words (split at white space) with
-their counts.  Each of ``SAMPLES`` samples draws for a word of weight S, from a
-hash of the word and the sample's number, r and c of Gamma(2, 1) and b of
+their counts.  Each of ``SAMPLES`` samples draws for a word of weight S, from
+hashes of the word and the sample's number, r and c of Gamma(2, 1) and b of
 U(0, 1); with t = floor(ln S / r + b) it keeps the word of the least
 ln c - r (t - b + 1), together with t.  Two documents keep the same (word, t)
 with probability equal to the generalised Jaccard similarity of their weights.
-The gamma draws come from tables of the inverse distribution with linear
-interpolation, the lowest 1/64 of c's from finer tables, so the samples cost
-look-ups in generated code and no logarithm.
+
+Rows stay where they are between the shuffle that puts documents in order and
+the result: words are exploded, counted and sampled within the partition.
 
 Cases: null texts count as empty; a text without words has the empty
 fingerprint, which is like itself (1) and unlike any other (0); repeated rows
@@ -20,90 +20,47 @@ table; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import partitions, table
 
-SAMPLES = 64
-CELLS = 64
-SCALE_BITS = 28
-
-
-def _gamma2_quantile(u: float) -> float:
-    """Inverse of the distribution 1 - (1 + x) exp(-x), by bisection."""
-    lo, hi = 0.0, 60.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if -math.expm1(-mid) - mid * math.exp(-mid) < u else (lo, mid)
-    return (lo + hi) / 2
-
-
-def _cells(least: float, most: float, of) -> tuple[Column, Column]:
-    """Table of ``of`` at the borders of equal cells between two quantiles, and
-    of its rise in each cell."""
-    at = [of(least + (most - least) * i / CELLS) for i in range(CELLS + 1)]
-    rise = [b - a for a, b in zip(at, at[1:])]
-    text = lambda v: F.expr(f"cast(split('{' '.join(f'{x:.7g}' for x in v)}', ' ') as array<double>)")
-    return text(at[:-1]), text(rise)
-
-
-def _draw(bits: Column, levels: int, of) -> Column:
-    """A draw of ``of``'s distribution from ``bits``: 6 bits choose a cell, or
-    in the lowest cell a finer table; 10 bits interpolate."""
-    mask = F.lit(CELLS - 1)
-    frac = bits.bitwiseAND(F.lit(1023)).cast("double") / 1024.0
-    out = None
-    for level in reversed(range(levels)):
-        cell = F.shiftrightunsigned(bits, 10 + 6 * level).bitwiseAND(mask).cast("int")
-        low = 1e-9 if level == levels - 1 else 0.0
-        most = float(CELLS) ** -level
-        at, rise = _cells(max(low, 1e-9), most, of)
-        here = F.get(at, cell) + frac * F.get(rise, cell)
-        out = here if out is None else F.when(cell == 0, out).otherwise(here)
-    return out
+#: Samples of a fingerprint: the likeness of two has a standard error of at most 0.5 / sqrt(SAMPLES).
+SAMPLES = 24
+NAME_BITS = 28
+
+
+def _uniform(h: Column, shift: int, bits: int) -> Column:
+    """A number in (0, 1) from some bits of a hash."""
+    part = F.shiftrightunsigned(h, shift) if shift + bits == 64 else F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1))
+    return (part.cast("double") + 0.5) * 2.0**-bits
 
 
 def _samples(term: Column, log_weight: Column) -> list[Column]:
     """For each sample the word's candidate: an order-preserving number of its
     value in the high bits, an identity of (word, t) in the low ones."""
     out = []
-    quantile = lambda u: _gamma2_quantile(min(u, 1 - 1e-7))
     for k in range(SAMPLES):
-        h = F.xxhash64(term, F.lit(k))
-        r = _draw(F.shiftrightunsigned(h, 48), 1, quantile)
-        ln_c = _draw(F.shiftrightunsigned(h, 20), 3, lambda u: math.log(quantile(u)))
-        b = h.bitwiseAND(F.lit((1 << 20) - 1)).cast("double") / float(1 << 20)
+        h, g = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+        r = -F.ln(_uniform(h, 32, 32) * _uniform(h, 0, 32))
+        ln_c = F.ln(-F.ln(_uniform(g, 40, 24) * _uniform(g, 16, 24)))
+        b = _uniform(g, 0, 16)
         t = F.floor(log_weight / r + b)
         value = ln_c - r * (t - b + 1.0)
         rank = ((value + 512.0) * float(1 << 24)).cast("long")
-        name = (h.bitwiseAND(F.lit((1 << SCALE_BITS) - 1)) + t * 2654435).bitwiseAND(F.lit((1 << SCALE_BITS) - 1))
-        out.append(F.shiftleft(rank, SCALE_BITS).bitwiseOR(name))
+        name = (h.bitwiseAND(F.lit((1 << NAME_BITS) - 1)) + t * 2654435).bitwiseAND(F.lit((1 << NAME_BITS) - 1))
+        out.append(F.shiftleft(rank, NAME_BITS).bitwiseOR(name))
     return out
 
 
-def weights(text: Column) -> Column:
-    """array<struct<term, n>>: the hashes of a text's words and their counts."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    hashed = F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
-    # bound by a one-element array, so that it isn't computed again for each element
-    starts = lambda v: F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
-    runs = lambda v, s: F.transform(s, lambda p, j: F.struct(F.get(v, p).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(v)) - p).alias("n")))
-    both = F.transform(F.array(hashed), lambda v: F.struct(v.alias("v"), F.when(F.size(v) > 0, starts(v)).otherwise(F.array().cast("array<int>")).alias("s")))
-    return F.get(F.transform(both, lambda x: runs(x["v"], x["s"])), F.lit(0))
-
-
 def fingerprints(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """``keys`` and ``signature`` (array<int>, empty for a text without words)
-    of each row; ``keys`` name a row.  Rows that are partitioned by some of the
-    keys already aren't moved."""
-    got = F.when(F.size(weights(F.col(text_col))) > 0, weights(F.col(text_col))) if False else weights(F.col(text_col))
-    words = df.select(*keys, F.explode_outer(got).alias("w")).select(*keys, F.col("w.term").alias("term"), F.ln(F.col("w.n").cast("double")).alias("ln_n"))
-    least = [F.min(F.when(F.col("term").isNotNull(), x)).alias(f"s{k}") for k, x in enumerate(_samples(F.col("term"), F.col("ln_n")))]
-    out = words.groupBy(*keys).agg(*least)
+    """``keys`` and ``signature`` (array<int>) of each row that has a word;
+    ``keys`` name a row.  Rows that are partitioned by some of the keys already
+    aren't moved."""
+    words = df.select(*keys, F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("word")).where("word <> ''")
+    terms = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.ln(F.count("*").cast("double")).alias("ln_n"))
+    least = [F.min(x).alias(f"s{k}") for k, x in enumerate(_samples(F.col("term"), F.col("ln_n")))]
     mixed = [F.pmod(F.xxhash64(f"s{k}"), F.lit(65536)).cast("int") for k in range(SAMPLES)]
-    return out.select(*keys, F.when(F.col("s0").isNotNull(), F.array(*mixed)).otherwise(F.array().cast("array<int>")).alias("signature"))
+    return terms.groupBy(*keys).agg(*least).select(*keys, F.array(*mixed).alias("signature"))
 
 
 def said(signature: Column) -> Column:
@@ -152,19 +109,17 @@ def op6_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: fingerprints of each text and of its edited text."""
     rows = in_order(table(spark, sf_dir, "documents"), "doc_id", "text")
     w = Window.partitionBy("part").orderBy("at")
-    size = F.length("text")
-    half = F.floor(size / 2).cast("int")
-    following = F.lead("text").over(w)
-    rows = rows.withColumn("next_text", following).withColumn("edited", F.concat(F.substring("text", F.lit(1), size - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("part", "at", "id", "own", size.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("x"))
-    rows = rows.select("part", "at", "id", "own", "n_chars", "edited_sha256", F.col("x.which").alias("which"), F.col("x.t").alias("t"))
-    keys = ["part", "at", "id", "own", "n_chars", "edited_sha256", "which"]
-    one = fingerprints(rows, keys, "t").groupBy("part", "at").agg(
-        *(F.first(c).alias(c) for c in ("id", "own", "n_chars", "edited_sha256")),
-        F.max(F.when(F.col("which") == 0, F.col("signature"))).alias("a"), F.max(F.when(F.col("which") == 1, F.col("signature"))).alias("b"),
-    )
+    half = F.floor(F.length("text") / 2).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.lead("text").over(w), F.lit(1), half)))
+    both = rows.select("part", "at", F.posexplode(F.array("text", "edited")).alias("which", "t")).select("part", (F.col("at") * 2 + F.col("which")).alias("row"), "t")
+    marks = fingerprints(both, ["part", "row"], "t")
+    none = F.array().cast("array<int>")
+    of = lambda k: F.coalesce(F.max(F.when(F.col("row") % 2 == k, F.col("signature"))), none)
+    marks = marks.groupBy("part", F.floor(F.col("row") / 2).cast("int").alias("at")).agg(of(0).alias("a"), of(1).alias("b"))
+    rows = rows.select("part", "at", F.col("id").alias("doc_id"), "own", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    one = rows.join(marks, ["part", "at"], "left").withColumn("a", F.coalesce("a", none)).withColumn("b", F.coalesce("b", none))
     one = one.withColumn("next", F.lead("a").over(w)).where("own")
     return one.select(
-        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", said(F.col("a")).alias("fingerprint"), said(F.col("b")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", said(F.col("a")).alias("fingerprint"), said(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next")).alias("near_next"),
     )
