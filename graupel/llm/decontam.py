@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import table
 
@@ -223,6 +224,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = items.schema[item_col].dataType
+    arrow_kind = to_arrow_type(item_kind)
     cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     schema = f"id {kind}, item {item_kind.simpleString()}, start long, end long, edits long, segments long, of_segments long"
     out = spark.createDataFrame([], schema)
@@ -238,7 +240,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     took += [i] * len(got)
                     found += got
                 if found:
-                    cols = [pa.array([f[j] for f in found]) for j in range(6)]
+                    cols = [pa.array([f[j] for f in found], arrow_kind if j == 0 else pa.int64()) for j in range(6)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int64())), *cols], ["id", "item", "start", "end", "edits", "segments", "of_segments"])
 
         out = out.union(cut.mapInArrow(run, schema))

@@ -37,6 +37,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import partitions, shared_dir, table, written
 from .langid import fold_of
@@ -372,7 +373,7 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     spark = df.sparkSession
     parts = partitions(spark)
     kind = df.schema[id_col].dataType.simpleString()
-    arrow_kind = _arrow_kind(df, id_col)
+    arrow_kind = to_arrow_type(df.schema[id_col].dataType)
     cut = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     made = cut.mapInArrow(_chunks(arrow_kind), f"chunk long, ids array<{kind}>, train array<boolean>, n_vocab long, n_tokens long, lens binary, vocab binary, tokens binary")
     name = f"katz_chunks_{uuid.uuid4().hex}"
@@ -397,12 +398,6 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(model["unigram"].total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _arrow_kind(df: DataFrame, column: str):
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[column].dataType)
-
-
 def _model(answers: DataFrame, hot: np.ndarray) -> dict:
     """What all chunks share, of fixed size: counts of counts, totals, and the
     facts of the few words that were dealt over several partitions."""

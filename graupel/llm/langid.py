@@ -82,6 +82,8 @@ class Model:
         self.scale, self.limits = 1.0, np.full((len(langs), 2), np.inf)
         tables = [self._counted(*counts[x]) for x in langs]
         self.keys, self.logp, self.ctx, self.weight = [None], [None], [None], [None]
+        if not langs:
+            return
         for m in range(1, order + 1):
             keys = np.unique(np.concatenate([t[m][0] for t in tables]))
             ctx = np.unique(keys >> BITS)
@@ -165,7 +167,7 @@ def labelled(learn: Column, lang: str) -> Column:
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, order: int = ORDER, tolerance: float = 4.0) -> Model:
     """A model of all languages of ``df`` from about ``per_lang`` hashed texts
-    each.  A fifth of them isn't counted but calibrates the score's scale and
+    each.  A fifth of them (of languages with 20 texts or more) isn't counted but calibrates the score's scale and
     the cross-entropy beyond which a text is rejected: where the model fits it
     no better than it fits texts of other languages, with ``tolerance``
     standard deviations more for short texts."""
@@ -177,7 +179,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     langs = sorted(sizes)
     share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))))
     point = (F.col("h").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).alias("u")
-    drawn = rows.select("text", "lang", point, (F.shiftrightunsigned("h", 40) % 5 == 0).alias("checks")).where(F.col("u") < share[F.col("lang")])
+    drawn = rows.select("text", "lang", point, (F.col("lang").isin([k for k in langs if sizes[k] >= 20]) & (F.shiftrightunsigned("h", 40) % 5 == 0)).alias("checks")).where(F.col("u") < share[F.col("lang")])
 
     def letters_of(batches):
         for batch in batches:
