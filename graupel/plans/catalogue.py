@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as g, scores as s, text as t
-from ..operators import folds, gate, grids, keys
+from ..operators import folds, gate, grids, keys, passes
 from ..sources import lexicon, logs, store
 
 FLAGSHIP = "lexicon_groups"
@@ -438,6 +438,29 @@ def refocus(spark, sf):
     return folds.refocus(rows, ["user_id"], ["t", "event_id"]).select("user_id", "event_id", "requested")
 
 
+@query("""
+WITH g AS (SELECT DISTINCT source, CASE WHEN length(source) % 3 = 0 THEN 'ko' WHEN length(source) % 3 = 1 THEN 'en' END AS lang FROM documents),
+p(ordinal, languages) AS (VALUES (0, 'ja-JP'), (1, 'ko-KR'), (2, 'zh-Hans,zh-Hant'), (3, 'en-US,fr-FR,de-DE,it-IT,es-ES'))
+SELECT source, languages, row_number() OVER (PARTITION BY source ORDER BY coalesce((lang = 'ko' AND ordinal = 1) OR (lang = 'en' AND ordinal = 3), false) DESC, ordinal) AS place FROM g, p
+""")
+def pass_plan(spark, sf):
+    groups = _table(spark, sf, "documents", "source", "case when length(source) % 3 = 0 then 'ko' when length(source) % 3 = 1 then 'en' end as lang").distinct()
+    return passes.ordered(groups, "lang").select("source", F.array_join("languages", ",").alias("languages"), "place")
+
+
+@query(r"""
+WITH r AS (SELECT source, doc_id, text[1:CAST(3 + doc_id % 12 AS INT)] AS x FROM documents),
+f AS (SELECT *, regexp_full_match(x, '[\p{L}\p{M} ''-]*') AND length_grapheme(x) BETWEEN 4 AND 20 AND regexp_matches(x, '[AEIOUaeiou]')
+  AND NOT (length(regexp_replace(x, '[^\p{Lu}\p{Lt}]', '', 'g')) > length(regexp_replace(x, '[^\p{Ll}]', '', 'g')) AND length(regexp_replace(x, '[^\p{Ll}]', '', 'g')) <= 1)
+  AND regexp_matches(trim(regexp_replace(x, '(\s*(VMAX|VSTAR|ex|EX|GX|V))+\s*$', '')), '\p{L}') AS good FROM r),
+d AS (SELECT *, coalesce(max(CASE WHEN good THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM f)
+SELECT source, doc_id FROM d WHERE done = 0
+""")
+def supplemental_passes(spark, sf):
+    rows = _table(spark, sf, "documents", "source", "doc_id", "substr(text, 1, 3 + cast(doc_id % 12 as int)) as x", "'en' as dominant")
+    return passes.until_satisfied(rows, "source", "doc_id", "x", "dominant").select("source", "doc_id")
+
+
 # ---- logs ------------------------------------------------------------------------
 
 
