@@ -149,7 +149,7 @@ def words_by_language(spark, sf):
 # ---- text ----------------------------------------------------------------------
 
 # Titles in several scripts, which the driver's tables lack.
-TITLES = ("이브이e", "이브이 e", "ピカチュウ EX", "ホップ の カビゴン", "リザード", "N의 조로아", "索 罗 亚", "Charizard VMAX", "ミュウツーGX", "Pikachu V", "HP 70", "的")
+TITLES = ("나비야e", "나비야 e", "サクラモチ EX", "タケシ の オオグマ", "ヤマネコ", "N의 고양이", "山 猫 王", "Falcon VMAX", "オオグマGX", "Falcon V", "HP 70", "的")
 _TITLE_ROWS = ", ".join(f"({i}, '{x}')" for i, x in enumerate(TITLES))
 
 

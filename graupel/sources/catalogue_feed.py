@@ -22,7 +22,7 @@ PAGE = f"count long, next string, previous string, results array<{_RESOURCE}>"
 DETAIL = (
     f"id long, name string, color {_RESOURCE}, evolves_from_species {_RESOURCE}, generation {_RESOURCE}, habitat {_RESOURCE}, is_baby boolean, is_legendary boolean, "
     f"is_mythical boolean, names array<struct<name: string, language: {_RESOURCE}>>, genera array<struct<genus: string, language: {_RESOURCE}>>, "
-    f"pokedex_numbers array<struct<entry_number: int, pokedex: {_RESOURCE}>>"
+    f"{{numbers}} array<struct<entry_number: int, {{index}}: {_RESOURCE}>>"
 )
 
 
@@ -81,10 +81,11 @@ def _text(value, what: str):
     return F.when(F.length(plain) > 0, plain).otherwise(F.raise_error(F.lit(f"{what} must not be empty")))
 
 
-def normalised(bodies: DataFrame) -> DataFrame:
-    """Detail bodies (JSON) as flat species rows with three arrays of structs.
+def normalised(bodies: DataFrame, numbers: str = "index_numbers", index: str = "index") -> DataFrame:
+    """Detail bodies (JSON) as flat species rows with three arrays of structs;
+    ``numbers`` and ``index`` are the feed's names of the third array and its key.
     Unknown keys are dropped; any violation of the schema is an error."""
-    d = F.from_json("body", DETAIL, {"mode": "FAILFAST"})
+    d = F.from_json("body", DETAIL.format(numbers=numbers, index=index), {"mode": "FAILFAST"})
     rows = bodies.select(d.alias("d"))
     named = lambda r: F.trim(r["name"])
     return rows.select(
@@ -94,7 +95,7 @@ def normalised(bodies: DataFrame) -> DataFrame:
         F.trim("d.habitat.name").alias("habitat_name"), "d.is_baby", "d.is_legendary", "d.is_mythical",
         F.transform("d.names", lambda x: F.struct(named(x["language"]).alias("language_name"), F.trim(x["name"]).alias("name"))).alias("names"),
         F.transform("d.genera", lambda x: F.struct(named(x["language"]).alias("language_name"), F.trim(x["genus"]).alias("genus"))).alias("genera"),
-        F.transform("d.pokedex_numbers", lambda x: F.struct(named(x["pokedex"]).alias("pokedex_name"), x["entry_number"].alias("entry_number"))).alias("pokedex_numbers"),
+        F.transform(f"d.{numbers}", lambda x: F.struct(named(x[index]).alias("index_name"), x["entry_number"].alias("entry_number"))).alias("index_numbers"),
     )
 
 

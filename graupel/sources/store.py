@@ -21,7 +21,7 @@ SPECIES = "id long, name string, color_name string, evolves_from_species_name st
 CHILDREN = {
     "names": "species_id long, language_name string, name string",
     "genera": "species_id long, language_name string, genus string",
-    "pokedex_numbers": "species_id long, pokedex_name string, entry_number int",
+    "index_numbers": "species_id long, index_name string, entry_number int",
 }
 STATE = "seed_name string, last_successful_sync_at timestamp"
 

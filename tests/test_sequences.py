@@ -67,7 +67,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_ordered_dedup_replaces_in_place(spark):
-    rows = [(0, "pikachu", 0.60, 0.1, 0.7, 0.4, 0.1), (1, "pikachu", 0.90, 0.12, 0.71, 0.38, 0.09), (2, "pikachu", 0.70, 0.1, 0.2, 0.4, 0.1)]
+    rows = [(0, "falcon", 0.60, 0.1, 0.7, 0.4, 0.1), (1, "falcon", 0.90, 0.12, 0.71, 0.38, 0.09), (2, "falcon", 0.70, 0.1, 0.2, 0.4, 0.1)]
     df = spark.createDataFrame([("a", *r) for r in rows], "k string, i int, text_key string, confidence double, x double, y double, w double, h double")
     got = folds.deduplicated(df, ["k"], ["i"]).orderBy("place").collect()
     assert [(r["confidence"], r["merged"]) for r in got] == [(0.90, 2), (0.70, 1)]

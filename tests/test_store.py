@@ -24,7 +24,7 @@ def detail(i):
         "id": i, "name": f"s-{i}", "evolution_chain": {"url": "x"}, "color": resource("color", "red"), "evolves_from_species": None if i == 1 else resource("species", f"s-{i - 1}"),
         "generation": resource("generation", "g-1"), "habitat": None if i % 2 == 0 else resource("habitat", "grassland"), "is_baby": False, "is_legendary": False, "is_mythical": False,
         "names": [{"name": f"S{i}", "language": resource("language", "en")}], "genera": [{"genus": "Seed", "language": resource("language", "en")}],
-        "pokedex_numbers": [{"entry_number": i, "pokedex": resource("pokedex", "national")}],
+        "index_numbers": [{"entry_number": i, "index": resource("index", "national")}],
     }
 
 
@@ -105,13 +105,13 @@ def test_guards(spark, shop, tmp_path):
 
 
 def test_lexicon_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame([("en", " Bulbasaur"), ("en", "Bulbasaur"), ("ja", "フシギダネ"), ("xx", "no"), ("en", "  ")], "language_name string, name string")
+    rows = spark.createDataFrame([("en", " Oakling"), ("en", "Oakling"), ("ja", "カシノキ"), ("xx", "no"), ("en", "  ")], "language_name string, name string")
     words = lexicon.words(rows, "language_name", "name")
-    assert [tuple(r) for r in words.collect()] == [("en", "Bulbasaur"), ("en", "Bulbasaur"), ("ja", "フシギダネ")]
+    assert [tuple(r) for r in words.collect()] == [("en", "Oakling"), ("en", "Oakling"), ("ja", "カシノキ")]
     lexicon.write(words, f"{tmp_path}/words")
     back = lexicon.read(spark, f"{tmp_path}/words")
-    assert sorted((r["language"], r["word"]) for r in back.collect()) == [("en", "Bulbasaur"), ("en", "Bulbasaur"), ("ja", "フシギダネ")]
-    assert [r["word"] for r in lexicon.distinct_words(back).collect()] == ["Bulbasaur", "フシギダネ"]
+    assert sorted((r["language"], r["word"]) for r in back.collect()) == [("en", "Oakling"), ("en", "Oakling"), ("ja", "カシノキ")]
+    assert [r["word"] for r in lexicon.distinct_words(back).collect()] == ["Oakling", "カシノキ"]
 
 
 def test_log_contexts(spark):
