@@ -44,7 +44,7 @@ from .langid import fold_of
 from .words import as_bytes, mixed, word_hashes
 
 #: Tokens in a chunk, about; a longer text is a chunk of its own.
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 START, END = np.uint64(1), np.uint64(2)
@@ -133,39 +133,45 @@ def _chunks(kind):
 CHUNK_NAMES = ["chunk", "ids", "train", "n_vocab", "n_tokens", "lens", "vocab", "tokens"]
 
 
-class Chunk:
-    """A chunk's texts as pairs of word numbers, and its distinct pairs in the
-    order in which they travel: by partition, first word, second word."""
+class Tokens:
+    """A chunk's texts: word numbers, the number before each, and its text."""
 
-    def __init__(self, row: dict, parts: int, hot: np.ndarray):
-        self.ids, train = row["ids"], np.array(row["train"], bool)
-        self.lens = unpacked(row["lens"], np.int32, len(train))
+    def __init__(self, row: dict):
+        self.ids, self.train = row["ids"], np.array(row["train"], bool)
+        self.lens = unpacked(row["lens"], np.int32, len(self.train))
         n = row["n_tokens"]
-        self.tokens = unpacked(row["tokens"], np.uint8, 4 * n).reshape(4, n).T.copy().view(np.uint32).ravel().astype(np.int64)
+        self.tokens = unpacked(row["tokens"], np.uint8, 4 * n).reshape(4, n).T.copy().view(np.int32).ravel()
         vocab = np.frombuffer(row["vocab"], np.uint64)
         self.vocab = np.append(vocab, START)  # the start is the last number
         self.end = int(np.searchsorted(vocab, END))
-        begin = np.zeros(n, bool)
-        begin[np.cumsum(self.lens) - self.lens] = True
-        self.first = np.where(begin, len(vocab), np.concatenate(([0], self.tokens[:-1])))
-        self.doc = np.repeat(np.arange(len(train)), self.lens)
-        pairs, of = np.unique((self.first << 32) | self.tokens, return_inverse=True)
-        counts = np.bincount(of[train[self.doc]], minlength=len(pairs))
-        a, b = self.vocab[pairs >> 32], self.vocab[pairs & 0xFFFFFFFF]
+        self.first = np.concatenate((self.tokens[-1:], self.tokens[:-1]))
+        self.first[np.cumsum(self.lens) - self.lens] = len(vocab)
+        self.doc = np.repeat(np.arange(len(self.train), dtype=np.int32), self.lens)
+
+
+class Chunk(Tokens):
+    """A chunk's texts as pairs of word numbers, and its distinct pairs in the
+    order in which they travel: by partition, first word, second word."""
+
+    def __init__(self, row: dict, parts: int, hot: np.ndarray):
+        super().__init__(row)
+        pairs, of = np.unique((self.first.astype(np.int64) << 32) | self.tokens, return_inverse=True)
+        counts = np.bincount(of[self.train[self.doc]], minlength=len(pairs))
+        number_a, number_b = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+        a, b = self.vocab[number_a], self.vocab[number_b]
         route = mixed(a)
         if len(hot):
             at = np.minimum(np.searchsorted(hot, a), len(hot) - 1)
             route = np.where(hot[at] == a, mixed(a ^ mixed(b)), route)
-        part = (route % np.uint64(parts)).astype(np.int64)
+        part = (route % np.uint64(parts)).astype(np.int32)
         order = np.lexsort((b, a, part))
         self.part, self.a, self.b, self.counts = part[order], a[order], b[order], counts[order]
-        self.pair_first, self.pair_second = (pairs >> 32)[order], (pairs & 0xFFFFFFFF)[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        self.pair_first, self.pair_second = number_a[order], number_b[order]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.pair_of = place[of]
         new = np.concatenate(([True], (self.part[1:] != self.part[:-1]) | (self.a[1:] != self.a[:-1])))
         self.heads = np.flatnonzero(new)  # where a first word begins, by partition
-        self.head_of = np.cumsum(new) - 1
 
     def parcels(self):
         """(part, first words, pairs a first word, second words, counts)."""
@@ -190,7 +196,7 @@ def _frequent(parts: int):
 
     def run(batches):
         for row in _rows(batches):
-            c = Chunk(row, 1, np.empty(0, np.uint64))
+            c = Tokens(row)
             n = np.bincount(c.first, minlength=len(c.vocab))
             top = np.flatnonzero(n * 8 * parts >= n.sum())
             yield pa.RecordBatch.from_arrays([pa.array(c.vocab[top].view(np.int64)), pa.array(n[top].astype(np.int64))], ["word", "n"])
