@@ -73,8 +73,11 @@ def _noise(tag: str, attributes: str, inside: Node) -> bool:
             return True
         if name == "role" and value.lower() in NOISE_ROLES:
             return True
-        if name in ("class", "id") and any(w.lower() in NOISE_WORDS for w in WORD.findall(value)):
-            return True
+        if name in ("class", "id"):
+            for part in value.split():
+                words = {w.lower() for w in WORD.findall(part)}
+                if words & NOISE_WORDS and not words & {"with", "has", "no", "wrapper", "wrap", "container"}:
+                    return True
     return False
 
 
@@ -190,7 +193,12 @@ def article(page: str) -> Node | None:
     node = best
     while node is not None and node.tag not in ("article", "main"):
         node = node.up
-    return node or best
+    if node is not None:
+        return node
+    # else a title or a line of its own beside the text, without links of its own
+    while best is not body and best.up is not None and best.up is not body and best.up.chars - best.chars <= 0.3 * best.chars and best.up.link_chars - best.link_chars <= 0.1 * (best.up.chars - best.chars):
+        best = best.up
+    return best
 
 
 def blocks(root: Node) -> str:

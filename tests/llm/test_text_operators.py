@@ -235,3 +235,9 @@ def test_contamination_of_odd_rows(spark):
     assert sorted(r["id"] for r in decontam.clean(docs, items).collect()) == [0, 1]
     assert decontam.contaminated(docs, items.where("false"), "id").count() == 0
     assert decontam.contaminated(docs.where("false"), items, "id").count() == 0
+
+
+def test_html_title_beside_the_body_and_layout_classes():
+    page = '<body><div class="page with-sidebar"><div class="post"><h1>A title</h1><div class="text"><p>%s<p>%s</div></div><div class="sidebar"><p>Side.</div></div></body>'
+    one, two = "Long text of the first paragraph, with many words in it.", "Long text of the second paragraph, with as many words."
+    assert html.main_text(page % (one, two)) == f"A title {one} {two}"
