@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, fingerprint, html, katz, langid, neardup, secrets, suffix
+from . import bpe, chat, decontam, fingerprint, html, katz, langid, neardup, oracles, secrets, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat.OP5_SQL}
+    return dict(oracles.ALL)
