@@ -20,7 +20,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept; all labelled ones teach."""
     model = langid.train(docs)
-    return langid.identify(docs.withColumn("__text", F.col("text")), model, "__text", COLUMNS).where("accepted").select(*COLUMNS)
+    return langid.identify(docs, model, "text", COLUMNS).where("accepted").select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

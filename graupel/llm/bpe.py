@@ -23,14 +23,15 @@ import heapq
 import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import slices, table
 
 #: Words kept with their ids in one task; when there are more the oldest half goes.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -160,7 +161,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
 
     def run(batches):
         split, words = splitter(pattern), _words(shared)
-        for batch in batches:
+        for batch in slices(batches):
             out = [[int(x) for w in split(t or "") for x in words[w].split(",")] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["id", "ids"])
 
@@ -189,7 +190,7 @@ def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     def run(batches):
         split, words = splitter(pattern), _words(shared)
         pieces = {str(v): k for k, v in shared.value.items()}.__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b, c = [], [], [], []
             for text in batch.column(1).to_pylist():
                 said = ",".join(map(words.__getitem__, split(text or "")))
@@ -197,7 +198,7 @@ def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 n.append(len(ids))
                 a.append(hashlib.sha256(said.encode()).hexdigest())
                 b.append(hashlib.sha256(b"".join(map(pieces, ids))).hexdigest())
-                c.append([*map(int, ids)] if with_ids else None)
+                c.append((np.fromstring(said, np.int32, sep=",") if said else np.empty(0, np.int32)) if with_ids else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.list_(pa.int32()))], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -35,3 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut into pieces of at most ``rows`` rows, so that what a
+    task builds from one stays small whatever the session's batch size is."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)

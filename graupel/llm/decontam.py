@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table
+from .common import slices, table
 
 Q = 8
 WINDOW = 96
@@ -233,7 +233,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
         def run(batches, shared=shared):
             ix = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 took, found = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     got = matches(text, ix)
@@ -255,7 +255,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
 
         def run(batches, shared=shared):
             ix = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not t or not matches(t, ix) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

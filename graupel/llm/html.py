@@ -23,7 +23,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import slices, table
 
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -229,7 +229,7 @@ def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("pag
     """The ``keep`` columns, ``text`` and ``n_chars`` (code points), per row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], [*batch.schema.names[:-1], "out_text", "out_chars"])

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import slices, table
 
 ORDER = 5
 BITS = 6
@@ -250,13 +250,14 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
     def run(batches):
         model = shared.value
         classes = _classes(model.letters)
-        for batch in batches:
-            last = batch.num_columns - 1
-            got = [model.judge(model.entropy(t, classes) if t and model.langs else None) for t in batch.column(last).to_pylist()]
+        for batch in slices(batches):
+            got = [model.judge(model.entropy(t, classes) if t and model.langs else None) for t in batch.column(at).to_pylist()]
             new = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(last)), *new], [*batch.schema.names[:-1], "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *new], [*batch.schema.names[: len(keep)], "lang_pred", "score", "accepted"])
 
-    cut = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
+    read = [*keep] if text_col in keep else [*keep, text_col]
+    at = read.index(text_col)
+    cut = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(read)))
     kinds = "".join(f"k{i} {df.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
     out = cut.mapInArrow(run, f"{kinds}lang_pred string, score double, accepted boolean")
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "accepted")

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import partitions, table, written
+from .common import partitions, slices, table, written
 from .graph import components
 from .words import mixed, shingles
 
@@ -100,7 +100,7 @@ def least_matches(n: int, tolerance: float = TOLERANCE) -> int:
 
 
 def _described(batches):
-    for batch in batches:
+    for batch in slices(batches):
         key, cid, n, bands = [], [], [], []
         for text in batch.column(1).to_pylist():
             sh, w = shingles(text or "", SHINGLE)
@@ -123,7 +123,7 @@ def _unpacked(batches):
 
 def _sets(batches):
     """(cid, shingles as bytes) of the texts that are their class's own."""
-    for batch in batches:
+    for batch in slices(batches):
         cids, sets = [], []
         for text, cid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             sh, w = shingles(text or "", SHINGLE)

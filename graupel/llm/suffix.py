@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import partitions, table, written
+from .common import partitions, slices, table, written
 from .words import mixed
 
 LENGTH = 400
@@ -156,7 +156,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _anchored(batches):
-    for batch in batches:
+    for batch in slices(batches):
         keys, out = [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             h, place, _, _ = anchors(np.frombuffer((text or "").encode(), np.uint8))
@@ -172,7 +172,7 @@ def _around(batches):
     each wanted anchor.  Anchors that have the same text around them in one
     document are repeats at once: they give a covered range (``around`` null),
     and one of them goes to the group."""
-    for batch in batches:
+    for batch in slices(batches):
         rows: list[tuple] = []
         for key, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
             raw = text.encode()
@@ -307,7 +307,7 @@ def _ranges(batches):
 
 def _windows(batches):
     """(window hash, key, start) for all windows of the wanted anchors."""
-    for batch in batches:
+    for batch in slices(batches):
         keys, hs, at = [], [], []
         for key, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
             raw, want = text.encode(), set(wanted)
@@ -363,7 +363,7 @@ def removed(df: DataFrame, id_col: str, text_col: str, keep_bytes: bool = False)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(5)]
             for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = text.encode()
