@@ -85,18 +85,21 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = max(1, 2 * partitions(spark))
     marks = cut.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10000).alias("q")).first()["q"] if n > 1 else []
     marks = sorted(set(marks or []), reverse=True)
-    # an id's part: how many marks lie at or above it
-    part = F.lit(0) if not marks else F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m >= F.col("id")))
-    cut = cut.withColumn("part", F.coalesce(part, F.lit(len(marks))))
+    # an id's part: how many marks lie at or above it, in flat expressions, as
+    # there may be thousands of marks
+    ids = F.array(*map(F.lit, marks)) if marks else None
+    before = F.array_position(F.sort_array(F.array_append(ids, F.col("id"))), F.col("id")) - 1 if marks else F.lit(0)
+    part = F.lit(len(marks)) - before
+    cut = cut.withColumn("part", F.coalesce(part, F.lit(len(marks))).cast("int"))
     order = [F.col("id").desc_nulls_last(), F.col("text")]
     firsts = {r["part"]: r["id"] for r in cut.groupBy("part").agg(F.max("id").alias("id")).collect()}
     there = sorted(firsts)
     to = {p: there[i - 1] for i, p in enumerate(there)}  # the part before; of the first part, the last
     # candidates for a part's first document: rows with its highest id
-    also = F.lit(None).cast("int")
-    for p in there:
-        same = F.col("id").isNull() if firsts[p] is None else F.col("id") == F.lit(firsts[p])
-        also = F.when((F.col("part") == p) & same, F.lit(to[p])).otherwise(also)
+    pairs = [x for p in there if firsts[p] is not None for x in (F.lit(firsts[p]), F.lit(to[p]))]
+    also = F.element_at(F.create_map(*pairs), F.col("id")) if pairs else F.lit(None).cast("int")
+    if None in firsts.values():  # a part of null ids alone is the last one
+        also = F.when(F.col("id").isNull() & (F.col("part") == there[-1]), F.lit(to[there[-1]])).otherwise(also)
     where = F.when(also.isNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")))).otherwise(
         F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")), F.struct(also.alias("part"), F.lit(False).alias("own")))
     )
