@@ -141,6 +141,26 @@ def test_worklist_ends():
         secrets.layer_spans(text, secrets.base_spans(text))
 
 
+def test_repeated_tokens_are_found_at_every_place(spark):
+    token = base64.b64encode(SECRET.encode()).decode()
+    outer = base64.b64encode(f"{token} and {token}".encode()).decode()
+    url = "".join(f"%{b:02x}" for b in SECRET.encode())
+    text = f"one {token} two {token} three {outer} four {url} five {url} six {outer} seven {token}"
+    spans, layers = secrets.layer_spans(text, secrets.base_spans(text))
+    want = {(m.start(), 0, m.end()) for t in (token, outer, url) for m in re.finditer(re.escape(t), text)}
+    assert spans == want and len(want) == 7
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    assert secrets.redact(df).first()["text"] == re.sub("|".join(map(re.escape, (token, outer, url))), "[REDACTED]", text)
+
+
+def test_repeats_inside_repeats_do_not_multiply():
+    text = SECRET
+    for _ in range(40):
+        text = 2 * (base64.b64encode(gzip.compress(text.encode())).decode() + " ")
+    spans, layers = secrets.layer_spans(text, [])
+    assert len(spans) == 2 and layers == 40
+
+
 def test_secret_rows_and_redaction(spark):
     df = odd(spark, [None, "", "token = 'abcdef12' x", "y " * 30000])
     got = secrets.scan(df, "id").orderBy("id").collect()
