@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .common import partitions, table
 
 #: Samples of a fingerprint: the likeness of two has a standard error of at most 0.5 / sqrt(SAMPLES).
-SAMPLES = 24
+SAMPLES = 64
 NAME_BITS = 28
 
 
@@ -105,7 +105,8 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     rows = cut.select("id", "text", F.explode(where).alias("w")).select("id", "text", F.col("w.part").alias("part"), F.col("w.own").alias("own"))
     at = F.row_number().over(Window.partitionBy("part").orderBy(F.col("own").desc(), *order))
-    return rows.withColumn("at", at)
+    # more tasks than the session's number: a task's word counts stay in memory
+    return rows.repartition(2 * n, "part").withColumn("at", at)
 
 
 def op6_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,13 +115,18 @@ def op6_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("part").orderBy("at")
     half = F.floor(F.length("text") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.lead("text").over(w), F.lit(1), half)))
-    both = rows.select("part", "at", F.posexplode(F.array("text", "edited")).alias("which", "t")).select("part", (F.col("at") * 2 + F.col("which")).alias("row"), "t")
-    marks = fingerprints(both, ["part", "row"], "t")
+    # what goes with a document besides its two texts rides along as a third
+    # text of one word, so the documents are shuffled once and joined to nothing
+    about = F.struct(F.col("id").alias("doc_id"), "own", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    kind = rows.select(about.alias("about")).schema["about"].dataType
+    nothing = F.lit(None).cast(kind)
+    three = F.array(*(F.struct(F.lit(k).alias("which"), t.alias("t"), m.alias("about")) for k, (t, m) in enumerate(((F.col("text"), nothing), (F.col("edited"), nothing), (F.lit("-"), about)))))
+    three = rows.select("part", "at", F.explode(three).alias("x")).select("part", (F.col("at") * 3 + F.col("x.which")).alias("row"), "x.about", "x.t")
+    marks = fingerprints(three, ["part", "row", "about"], "t")
     none = F.array().cast("array<int>")
-    of = lambda k: F.coalesce(F.max(F.when(F.col("row") % 2 == k, F.col("signature"))), none)
-    marks = marks.groupBy("part", F.floor(F.col("row") / 2).cast("int").alias("at")).agg(of(0).alias("a"), of(1).alias("b"))
-    rows = rows.select("part", "at", F.col("id").alias("doc_id"), "own", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    one = rows.join(marks, ["part", "at"], "left").withColumn("a", F.coalesce("a", none)).withColumn("b", F.coalesce("b", none))
+    of = lambda k: F.coalesce(F.max(F.when(F.col("row") % 3 == k, F.col("signature"))), none)
+    one = marks.groupBy("part", F.floor(F.col("row") / 3).cast("int").alias("at")).agg(of(0).alias("a"), of(1).alias("b"), F.max("about").alias("about"))
+    one = one.select("part", "at", "a", "b", "about.*")
     one = one.withColumn("next", F.lead("a").over(w)).where("own")
     return one.select(
         "doc_id", "n_chars", "edited_sha256", said(F.col("a")).alias("fingerprint"), said(F.col("b")).alias("edited_fingerprint"),

@@ -193,6 +193,16 @@ def test_fingerprints_estimate_generalised_jaccard(spark, sf):
     assert all(len(v) == 1 for v in same.values())
 
 
+def test_likeness_is_fine_enough_to_tell_near_from_nearer(spark):
+    word = lambda n: " ".join(f"w{i}" for i in range(n))
+    rows = [(j, word(100 + j % 2 * 15) + f" own{j}") for j in range(40)]
+    df = spark.createDataFrame([(j, side, t) for j, mine in rows for side, t in ((0, mine), (1, word(135)))], "j int, side int, t string")
+    got = fingerprint.fingerprints(df.withColumn("t", F.regexp_replace("t", "w", F.concat(F.col("j"), F.lit("w")))), ["j", "side"], "t")
+    pairs = got.groupBy("j").pivot("side", [0, 1]).agg(F.first("signature")).select("j", fingerprint.likeness(F.col("0"), F.col("1")).alias("near")).collect()
+    off = [r["near"] - (100, 115)[r["j"] % 2] / 136 for r in pairs]
+    assert len(off) == 40 and np.std(off) < 0.065 and min(len(r["signature"]) for r in got.collect()) >= 64
+
+
 def test_fingerprints_of_odd_rows(spark, tmp_path):
     rows = [(5, "a b c", 1), (5, "a b c", 1), (3, None, 1), (2, "", 1), (1, "word " * 50000, 1), (None, "z", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, part int").write.parquet(f"{tmp_path}/documents.parquet")
