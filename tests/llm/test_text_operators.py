@@ -1,6 +1,7 @@
 """HTML, languages, secrets, byte-level BPE and decontamination."""
 
 import base64
+import bz2
 import gzip
 import html as entities
 import random
@@ -153,6 +154,26 @@ def test_repeated_tokens_are_found_at_every_place(spark):
     assert secrets.redact(df).first()["text"] == re.sub("|".join(map(re.escape, (token, outer, url))), "[REDACTED]", text)
 
 
+def deep(raw, n):
+    for _ in range(n):
+        raw = gzip.compress(raw)
+    return raw
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        deep(SECRET.encode(), 12), gzip.compress(b"nothing") + gzip.compress(SECRET.encode()), gzip.compress(b"nothing") + SECRET.encode(), bz2.compress(b"nothing") + bz2.compress(SECRET.encode()),
+        deep(b"some words,\n" * 1_500_000 + SECRET.encode(), 2), gzip.compress(b"pass" + b"word=hun,\n" * 2_000_000 + base64.b64encode(SECRET.encode()) + b"\n"),
+    ],
+    ids=["deep", "members", "tail", "bz2", "large", "large with a layer"],
+)
+def test_layers_are_opened_to_the_end(raw):
+    token = base64.b64encode(raw).decode()
+    text = f"words {token} words"
+    assert secrets.layer_spans(text, secrets.base_spans(text))[0] == {(6, 0, 6 + len(token))} | set(secrets.base_spans(text))
+
+
 def test_repeats_inside_repeats_do_not_multiply():
     text = SECRET
     for _ in range(40):
