@@ -26,10 +26,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import slices, table
 
 Q = 8
-WINDOW = 96
+#: A passage of an item is always found from WINDOW + STRIDE - 1 characters on.
+WINDOW = 64
+STRIDE = 16
 EDIT_RATE = 0.08
 #: Characters of benchmark text in one broadcast index; more are searched in blocks.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 MASK_BITS = 22
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -83,7 +85,7 @@ class Index:
     mask: np.ndarray
 
 
-def index(items: list[tuple], window: int = WINDOW, rate: float = EDIT_RATE, q: int = Q) -> Index | None:
+def index(items: list[tuple], window: int = WINDOW, rate: float = EDIT_RATE, q: int = Q, stride: int = STRIDE) -> Index | None:
     """The q-gram index of (id, text) pairs, by segment."""
     ids, codes, item, start, size = [], [], [], [], []
     for item_id, text in items:
@@ -92,7 +94,7 @@ def index(items: list[tuple], window: int = WINDOW, rate: float = EDIT_RATE, q:
         c = c[:-1] if len(c) and c[-1] == 32 else c
         if len(c) < q:
             continue
-        starts = [0] if len(c) <= window else sorted({*range(0, len(c) - window, window // 2), len(c) - window})
+        starts = [0] if len(c) <= window else sorted({*range(0, len(c) - window, stride), len(c) - window})
         item += [len(ids)] * len(starts)
         start += starts
         size += [min(len(c), window)] * len(starts)
@@ -123,6 +125,8 @@ def aligned(segment: np.ndarray, region: np.ndarray, budget: int) -> tuple[int,
         view = np.lib.stride_tricks.sliding_window_view(region, n)
         if len(hit := np.flatnonzero((view == segment).all(1))):
             return 0, int(hit[0]), int(hit[0]) + n
+    if m < n - budget:  # cut short by an end of the text
+        return None
     band = m - n + budget + 1
     cost = np.zeros(m + 1, np.int64)
     origin = np.arange(m + 1)

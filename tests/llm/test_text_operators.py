@@ -246,6 +246,17 @@ def test_edited_items_are_found(sf):
         assert item in {f[0] for f in found}
 
 
+def test_every_passage_of_79_characters_is_found(sf):
+    items = [(i, plain(t)) for i, t in duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()]
+    index, tried = decontam.index(items), 0
+    for item, text in items[:20]:
+        for at in range(0, len(text) - 79, 5):
+            found = decontam.matches("qq " + text[at : at + 79] + " zz", index)
+            assert text[at] == " " or text[at + 78] == " " or item in {f[0] for f in found}
+            tried += 1
+    assert tried > 50
+
+
 def brute_distance(a, b):
     row = [0] * (len(b) + 1)
     for i, x in enumerate(a, 1):
