@@ -114,3 +114,37 @@ def stable(now: Column, before: Column) -> Column:
     larger = F.greatest(a, b)
     drift = F.when(larger > 0, F.abs(a - b) / larger).otherwise(1.0)
     return (F.hypot(ax - bx, ay - by) <= 0.06) & (iou(now, before) >= 0.65) & (drift <= 0.25)
+
+
+# The title's share of a card (x and y from the top left), and the margin of the search for it.
+TITLE = (0.20, 0.02, 0.55, 0.11)
+SEARCH = (0.10, 0.07)
+
+
+def title_rect(width: Column, height: Column) -> Column:
+    """The title's place on an image, in pixels, y down."""
+    x, y, w, h = TITLE
+    return intersection(rect(width * x, height * y, width * w, height * h), rect(0, 0, width, height))
+
+
+def observation_region(box: Column, width: Column, height: Column) -> Column:
+    """A pixel rectangle, y down, as a normalised one, y up; zero for an image
+    without an area."""
+    region = rect(box["x"] / F.nullif(width, F.lit(0.0)), 1 - (box["y"] + box["h"]) / F.nullif(height, F.lit(0.0)), box["w"] / F.nullif(width, F.lit(0.0)), box["h"] / F.nullif(height, F.lit(0.0)))
+    return F.when((width > 0) & (height > 0), region).otherwise(rect(0, 0, 0, 0))
+
+
+def title_region(width: Column, height: Column) -> Column:
+    """The title's place, normalised, y up."""
+    return observation_region(title_rect(width, height), width, height)
+
+
+def search_region(width: Column, height: Column) -> Column:
+    """The title region with a margin, within the frame."""
+    return intersection(rect(0, 0, 1, 1), inset(title_region(width, height), -SEARCH[0], -SEARCH[1]))
+
+
+def integral(box: Column) -> Column:
+    """The least rectangle with whole numbers around a rectangle."""
+    x, y = F.floor(box["x"]), F.floor(box["y"])
+    return rect(x, y, F.ceil(box["x"] + box["w"]) - x, F.ceil(box["y"] + box["h"]) - y)

@@ -30,8 +30,19 @@ def id_in_url(url: Column) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    """White space of any kind made single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    """White space of any kind made single spaces, none at the ends.  Single
+    spaces aren't matched, so a text that needs no change is only scanned."""
+    return F.trim(F.regexp_replace(text, f"[{SPACE}&&[^ ]]{SPACE}*| {SPACE}+", " "))
+
+
+def stripped(text: Column) -> Column:
+    """No white space of any kind at the ends."""
+    return F.reverse(F.regexp_replace(F.reverse(F.regexp_replace(text, f"^{SPACE}+", "")), f"^{SPACE}+", ""))
+
+
+def bound(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
 @F.pandas_udf(StringType())
@@ -55,23 +66,35 @@ def has_script(text: Column) -> Column:
 
 def has_latin(text: Column) -> Column:
     """Any letter or mark outside the supported scripts."""
-    return F.rlike(F.regexp_replace(text, f"[{SCRIPTS}]", ""), F.lit(r"[\p{L}\p{M}]"))
+    return F.rlike(text, F.lit(rf"[\p{{L}}\p{{M}}&&[^{SCRIPTS}]]"))
 
 
 def title(text: Column) -> Column:
     """The canonical form of a title: narrow, single spaces (none between
     characters of the supported scripts alone), suffix ``ex`` mended."""
-    plain = squeezed(narrow(text))
-    plain = F.when(has_script(plain) & ~has_latin(plain), F.replace(plain, F.lit(" "), F.lit(""))).otherwise(plain)
-    cut = F.length(plain)
-    mended = F.when(F.endswith(plain, F.lit("e")) & has_script(F.substring(plain, F.lit(1), cut - 1)), F.concat(plain, F.lit("x"))).otherwise(plain)
-    head = F.regexp_extract(mended, r"(?is)^(.*)ex$", 1)
-    return F.when(has_script(head), F.concat(F.regexp_replace(head, f"^{SPACE}+|{SPACE}+$", ""), F.lit("ex"))).otherwise(mended)
+
+    def closed(plain: Column) -> Column:
+        return F.when(has_script(plain) & ~has_latin(plain), F.replace(plain, F.lit(" "), F.lit(""))).otherwise(plain)
+
+    def mended(plain: Column) -> Column:
+        cut = F.substring(plain, F.lit(1), F.length(plain) - 1)
+        return F.when(F.endswith(plain, F.lit("e")) & has_script(cut), F.concat(plain, F.lit("x"))).otherwise(plain)
+
+    def canonical(plain: Column) -> Column:
+        head = F.substring(plain, F.lit(1), F.length(plain) - 2)
+        ends = F.lower(F.right(plain, F.lit(2))) == "ex"
+        return F.when(ends & has_script(head), F.concat(stripped(head), F.lit("ex"))).otherwise(plain)
+
+    return bound(bound(bound(squeezed(narrow(text)), closed), mended), canonical)
+
+
+#: Characters that are each a grapheme of their own.
+_SINGLE = r"\x20-\x7E\x{A0}-\x{AC}\x{AE}-\x{2FF}"
 
 
 def graphemes(text: Column) -> Column:
     """Length in user-perceived characters."""
-    return F.size(F.regexp_extract_all(text, F.lit(r"(\X)"), F.lit(1)))
+    return F.when(F.rlike(text, F.lit(f"[^{_SINGLE}]")), F.length(F.regexp_replace(text, r"\X", "x"))).otherwise(F.length(text))
 
 
 def digit_ratio(text: Column) -> Column:
@@ -92,19 +115,25 @@ def has_suffix(text: Column) -> Column:
     return F.rlike(text, F.lit(f"(?s)(?:{SPACE}|[{SCRIPTS}])(?:{'|'.join(SUFFIXES)})$"))
 
 
+_BACKWARDS = "|".join(x[::-1] for x in SUFFIXES)
+
+
 def without_suffixes(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"(?:{SPACE}*(?:VMAX|VSTAR|ex|EX|GX|V))+{SPACE}*$", ""), f"^{SPACE}+|{SPACE}+$", "")
+    """Trailing suffixes and white space at both ends taken away; looked for in
+    the reversed text, where they stand at its start."""
+    cut = F.reverse(F.regexp_replace(F.reverse(text), f"^{SPACE}*(?:(?:{_BACKWARDS}){SPACE}*)*", ""))
+    return F.regexp_replace(cut, f"^{SPACE}+", "")
 
 
 def language(text: Column) -> Column:
     """Language of a title by its scripts, null where there is no sign of one."""
-    t = without_suffixes(text)
-    return (
-        F.when(F.length(t) == 0, None)
+    return bound(
+        without_suffixes(text),
+        lambda t: F.when(F.length(t) == 0, None)
+        .when(~has_script(t), F.when(has_latin(t), "en"))
         .when(F.rlike(t, F.lit(f"[{KANA}]")), "ja")
         .when(F.rlike(t, F.lit(f"[{HANGUL}]")), "ko")
-        .when(F.contains(t, F.lit("的")) | F.rlike(t, F.lit(f"^[{IDEOGRAPHS}]+$")), "zh-Hans")
-        .when(has_latin(t) & ~has_script(t), "en")
+        .when(F.contains(t, F.lit("的")) | F.rlike(t, F.lit(f"^[{IDEOGRAPHS}]+$")), "zh-Hans"),
     )
 
 
@@ -112,8 +141,8 @@ def plausible_title(text: Column) -> Column:
     """4 to 20 characters, letters, blanks, - and ' alone, a vowel, and not
     mostly capitals."""
     upper, lower = F.regexp_count(text, F.lit(r"[\p{Lu}\p{Lt}]")), F.regexp_count(text, F.lit(r"\p{Ll}"))
-    n = graphemes(text)
-    return n.between(4, 20) & F.rlike(text, F.lit(r"^[\p{L}\p{M} '-]*$")) & F.rlike(text, F.lit("[AEIOUaeiou]")) & ~((upper > lower) & (lower <= 1))
+    shaped = graphemes(text).between(4, 20) & F.rlike(text, F.lit(r"^[\p{L}\p{M} '-]*$")) & F.rlike(text, F.lit("[AEIOUaeiou]"))
+    return F.when(text.isNotNull(), F.when(shaped, ~((upper > lower) & (lower <= 1))).otherwise(False))
 
 
 def needs_another_pass(text: Column, dominant: Column) -> Column:
@@ -123,7 +152,19 @@ def needs_another_pass(text: Column, dominant: Column) -> Column:
 
 
 def shortened(text: Column, n: int = 18) -> Column:
-    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
+    """Without white space at the ends; more than ``n`` user-perceived
+    characters are cut to ``n`` and three dots."""
+    return bound(stripped(text), lambda t: F.when(graphemes(t) > n, F.concat(F.regexp_extract(t, rf"^\X{{{n}}}", 0), F.lit("..."))).otherwise(t))
+
+
+def two_decimals(number: Column) -> Column:
+    """A number as shown: two digits behind the point, halves to even."""
+    return F.format_string("%.2f", F.bround(number.cast("decimal(38, 12)"), 2).cast("double"))
+
+
+def rect_text(box: Column) -> Column:
+    """A rectangle as shown: place and size with two decimals each."""
+    return F.concat_ws(", ", *(two_decimals(box[n]) for n in "xywh"))
 
 
 def issue_path(parts: Column) -> Column:

@@ -11,106 +11,158 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import hypot
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions import text as t
 
 # Intervals in seconds and distances of throttle and refocus.
 THROTTLE, REFOCUS, SETTLING, DRIFT, BLURRY_FRAMES = 0.25, 0.80, 0.60, 0.08, 2
 
 
-def scan(df: DataFrame, key: list[str], order: list[str], step: Callable, start: tuple, into: str) -> DataFrame:
+def scan(df: DataFrame, key: list[str], order: list[str], step: Callable, start: tuple, take: dict[str, str], into: str) -> DataFrame:
     """``df`` with the columns of ``into`` (a DDL list): what
-    ``step(state, row) -> (state, values)`` returns for each row."""
+    ``step(state, *values) -> (state, results)`` returns for each row, where the
+    values are those of the columns that ``take`` names."""
     names = [part.split()[0] for part in into.split(", ")]
+    kinds = [{"boolean": pa.bool_(), "int": pa.int32()}[part.split()[1]] for part in into.split(", ")]
+    keep = df.columns
+    cut = df.select("*", F.struct(*(F.col(c) for c in key)).alias("__key"), *(F.col(c).alias(f"__{n}") for n, c in take.items()))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + into
 
     def run(batches):
-        last, state = object(), start
+        last, state = None, start
         for batch in batches:
+            columns = [batch.column(f"__{n}").to_pylist() for n in take]
+            keys, fresh = changes(batch.column("__key"), last)
             out = []
-            for row in batch.to_dict("records"):
-                now = tuple(row[k] for k in key)
-                if now != last:
-                    last, state = now, start
-                state, values = step(state, row)
-                out.append(values)
-            yield batch.assign(**{n: [v[i] for v in out] for i, n in enumerate(names)})
-
-    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
-
-
-def throttle_step(state: tuple, row: dict) -> tuple[tuple, tuple]:
+            for values, new in zip(zip(*columns), fresh):
+                if new:
+                    state = start
+                state, results = step(state, *values)
+                out.append(results)
+            last = keys
+            found = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], [*keep, *names])
+
+    return cut.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+
+
+def changes(keys: pa.StructArray, last) -> tuple[object, list[bool]]:
+    """The last key of a batch, and at which rows a new key begins; ``last`` is
+    the key before the batch."""
+    n = len(keys)
+    if not n:
+        return last, []
+    new = np.zeros(n, bool)
+    for part in keys.flatten():
+        a, b = part[1:], part[:-1]
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= ~same.to_numpy(zero_copy_only=False).astype(bool)
+    new[0] = last is None or keys[0].as_py() != last
+    return keys[n - 1].as_py(), new.tolist()
+
+
+def throttle_step(state: tuple, t: float) -> tuple[tuple, tuple]:
     """Accepts the first row, then one at least THROTTLE after the last accepted."""
-    (last,) = state
-    ok = last is None or row["t"] - last >= THROTTLE
-    return ((row["t"],) if ok else state), (ok,)
+    ok = state[0] is None or t - state[0] >= THROTTLE
+    return ((t,) if ok else state), (ok,)
 
 
-def refocus_step(state: tuple, row: dict) -> tuple[tuple, tuple]:
+def refocus_step(state: tuple, t: float, px: float, py: float, reason: str) -> tuple[tuple, tuple]:
     """Requests focus where the point moved or frames stay blurry, not sooner
     than REFOCUS after the last request; also whether that is settling."""
     at, x, y, blurry = state
-    moved = x is None or hypot(row["px"] - x, row["py"] - y) >= DRIFT
-    blurry = blurry + 1 if row["reason"] in ("tooBlurry", "tooCloseLikely") else 0
-    asked = (moved or blurry >= BLURRY_FRAMES) and (at is None or row["t"] - at >= REFOCUS)
+    moved = x is None or hypot(px - x, py - y) >= DRIFT
+    blurry = blurry + 1 if reason in ("tooBlurry", "tooCloseLikely") else 0
+    asked = (moved or blurry >= BLURRY_FRAMES) and (at is None or t - at >= REFOCUS)
     if asked:
-        at, x, y, blurry = row["t"], row["px"], row["py"], 0
-    return (at, x, y, blurry), (asked, at is not None and row["t"] - at < SETTLING)
+        at, x, y, blurry = t, px, py, 0
+    return (at, x, y, blurry), (asked, at is not None and t - at < SETTLING)
+
+
+def free_step(state: tuple, t: float, until: float) -> tuple[tuple, tuple]:
+    """Takes a row that comes when the one taken before is done."""
+    ok = state[0] is None or t >= state[0]
+    return ((until,) if ok else state), (ok,)
+
+
+REFOCUS_COLUMNS = {"t": "t", "px": "px", "py": "py", "reason": "reason"}
 
 
 def throttle(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """``df`` (with t in seconds) and whether each row is accepted."""
-    return scan(df, key, order, throttle_step, (None,), "accepted boolean")
+    return scan(df, key, order, throttle_step, (None,), {"t": "t"}, "accepted boolean")
 
 
 def refocus(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """``df`` (t, px, py, reason) with ``requested`` and ``settling``."""
-    return scan(df, key, order, refocus_step, (None, None, None, 0), "requested boolean, settling boolean")
+    return scan(df, key, order, refocus_step, (None, None, None, 0), REFOCUS_COLUMNS, "requested boolean, settling boolean")
 
 
-def _iou(a: dict, b: dict) -> float:
-    w = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])
-    h = min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"])
+def _iou(a: tuple, b: tuple) -> float:
+    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
     common = w * h if w > 0 and h > 0 else 0.0
-    union = a["w"] * a["h"] + b["w"] * b["h"] - common
+    union = a[2] * a[3] + b[2] * b[3] - common
     return common / union if union > 0 else 0.0
 
 
-def deduplicated(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Observations (text_key, confidence, x, y, w, h) of each key, in order:
-    one merges into the first accepted one of the same text that it overlaps by
-    0.35 or more, and replaces it in place if its confidence is higher.  Returns
-    the accepted ones with ``place`` and ``merged`` (how many fell together).
-    Only rows of one key and text can merge, so the fold is dealt by both."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", place int, merged int"
-    columns = df.columns
-    by = [*key, "text_key"]
-
-    def run(batches):
-        last, accepted, done = None, [], []
+def merge_step(state: list, x: float, y: float, w: float, h: float, confidence: float | None) -> tuple[list, tuple]:
+    """The slot that a box falls into, and whether it takes the slot over."""
+    box = (x, y, w, h)
+    for slot, (other, best) in enumerate(state):
+        if _iou(other, box) >= 0.35:
+            better = confidence is not None and (best is None or confidence > best)
+            if better:
+                state = [*state[:slot], (box, confidence), *state[slot + 1 :]]
+            return state, (slot, better)
+    return [*state, (box, confidence)], (len(state), True)
 
-        def close():
-            done.extend({**row, "place": place, "merged": n} for place, (row, n) in enumerate(accepted))
-
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                now = tuple(row[k] for k in by)
-                if now != last:
-                    close()
-                    last, accepted = now, []
-                for i, (other, n) in enumerate(accepted):
-                    if _iou(other, row) >= 0.35:
-                        accepted[i] = (row if row["confidence"] > other["confidence"] else other, n + 1)
-                        break
-                else:
-                    accepted.append((row, 1))
-            yield pd.DataFrame(done, columns=[*columns, "place", "merged"])
-            done = []
-        close()
-        yield pd.DataFrame(done, columns=[*columns, "place", "merged"])
 
+def deduplicated(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Observations (text_key, confidence, x, y, w, h and, if there,
+    candidates) of each key, in order: one merges into the first accepted one of
+    the same text that it overlaps by 0.35 or more, and replaces it in place if
+    its confidence is higher.  Returns the accepted ones with ``place`` (from 0
+    in the order of each key), ``merged`` (how many fell together) and, of the
+    candidates (array<struct<text, ...>>), the union, the better observation's
+    first, each text once by its normal form.
+
+    Only rows of one key and text can merge, so the fold is dealt by both and
+    only names each row's slot; the best row of a slot and the place of the slot
+    in the key follow by windows."""
+    by = [*key, "text_key"]
     rows = df.where("text_key is not null and text_key <> ''")
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+    slots = scan(rows, by, order, merge_step, [], {n: n for n in ("x", "y", "w", "h", "confidence")}, "slot int, replaces boolean")
+    w = Window.partitionBy(*by, "slot")
+    found = slots.withColumn("__nth", F.row_number().over(w.orderBy(*order))).withColumn("__best", F.row_number().over(w.orderBy(F.col("confidence").desc_nulls_last(), *order)))
+    found = found.withColumn("merged", F.count("*").over(w).cast("int")).withColumn("__begun", F.min(F.struct(*order)).over(w))
+    if "candidates" in df.columns:
+        # who takes the slot over puts the own candidates before the rest, others behind
+        turn = F.when(F.col("replaces"), -F.col("__nth")).otherwise(F.col("__nth"))
+        every = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(turn.alias("turn"), "candidates")).over(w)), lambda x: x["candidates"]))
+        found = found.withColumn("candidates", F.when(F.col("merged") == 1, F.col("candidates")).otherwise(unique_candidates(every)))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("__begun", "text_key")) - 1
+    return found.where("__best = 1").withColumn("place", place).select(*df.columns, "place", "merged")
+
+
+def unique_candidates(candidates: Column) -> Column:
+    """Candidates (array<struct<text, confidence>>) with each text once by its
+    normal form, the first of equals, in order."""
+    keyed = F.transform(candidates, lambda c: F.struct(plain_key(c["text"]).alias("key"), c.alias("c")))
+    keys = F.transform(keyed, lambda x: x["key"])
+    first = F.filter(F.transform(keyed, lambda x, i: F.struct(x["c"].alias("c"), (F.array_position(keys, x["key"]) == i + 1).alias("new"))), lambda x: x["new"])
+    return F.transform(first, lambda x: x["c"])
+
+
+def plain_key(text: Column) -> Column:
+    """The normal form of a candidate inside an array, where the Arrow function
+    for compatibility forms can't be called: full-width forms, single spaces,
+    lower case."""
+    return F.lower(t.squeezed(t.narrow(text)))
 
 
 def reading_order(items):

@@ -9,22 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import geometry as g
+from . import folds
 
 # Frames needed, and frames remembered for the best one.
 STABLE, FOCUSED, RING = 3, 2, 8
 
 
 def decisions(frames: DataFrame, session: str = "session_id", seq: str = "seq") -> DataFrame:
-    """``frames`` (box struct or null, is_sharp, is_adjusting) with run, counts
-    and the decision: should_capture, is_stable, is_eligible, did_reset.  All
-    are false after the capture.  Frames with an ``error`` don't belong here."""
+    """``frames`` (box struct or null, is_sharp, is_adjusting and, if there,
+    is_settling) with run, counts and the decision: should_capture, is_stable,
+    is_eligible, did_reset.  All are false after the capture.  Frames with an
+    ``error`` don't belong here, see ``split_errors``."""
     w = Window.partitionBy(session).orderBy(seq)
     before = F.lag("box").over(w)
     rows = frames.withColumn("__before", before).withColumn("__steady", F.coalesce(g.stable(F.col("box"), F.col("__before")), F.lit(False)))
     rows = rows.withColumn("run", F.sum(F.when(F.col("__steady"), 0).otherwise(1)).over(w))
     inside = Window.partitionBy(session, "run").orderBy(seq)
     there = F.col("box").isNotNull()
-    eligible = there & F.coalesce(F.col("is_sharp"), F.lit(True)) & ~F.coalesce(F.col("is_adjusting"), F.lit(False))
+    moving = F.coalesce(F.col("is_adjusting"), F.lit(False))
+    if "is_settling" in frames.columns:
+        moving = moving | F.coalesce(F.col("is_settling"), F.lit(False))
+    eligible = there & F.coalesce(F.col("is_sharp"), F.lit(True)) & ~moving
     rows = rows.withColumn("stable_count", F.when(there, F.row_number().over(inside)).otherwise(0)).withColumn("__eligible", eligible)
     rows = rows.withColumn("__break", F.sum(F.when(F.col("__eligible"), 0).otherwise(1)).over(inside))
     streak = Window.partitionBy(session, "run", "__break").orderBy(seq)
@@ -50,9 +55,23 @@ def best_frames(gated: DataFrame, session: str = "session_id", seq: str = "seq",
     return picked.select(session, F.col(seq).alias("capture_seq"), (-F.col("__best.back")).alias("best_seq"), F.col("__best.score").alias("best_score"))
 
 
-def scanner_state(reason, is_stable, captured):
-    """The state shown for a frame."""
+def scanner_state(reason, is_stable):
+    """The state that a frame with a detection leads to."""
     return (
-        F.when(captured, "captured").when(reason == "waitingForAutofocus", "focusing").when(reason.isin("tooDark", "tooLowContrast", "tooBlurry", "tooCloseLikely"), reason)
-        .when(is_stable, "stable").otherwise("searching")
+        F.when(reason == "tooCloseLikely", "moveFartherAway").when(reason.isin("tooDark", "tooLowContrast"), "moreLightNeeded")
+        .when(reason == "waitingForAutofocus", "holdingSteady").when((reason == "tooBlurry") & is_stable, "holdingSteady").otherwise("running")
     )
+
+
+def split_errors(frames: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
+    """Frames for the gate, and those whose detection or crop failed: the
+    latter leave the gate as it is and are reported on their own."""
+    return frames.where(F.col(error).isNull()), frames.where(F.col(error).isNotNull())
+
+
+def on_time(frames: DataFrame, session: str = "session_id", seq: str = "seq", arrived: str = "arrived", done: str = "done") -> DataFrame:
+    """Frames that find the analysis free: one that arrives while the frame
+    taken before it is still being analysed is dropped.  ``done`` is when a
+    frame's analysis would end.  Which frame was taken depends on all before,
+    so this is a fold over the session's rows."""
+    return folds.scan(frames, [session], [seq], folds.free_step, (None,), {"t": arrived, "until": done}, "taken boolean").where("taken").drop("taken")

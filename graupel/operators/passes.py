@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions import text as t
+from ..functions import geometry as g, text as t
 
 # The language passes, and the regions and heights of text passes.
 LANGUAGE_PASSES = (("ja-JP",), ("ko-KR",), ("zh-Hans", "zh-Hant"), ("en-US", "fr-FR", "de-DE", "it-IT", "es-ES"))
 FIRST_OF = {"ja": "ja-JP", "ko": "ko-KR", "zh-Hans": "zh-Hans", "en": "en-US"}
-STATES = {"idle": "Idle", "starting": "Starting camera", "running": "Looking for a card", "captured": "Captured", "denied": "Camera access denied", "failed": "Camera failed"}
-STARTABLE, CROPPABLE = ("idle", "denied", "failed"), ("running", "captured")
+#: Text passes: label, region (x, y, w, h; y up) or none, least height of text.
+TEXT_PASSES = (
+    ("normalized-full-card", None, 0.008), ("enhanced-full-card", None, 0.008), ("enhanced-top-band", (0.0, 0.66, 1.0, 0.34), 0.006),
+    ("enhanced-middle-band", (0.0, 0.32, 1.0, 0.36), 0.006), ("enhanced-bottom-band", (0.0, 0.0, 1.0, 0.35), 0.006),
+)
+STATES = {
+    "idle": "Start the camera, then capture a frame to crop the card.",
+    "requestingPermission": "Requesting camera access...",
+    "running": "Scanning for a steady card shape...",
+    "holdingSteady": "Hold steady while the card comes into focus...",
+    "moveFartherAway": "Move a little farther away so the card text can focus.",
+    "moreLightNeeded": "More light needed to focus the card text.",
+    "capturing": "Cropping captured frame...",
+    "completed": "Card crop captured. Scan again to restart the camera.",
+}
+STARTABLE, CROPPABLE = ("idle", "completed", "failed"), ("running", "holdingSteady", "moveFartherAway", "moreLightNeeded")
 
 
 def language_passes(spark: SparkSession) -> DataFrame:
@@ -54,13 +68,29 @@ def completed(captures: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return captures.join(names, key, "left")
 
 
-def summary(label: Column, count: Column, top: Column, error: Column) -> Column:
-    """A pass in one line."""
-    return F.concat_ws(" ", F.concat(label, F.lit(":")), F.concat(count.cast("string"), F.lit(" observations")), F.nullif(F.array_join(F.slice(top, 1, 5), ", "), F.lit("")), error)
+def planned(images: DataFrame) -> DataFrame:
+    """``images`` with the five text passes of each: ordinal, label, enhanced,
+    region (null: the whole image) and min_height."""
+    none = F.lit(None).cast("struct<x: double, y: double, w: double, h: double>")
+    plan = F.array(*(
+        F.struct(F.lit(label).alias("label"), F.lit(label.startswith("enhanced")).alias("enhanced"), (none if r is None else g.rect(*r)).alias("region"), F.lit(least).alias("min_height"))
+        for label, r, least in TEXT_PASSES
+    ))
+    return images.select("*", F.posexplode(plan).alias("ordinal", "p")).select(*images.columns, "ordinal", "p.*")
 
 
-def status(state: Column) -> Column:
-    return F.create_map(*(F.lit(x) for pair in STATES.items() for x in pair))[state]
+def summary(label: Column, count: Column, explicit: Column, texts: Column) -> Column:
+    """A pass in one line: its candidates, whether languages were given, and
+    its first five texts."""
+    top = F.slice(texts, 1, 5)
+    mode = F.when(explicit, "broad").otherwise("auto")
+    return F.concat(label, F.lit(": "), count.cast("string"), F.lit(" candidates, "), mode, F.lit(", "), F.when(F.size(top) > 0, F.array_join(top, " | ")).otherwise("none"))
+
+
+def status(state: Column, message: Column | None = None) -> Column:
+    """The text shown for a state; a failure shows its message."""
+    names = F.create_map(*(F.lit(x) for pair in STATES.items() for x in pair))
+    return F.when(state == "failed", F.lit(None).cast("string") if message is None else message).otherwise(names[state])
 
 
 def can_start(state: Column) -> Column:
@@ -69,3 +99,24 @@ def can_start(state: Column) -> Column:
 
 def can_crop(state: Column) -> Column:
     return state.isin(*CROPPABLE)
+
+
+def gated(rows: DataFrame, mode: str, *allowed: str) -> DataFrame:
+    """Rows of a route that only some server modes have: all of them in these
+    modes and in tests, else an error."""
+    if mode not in MODES:
+        raise ValueError(f"not a mode: {mode}")
+    if mode != "TEST" and mode not in allowed:
+        raise LookupError(f"not found in mode {mode}")
+    return rows
+
+
+# The server's modes, the first of them by default.
+MODES = ("API", "SEED", "TEST")
+
+
+def mode(name: Column) -> Column:
+    """A mode's name in capitals, the default for null; an error for any other."""
+    upper = F.upper(name)
+    wrong = F.raise_error(F.concat(F.lit("not a mode: "), name))
+    return F.when(name.isNull(), F.lit(MODES[0])).when(upper.isin(*MODES), upper).otherwise(wrong)

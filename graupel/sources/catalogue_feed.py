@@ -7,12 +7,12 @@ batch jobs over landed files need no network.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import id_in_url
+from ..functions.text import id_in_url, stripped
 
 PAGE_SIZE = 20
 Fetch = Callable[[str], tuple[int, str]]
@@ -37,16 +37,26 @@ def listing_url(base: str, offset: int, size: int = PAGE_SIZE) -> str:
     return f"{base}?offset={offset}&limit={size}"
 
 
-def listing_pages(base: str, offset: int, total: int, fetch: Fetch) -> Iterator[str]:
-    """Page bodies from ``offset`` on, along ``next``, until the listing ends
-    or rows enough for ``total`` were seen."""
-    url, rows = listing_url(base, offset), 0
-    while url and rows < total - offset:
-        body = fetched(url, fetch)
-        page = json.loads(body)
-        rows += len(page["results"])
-        yield body
-        url = page["next"]
+PAGE_ROWS = "ordinal long, body string, n long, following string"
+
+
+def listing_pages(spark: SparkSession, base: str, offset: int, total: int, fetch: Fetch, parts: int = 8) -> DataFrame:
+    """Pages (ordinal, body, n, following) of the listing from ``offset`` to the
+    announced ``total``, fetched in up to ``parts`` tasks."""
+
+    def run(batches):
+        for b in batches:
+            bodies = [fetched(listing_url(base, int(at)), fetch) for at in b["id"]]
+            pages = [json.loads(x) for x in bodies]
+            yield pd.DataFrame({"ordinal": b["id"] // PAGE_SIZE, "body": bodies, "n": [len(p["results"]) for p in pages], "following": [p["next"] for p in pages]})
+
+    n = max(0, -(-(total - offset) // PAGE_SIZE))
+    return spark.range(offset, max(offset, total), PAGE_SIZE, max(1, min(parts, n))).mapInPandas(run, PAGE_ROWS)
+
+
+def page_row(ordinal: int, body: str) -> tuple:
+    page = json.loads(body)
+    return ordinal, body, len(page["results"]), page["next"]
 
 
 def summaries(pages: DataFrame) -> DataFrame:
@@ -54,7 +64,7 @@ def summaries(pages: DataFrame) -> DataFrame:
     entry without an id is an error."""
     page = F.from_json("body", PAGE, {"mode": "FAILFAST"})
     rows = pages.select("ordinal", F.posexplode(page["results"]).alias("place", "entry"))
-    return rows.select("ordinal", "place", id_in_url(F.col("entry.url")).alias("id"), F.trim("entry.name").alias("name"))
+    return rows.select("ordinal", "place", id_in_url(F.col("entry.url")).alias("id"), stripped(F.col("entry.name")).alias("name"))
 
 
 def new_summaries(pages: DataFrame, prefix: int, total: int) -> DataFrame:
@@ -76,8 +86,8 @@ def details(ids: DataFrame, base: str, fetch: Fetch, parts: int = 8) -> DataFram
 
 
 def _text(value, what: str):
-    """Trimmed; an error where empty or missing."""
-    plain = F.trim(value)
+    """Without white space at the ends; an error where empty or missing."""
+    plain = stripped(value)
     return F.when(F.length(plain) > 0, plain).otherwise(F.raise_error(F.lit(f"{what} must not be empty")))
 
 
@@ -87,14 +97,14 @@ def normalised(bodies: DataFrame, numbers: str = "index_numbers", index: str = "
     Unknown keys are dropped; any violation of the schema is an error."""
     d = F.from_json("body", DETAIL.format(numbers=numbers, index=index), {"mode": "FAILFAST"})
     rows = bodies.select(d.alias("d"))
-    named = lambda r: F.trim(r["name"])
+    named = lambda r: stripped(r["name"])
     return rows.select(
         F.when(F.col("d.id") > 0, F.col("d.id")).otherwise(F.raise_error(F.lit("id must be positive"))).alias("id"),
         _text(F.col("d.name"), "name").alias("name"), _text(F.col("d.color.name"), "color").alias("color_name"),
-        F.trim("d.evolves_from_species.name").alias("evolves_from_species_name"), _text(F.col("d.generation.name"), "generation").alias("generation_name"),
-        F.trim("d.habitat.name").alias("habitat_name"), "d.is_baby", "d.is_legendary", "d.is_mythical",
-        F.transform("d.names", lambda x: F.struct(named(x["language"]).alias("language_name"), F.trim(x["name"]).alias("name"))).alias("names"),
-        F.transform("d.genera", lambda x: F.struct(named(x["language"]).alias("language_name"), F.trim(x["genus"]).alias("genus"))).alias("genera"),
+        stripped(F.col("d.evolves_from_species.name")).alias("evolves_from_species_name"), _text(F.col("d.generation.name"), "generation").alias("generation_name"),
+        stripped(F.col("d.habitat.name")).alias("habitat_name"), "d.is_baby", "d.is_legendary", "d.is_mythical",
+        F.transform("d.names", lambda x: F.struct(named(x["language"]).alias("language_name"), stripped(x["name"]).alias("name"))).alias("names"),
+        F.transform("d.genera", lambda x: F.struct(named(x["language"]).alias("language_name"), stripped(x["genus"]).alias("genus"))).alias("genera"),
         F.transform(f"d.{numbers}", lambda x: F.struct(named(x[index]).alias("index_name"), x["entry_number"].alias("entry_number"))).alias("index_numbers"),
     )
 
@@ -104,5 +114,10 @@ def children(species: DataFrame, array: str) -> DataFrame:
     return species.select(F.col("id").alias("species_id"), F.explode(array).alias("e")).select("species_id", "e.*")
 
 
+def with_children(species: DataFrame, child: DataFrame) -> DataFrame:
+    """Each child row with its parent's columns."""
+    return child.join(species, child["species_id"] == species["id"])
+
+
 def from_bodies(spark: SparkSession, bodies: list[str]) -> DataFrame:
     return spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "ordinal long, body string")

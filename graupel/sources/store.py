@@ -2,8 +2,8 @@
 keyed upsert, clear, guarded reset, and the incremental synchronisation.
 
 Children are written before their parent, and a parent row marks its record as
-complete: a run that is cut off leaves children that the next run overwrites by
-anti-join on the parent.
+complete: after a run that was cut off, the next one finds the record missing
+and writes what its tables lack, each by an anti-join on its own key.
 """
 
 from __future__ import annotations
@@ -49,6 +49,9 @@ class Store:
 
     def exists(self, name: str) -> bool:
         fs, p = self._hadoop(self.path(name))
+        old = self._hadoop(f"{self.root}/_old_{name}")[1]
+        if not fs.exists(p) and fs.exists(old):  # an overwrite was cut off between its two renamings
+            fs.rename(old, p)
         return fs.exists(p)
 
     def create(self, name: str, schema: str) -> None:
@@ -72,15 +75,21 @@ class Store:
 
     def table(self, name: str) -> DataFrame:
         schema = {"species": SPECIES, "sync_state": STATE, **CHILDREN}[name]
+        self.exists(name)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def overwrite(self, name: str, df: DataFrame) -> None:
-        """A table's new content, written beside it and moved into its place."""
+        """A table's new content, written beside it and moved into its place;
+        the old content stays until the new one is there."""
         new = f"{self.root}/_new_{name}_{uuid.uuid4().hex}"
         df.write.parquet(new)
+        there = self.exists(name)
         fs, p = self._hadoop(self.path(name))
-        fs.delete(p, True)
-        fs.rename(self._hadoop(new)[1], p)
+        old = self._hadoop(f"{self.root}/_old_{name}")[1]
+        fs.delete(old, True)
+        if there and not fs.rename(p, old) or not fs.rename(self._hadoop(new)[1], p):
+            raise OSError(f"could not move the new content of {name} into place")
+        fs.delete(old, True)
 
     def clear(self) -> None:
         for name in [*CHILDREN, "species"]:
@@ -95,7 +104,8 @@ class Store:
             raise ValueError(f"duplicate name: {twice.first()['name']}")
         saved = new.count()
         for name in CHILDREN:
-            feed.children(new, name).write.mode("append").parquet(self.path(name))
+            rows = missing(feed.children(new, name), self.table(name), "species_id")
+            rows.select(self.table(name).columns).write.mode("append").parquet(self.path(name))
         new.drop(*CHILDREN).withColumn("seeded_at", F.lit(at)).write.mode("append").parquet(self.path("species"))
         new.unpersist()
         return saved
@@ -143,17 +153,39 @@ def sync(store: Store, base: str, fetch: feed.Fetch, now: datetime, seed: str =
         store.mark(seed, now)
         return 0
     start = prefix // feed.PAGE_SIZE * feed.PAGE_SIZE
-    bodies = [first] if start == 0 else []
-    if start or json.loads(first)["next"]:
-        more = feed.listing_pages(base, start or feed.PAGE_SIZE, total, fetch)
-        bodies += [*more]
-    listed = feed.new_summaries(feed.from_bodies(spark, bodies), prefix, total)
+    row, after = feed.page_row(start // feed.PAGE_SIZE, first), start
+    pages = spark.createDataFrame([row] if not start else [], feed.PAGE_ROWS)
+    if not start:
+        after = feed.PAGE_SIZE if row[3] else total
+    landed = f"{store.root}/_listing_{uuid.uuid4().hex}"
+    pages.unionByName(feed.listing_pages(spark, base, after, total, fetch)).write.parquet(landed)
+    pages = spark.read.schema(feed.PAGE_ROWS).parquet(landed)
+    listed = feed.new_summaries(pages, prefix, total)
+    last = pages.agg(F.max(F.struct("ordinal", "following")).alias("last")).first()["last"]
+    while last["following"] and listed.count() < total - prefix:  # the listing goes on behind what it announced
+        more = feed.page_row(last["ordinal"] + 1, feed.fetched(last["following"], fetch))
+        spark.createDataFrame([more], feed.PAGE_ROWS).write.mode("append").parquet(landed)
+        pages = spark.read.schema(feed.PAGE_ROWS).parquet(landed)
+        listed, last = feed.new_summaries(pages, prefix, total), {"ordinal": more[0], "following": more[3]}
     new = lacking(listed, have, "id").select("id")
     complete = listed.count() >= total - prefix
-    if new.isEmpty():
-        store.mark(seed, now)
-        return 0
-    saved = store.insert(feed.normalised(feed.details(new, base, fetch)), now)
-    if complete:
+    saved = 0
+    if not new.isEmpty():
+        saved = store.insert(feed.normalised(feed.details(new, base, fetch)), now)
+        if complete:
+            store.mark(seed, now)
+    else:
         store.mark(seed, now)
+    fs, p = store._hadoop(landed)
+    fs.delete(p, True)
     return saved
+
+
+def saved(store: Store, base: str, fetch: feed.Fetch, now: datetime, **options) -> DataFrame:
+    """A synchronisation's answer as one row: the number of records saved."""
+    return store.spark.createDataFrame([(sync(store, base, fetch, now, **options),)], "saved long")
+
+
+def iso(at: Column) -> Column:
+    """A time as text: UTC, milliseconds, ``Z``."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -1,19 +1,29 @@
-"""The ordered folds as Structured Streaming operators.
+"""The ordered folds and the capture gate as Structured Streaming operators.
 
-State is kept per key between micro-batches; rows of a micro-batch are put in
-the order of ``seq``.  With the same rows in the same order the results are
-those of the batch folds.
+State is kept per key between micro-batches (RocksDB where the session says so);
+rows of a micro-batch are put in the order of ``seq``.  With the same rows in
+the same order the results are those of the batch operators.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from math import hypot
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+from ..operators.folds import REFOCUS_COLUMNS, refocus_step, throttle_step
+from ..operators.gate import FOCUSED, RING, STABLE
+
 
-from ..operators.folds import refocus_step, throttle_step
+def frames(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
+    """Landed frames as a stream, ``files`` files a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)
 
 
-def _stateful(stream: DataFrame, key: list[str], seq: str, step, start: tuple, into: str, state: str) -> DataFrame:
+def _stateful(stream: DataFrame, key: list[str], seq: str, step, start: tuple, take: dict[str, str], into: str, state: str) -> DataFrame:
     names = [part.split()[0] for part in into.split(", ")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + ", " + into
 
@@ -22,9 +32,9 @@ def _stateful(stream: DataFrame, key: list[str], seq: str, step, start: tuple, i
         now = tuple(None if isinstance(v, float) and v != v else v for v in now)
         rows = pd.concat([*batches]).sort_values(seq, kind="stable")
         out = []
-        for row in rows.to_dict("records"):
-            now, values = step(now, row)
-            out.append(values)
+        for values in zip(*(rows[c].tolist() for c in take.values())):
+            now, results = step(now, *values)
+            out.append(results)
         kept.update(now)
         yield rows.assign(**{n: [v[i] for v in out] for i, n in enumerate(names)})
 
@@ -32,8 +42,100 @@ def _stateful(stream: DataFrame, key: list[str], seq: str, step, start: tuple, i
 
 
 def throttle(stream: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
-    return _stateful(stream, key, seq, throttle_step, (None,), "accepted boolean", "last double")
+    return _stateful(stream, key, seq, throttle_step, (None,), {"t": "t"}, "accepted boolean", "last double")
 
 
 def refocus(stream: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
-    return _stateful(stream, key, seq, refocus_step, (None, None, None, 0), "requested boolean, settling boolean", "at double, x double, y double, blurry long")
+    return _stateful(stream, key, seq, refocus_step, (None, None, None, 0), REFOCUS_COLUMNS, "requested boolean, settling boolean", "at double, x double, y double, blurry long")
+
+
+def _steady(a: tuple, b: tuple) -> bool:
+    w, h = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+    common, one, two = (w * h if w > 0 and h > 0 else 0.0), a[2] * a[3], b[2] * b[3]
+    union, larger = one + two - common, max(one, two)
+    near = hypot(a[0] + a[2] / 2 - b[0] - b[2] / 2, a[1] + a[3] / 2 - b[1] - b[3] / 2) <= 0.06
+    return near and union > 0 and common / union >= 0.65 and (abs(one - two) / larger if larger > 0 else 1.0) <= 0.25
+
+
+GATE = "seq long, should_capture boolean, is_stable boolean, is_eligible boolean, did_reset boolean, best_seq long, best_score double"
+
+
+def gate_step(state: dict, seq: int, box: tuple | None, sharp: bool, moving: bool, score: float) -> tuple:
+    """One frame through the gate; ``state`` holds the box before, the counts,
+    whether it has fired, and the ring of sharp frames."""
+    fired = state["fired"]
+    if box is None:
+        state.update(before=None, stable=0, focused=0)
+        state["ring"].clear()
+        return seq, False, False, False, not fired, None, None
+    before = state["before"]
+    if before is not None and _steady(box, before):
+        state["stable"] += 1
+        reset = False
+    else:
+        state.update(stable=1, focused=0)
+        reset = before is not None
+    if reset:
+        state["ring"].clear()
+    eligible = sharp and not moving
+    state["focused"] = state["focused"] + 1 if eligible else 0
+    state["before"] = box
+    if sharp:
+        state["ring"].append((seq, score))
+    if fired:
+        return seq, False, False, False, False, None, None
+    stable = state["stable"] >= STABLE
+    fires = stable and state["focused"] >= FOCUSED
+    best = None
+    if fires:
+        state["fired"] = True
+        best = max(state["ring"], key=lambda x: (x[1], -x[0]), default=None)
+    return (seq, fires, stable, eligible, reset, *(best or (None, None)))
+
+
+class CaptureGate(StatefulProcessor):
+    """The gate and its ring of best frames, one state a session."""
+
+    def init(self, handle) -> None:
+        self.gate = handle.getValueState("gate", "x double, y double, w double, h double, stable int, focused int, fired boolean")
+        self.ring = handle.getListState("ring", "seq long, score double")
+
+    def handleInputRows(self, key, rows, timer_values):
+        state = {"before": None, "stable": 0, "focused": 0, "fired": False, "ring": deque(maxlen=RING)}
+        if self.gate.exists():
+            x, y, w, h, state["stable"], state["focused"], state["fired"] = self.gate.get()
+            state["before"] = None if x is None or x != x else (x, y, w, h)
+        if self.ring.exists():
+            state["ring"].extend((int(a), float(b)) for a, b in self.ring.get())
+        batch = pd.concat([*rows]).sort_values("seq", kind="stable")
+        out = []
+        for seq, there, x, y, w, h, sharp, moving, score in zip(*(batch[c].tolist() for c in ("seq", "there", "x", "y", "w", "h", "is_sharp", "moving", "score"))):
+            out.append(gate_step(state, seq, (x, y, w, h) if there else None, bool(sharp), bool(moving), score))
+        self.gate.update((*(state["before"] or (None,) * 4), state["stable"], state["focused"], state["fired"]))
+        self.ring.put([*state["ring"]]) if state["ring"] else self.ring.clear()
+        names = [part.split()[0] for part in GATE.split(", ")]
+        found = pd.DataFrame(out, columns=names).astype({"best_seq": "Int64", "best_score": "float64"})
+        found.insert(0, "session_id", key[0])
+        yield found
+
+    def close(self) -> None:
+        pass
+
+
+def gate(stream: DataFrame, session: str = "session_id", seq: str = "seq", score: str = "score") -> DataFrame:
+    """The capture gate on a stream of frames (box struct or null, is_sharp,
+    is_adjusting): the decision of each frame, and with a capture the best of
+    the last sharp frames.  Frames with an ``error`` pass by the state; null
+    means sharp, not adjusting."""
+    kind = stream.schema[session].dataType.simpleString()
+    if "error" in stream.columns:
+        stream = stream.where("error is null")
+    flag = lambda c, missing: F.coalesce(F.col(c), F.lit(missing))
+    moving = flag("is_adjusting", False)
+    if "is_settling" in stream.columns:
+        moving = moving | flag("is_settling", False)
+    cut = stream.select(
+        F.col(session).alias("session_id"), F.col(seq).cast("long").alias("seq"), F.col("box").isNotNull().alias("there"),
+        *(F.coalesce(F.col(f"box.{n}"), F.lit(0.0)).alias(n) for n in "xywh"), flag("is_sharp", True).alias("is_sharp"), moving.alias("moving"), F.col(score).cast("double").alias("score"),
+    )
+    return cut.groupBy("session_id").transformWithStateInPandas(CaptureGate(), f"session_id {kind}, {GATE}", "Append", "None").withColumnRenamed("session_id", session)

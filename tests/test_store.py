@@ -1,11 +1,14 @@
 """Incremental loading of a paged catalogue, with a fetch of our own."""
 
 import json
+import os
 import sys
+import tempfile
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from graupel.sources import catalogue_feed as feed, lexicon, logs, store
 
@@ -29,14 +32,19 @@ def detail(i):
 
 
 class Feed:
-    """Counts what the driver asks for; details are answered on executors."""
+    """Counts the pages asked for, on the driver or in tasks, by files."""
 
     def __init__(self, total, listed=None, bad=None, blank=None):
-        self.total, self.listed, self.bad, self.blank, self.pages = total, listed or [*range(1, total + 1)], bad, blank, 0
+        self.total, self.listed, self.bad, self.blank = total, listed or [*range(1, total + 1)], bad, blank
+        self.asked = tempfile.mkdtemp(prefix="feed-")
+
+    @property
+    def pages(self):
+        return len(os.listdir(self.asked))
 
     def __call__(self, url):
         if "?" in url:
-            self.pages += 1
+            os.close(tempfile.mkstemp(dir=self.asked)[0])
             offset = int(url.split("offset=")[1].split("&")[0])
             rows = self.listed[offset : offset + feed.PAGE_SIZE]
             following = feed.listing_url(BASE, offset + feed.PAGE_SIZE) if offset + feed.PAGE_SIZE < len(self.listed) else None
@@ -119,3 +127,66 @@ def test_log_contexts(spark):
     got = spark.createDataFrame([(json.dumps(given),), ("no json",), (None,)], "x string").select(logs.sanitised("x").alias("y")).collect()
     assert json.loads(got[0]["y"]) == {"string": "value", "number": 1, "boolean": False, "empty": None, "array": ["value", 1, True, None]}
     assert got[1]["y"] is None and got[2]["y"] is None
+
+
+def test_cut_off_run_doubles_nothing(spark, shop):
+    bodies = spark.createDataFrame([(i, json.dumps(detail(i))) for i in range(1, 6)], "id long, body string")
+    records = feed.normalised(bodies)
+    feed.children(records, "names").write.mode("append").parquet(shop.path("names"))  # and then it died
+    assert shop.insert(records, NOW) == 5
+    assert shop.table("names").count() == 5 and shop.table("genera").count() == 5
+    joined = feed.with_children(shop.table("species"), shop.table("names").withColumnRenamed("name", "said"))
+    assert joined.where("said = concat('S', id)").count() == 5
+
+
+def test_overwrite_cut_off_between_renamings(spark, shop):
+    shop.mark("species", NOW)
+    fs, p = shop._hadoop(shop.path("sync_state"))
+    fs.rename(p, shop._hadoop(f"{shop.root}/_old_sync_state")[1])
+    assert shop.last_sync("species") == NOW
+
+
+@pytest.mark.parametrize("blank", ["", " ", "\t\n", "\u00a0"])
+def test_blank_names_are_errors(spark, blank):
+    body = spark.createDataFrame([(1, json.dumps(detail(1) | {"name": blank}))], "id long, body string")
+    with pytest.raises(Exception, match="name"):
+        feed.normalised(body).collect()
+
+
+def test_listing_goes_on_behind_the_announced_count(spark, shop):
+    f = Feed(45, listed=[*range(1, 21)] * 2 + [*range(21, 46)])
+    assert store.sync(shop, BASE, f, NOW) == 45 and f.pages == 4
+    assert shop.last_sync("species") == NOW
+
+
+def test_answer_row_and_mode(spark, tmp_path):
+    from graupel import __main__ as command
+    from graupel.operators import passes
+
+    cloudpickle.register_pickle_by_value(command)
+    got = command.synchronise(spark, str(tmp_path / "s"), BASE, Feed(3), NOW, "seed")
+    assert [r.asDict() for r in got.collect()] == [{"saved": 3}]
+    with pytest.raises(LookupError):
+        command.synchronise(spark, str(tmp_path / "s"), BASE, Feed(3), NOW, None)
+    with pytest.raises(Exception, match="not a mode"):
+        spark.range(1).select(passes.mode(F.lit("x"))).collect()
+    assert passes.gated(spark.range(2), "TEST", "SEED").count() == 2
+
+
+def test_records_and_issues(spark):
+    record = {"token": "t", "req": {"headers": {"authorization": "a", "x": 1}}, "tokens": "kept", "body": {"a": 1}}
+    context = {"validations": [{}, None, {"path": None}, {"path": []}, {"path": ["name", 0]}, {"path": [None]}, {"path": "x"}]}
+    row = spark.createDataFrame([(json.dumps(record), json.dumps(context))], "a string, b string").select(logs.redacted_record("a").alias("a"), logs.issue_paths("b").alias("b")).first()
+    mark = "[Redacted]"
+    assert json.loads(row["a"]) == {"token": mark, "req": {"headers": {"authorization": mark, "x": 1}}, "tokens": "kept", "body": mark}
+    assert row["b"] == ["<root>", "<root>", "<root>", "name.0"]
+    try:
+        raise ValueError("outer") from KeyError("inner")
+    except ValueError as e:
+        said = logs.error_record(e)
+    assert (said["error_name"], said["error_message"], said["error_cause_name"]) == ("ValueError", "outer", "KeyError") and "Traceback" in said["error_stack"]
+    assert logs.error_record("x") == {"error_name": "str", "error_details": "x"} and logs.error_record([1])["error_details"] == "Non-Error value thrown" and logs.error_record(None) is None
+
+
+def test_iso_time(spark):
+    assert spark.sql("select timestamp'2024-05-01 10:20:30.123' as t").select(store.iso(F.col("t")).alias("x")).first()["x"] == "2024-05-01T10:20:30.123Z"

@@ -46,7 +46,7 @@ def test_suffix_needs_a_boundary(spark):
 
 
 def test_observation_key(spark):
-    assert one(spark, t.observation_key(F.col("x")), " Ｐｉｋａ　chu ﬁ ") == "pika chu fi"
+    assert one(spark, t.observation_key(F.col("x")), " Ｆａｌｃ　on ﬁ ") == "falc on fi"
 
 
 def test_best_title(spark):
