@@ -10,7 +10,7 @@ CARD_ASPECT = 63.0 / 88.0
 
 def rect(x, y, w, h) -> Column:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
-    return F.struct(*(as_col(v).cast("double").alias(n) for v, n in zip((x, y, w, h), "xywh")))
+    return F.named_struct(*(c for v, n in zip((x, y, w, h), "xywh") for c in (F.lit(n), as_col(v).cast("double"))))
 
 
 def area(r: Column) -> Column:

@@ -44,11 +44,11 @@ def concatenated(passes: list[DataFrame], ordinal: str = "pass") -> DataFrame:
     return reduce(DataFrame.unionByName, (rows.withColumn(ordinal, F.lit(i)) for i, rows in enumerate(passes)))
 
 
-def with_fallback(primary: DataFrame, fallback: DataFrame, image: str, order: str) -> DataFrame:
+def with_fallback(primary: DataFrame, fallback: DataFrame, image: str, *order: str) -> DataFrame:
     """Primary and fallback candidates with ids from 0, the fallback's
     continuing behind the primary ones of the image."""
     both = primary.withColumn("source", F.lit("primary")).unionByName(fallback.withColumn("source", F.lit("fallback")))
-    return both.withColumn("id", F.row_number().over(Window.partitionBy(image).orderBy(F.col("source").desc(), order)) - 1)
+    return both.withColumn("id", F.row_number().over(Window.partitionBy(image).orderBy(F.col("source").desc(), *order)) - 1)
 
 
 def selected(candidates: DataFrame, image: str, score: str = "score", valid: str = "valid") -> DataFrame:

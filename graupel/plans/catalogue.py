@@ -48,11 +48,16 @@ def lexicon_groups(spark, sf):
 _PAGE_IDS = r"SELECT page_id, CAST(regexp_extract(regexp_replace(url, '[?#].*$', ''), '/(\d+)/?$', 1) AS BIGINT) AS id FROM pages WHERE regexp_matches(regexp_replace(url, '[?#].*$', ''), '/(\d+)/?$')"
 
 
-@query(f"SELECT id, min(page_id) AS page_id FROM ({_PAGE_IDS}) WHERE id > 20 AND id <= 5000 GROUP BY id")
+@query(f"""
+WITH p AS ({_PAGE_IDS}), d AS (SELECT DISTINCT id FROM p WHERE id >= 1), r AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM d),
+b AS (SELECT count(*) FILTER (WHERE id = n) AS prefix, max(id) AS total FROM r)
+SELECT id, min(page_id) AS page_id FROM p, b WHERE id > prefix AND id <= total GROUP BY id
+""")
 def first_page_dedup(spark, sf):
     pages = _table(spark, sf, "pages").where(F.rlike(F.regexp_replace("url", r"[?#].*$", ""), F.lit(r"/(\d+)/?$")))
-    rows = pages.select(t.id_in_url(F.col("url")).alias("id"), "page_id").where("id > 20 and id <= 5000")
-    return keys.first_of_each(rows, ["id"], [F.asc("page_id")]).orderBy("id")
+    rows = pages.select(t.id_in_url(F.col("url")).alias("id"), "page_id")
+    prefix, total = keys.contiguous_prefix(rows, "id").first()["prefix"] or 0, rows.agg(F.max("id").alias("n")).first()["n"] or 0
+    return keys.first_of_each(rows.where((F.col("id") > prefix) & (F.col("id") <= total)), ["id"], [F.asc("page_id")]).orderBy("id")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -101,29 +106,30 @@ def json_props(spark, sf):
 
 
 @query("""
-WITH o AS (SELECT user_id, max(ts) AS last FROM events WHERE event_id % 2 = 0 GROUP BY user_id),
-n AS (SELECT user_id, min(ts) AS last FROM events WHERE event_id % 3 = 0 GROUP BY user_id)
+WITH o AS (SELECT user_id, max(ts) AS last FROM events WHERE ts < TIMESTAMP '2024-01-28 00:00:00' GROUP BY user_id),
+n AS (SELECT user_id, max(ts) AS last FROM events WHERE ts >= TIMESTAMP '2024-01-28 00:00:00' GROUP BY user_id)
 SELECT * FROM o WHERE user_id NOT IN (SELECT user_id FROM n) UNION ALL SELECT * FROM n
 """)
 def state_upsert(spark, sf):
+    """The state of the users up to a day, and what came later on top."""
     events = _table(spark, sf, "events")
-    old = events.where("event_id % 2 = 0").groupBy("user_id").agg(F.max("ts").alias("last"))
-    return store.upserted(old, events.where("event_id % 3 = 0").groupBy("user_id").agg(F.min("ts").alias("last")), "user_id")
+    day = F.lit("2024-01-28 00:00:00").cast("timestamp_ntz")
+    last = lambda rows: rows.groupBy("user_id").agg(F.max("ts").alias("last"))
+    return store.upserted(last(events.where(F.col("ts") < day)), last(events.where(F.col("ts") >= day)), "user_id")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 6 <> 0")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def insert_if_absent(spark, sf):
-    rows = _table(spark, sf, "customer", "c_custkey", "c_name")
-    return keys.missing(rows.where("c_custkey % 2 = 0").dropDuplicates(["c_custkey"]), rows.where("c_custkey % 6 = 0"), "c_custkey")
+    return keys.missing(_table(spark, sf, "customer", "c_custkey", "c_name").dropDuplicates(["c_custkey"]), _table(spark, sf, "orders", "o_custkey as c_custkey"), "c_custkey")
 
 
 @query("""
-WITH r AS (SELECT sha256(text) AS h, min(doc_id) AS first_id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
+WITH r AS (SELECT sha256(text) AS h, min(doc_id) AS first_id FROM documents GROUP BY 1)
 SELECT d.doc_id, r.first_id FROM documents d LEFT JOIN r ON sha256(d.text) = r.h
 """)
 def hash_lookup(spark, sf):
     docs = _table(spark, sf, "documents", "doc_id", "sha2(text, 256) as h")
-    known = docs.where("doc_id % 2 = 0").groupBy("h").agg(F.min("doc_id").alias("first_id"))
+    known = docs.groupBy("h").agg(F.min("doc_id").alias("first_id"))
     return docs.join(known, "h", "left").select("doc_id", "first_id")
 
 
@@ -158,9 +164,9 @@ def text_normalize(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.md5(t.observation_key(F.col("text"))).alias("key"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(text[1:60], '\s+', ' ', 'g')) AS title FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS title FROM documents")
 def title_normalize(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", t.title(F.left("text", F.lit(60))).alias("title"))
+    return _table(spark, sf, "documents").select("doc_id", t.title(F.col("text")).alias("title"))
 
 
 _LANG = r"""CASE WHEN x = '' THEN NULL WHEN regexp_matches(x, '[\x{3040}-\x{309F}\x{30A0}-\x{30FF}]') THEN 'ja'
@@ -182,9 +188,9 @@ def dominant_language(spark, sf):
     return keys.dominant(rows.select("g", t.language(F.col("x")).alias("language")), ["g"], "language", [*t.LANGUAGES])
 
 
-_LINES = ("doc_id", "source", "substr(text, 1, 16 + cast(doc_id % 9 as int)) as text", "(doc_id % 100) / 100.0D as confidence", "struct(0.1D + (doc_id % 60) / 100.0D as x, 0.80D + (doc_id % 17) / 100.0D as y, 0.05D + (doc_id % 30) / 100.0D as w, 0.05D as h) as box")
+_LINES = ("doc_id", "source", "text", "(doc_id % 100) / 100.0D as confidence", "struct(0.1D + (doc_id % 60) / 100.0D as x, 0.80D + (doc_id % 17) / 100.0D as y, 0.05D + (doc_id % 30) / 100.0D as w, 0.05D as h) as box")
 _SCORE = r"""
-WITH c AS (SELECT doc_id, source, text[1:CAST(16 + doc_id % 9 AS INT)] AS t, (doc_id % 100) / 100.0::DOUBLE AS c, 0.1::DOUBLE + (doc_id % 60) / 100.0::DOUBLE AS x,
+WITH c AS (SELECT doc_id, source, text AS t, (doc_id % 100) / 100.0::DOUBLE AS c, 0.1::DOUBLE + (doc_id % 60) / 100.0::DOUBLE AS x,
   0.80::DOUBLE + (doc_id % 17) / 100.0::DOUBLE AS y, 0.05::DOUBLE + (doc_id % 30) / 100.0::DOUBLE AS w, 0.05::DOUBLE AS h FROM documents),
 o AS (SELECT *, greatest(0, least(x + w, 0.75::DOUBLE) - greatest(x, 0.2::DOUBLE)) * greatest(0, least(y + h, 0.96::DOUBLE) - greatest(y, 0.85::DOUBLE)) / (w * h) AS share,
   length_grapheme(t) AS n, length(regexp_replace(t, '[^\p{Nd}]', '', 'g')) AS digits FROM c),
@@ -204,16 +210,21 @@ def title_rank(spark, sf):
 
 
 @query(r"""
-SELECT doc_id, contains(lower(replace(x, ' ', '')), 'hp') AS junk,
+SELECT doc_id, line, contains(lower(replace(x, ' ', '')), 'hp') AS junk,
   length_grapheme(x) BETWEEN 4 AND 20 AND regexp_full_match(x, '[\p{L}\p{M} ''-]*') AND regexp_matches(x, '[AEIOUaeiou]')
   AND NOT (length(regexp_replace(x, '[^\p{Lu}\p{Lt}]', '', 'g')) > length(regexp_replace(x, '[^\p{Ll}]', '', 'g')) AND length(regexp_replace(x, '[^\p{Ll}]', '', 'g')) <= 1) AS plausible,
-  CASE WHEN length(x) > 18 THEN x[1:18] || '...' ELSE x END AS shown
-FROM (SELECT doc_id, text[1:CAST(1 + doc_id % 25 AS INT)] AS x FROM documents)
+  CASE WHEN length_grapheme(trim(x)) > 18 THEN substring_grapheme(trim(x), 1, 18) || '...' ELSE trim(x) END AS shown
+FROM (SELECT doc_id, k - 1 AS line, l[k] AS x FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))
 """)
 def title_predicates(spark, sf):
-    rows = _table(spark, sf, "documents", "doc_id", "substr(text, 1, 1 + cast(doc_id % 25 as int)) as x")
+    rows = _lines(spark, sf)
     x = F.col("x")
-    return rows.select("doc_id", t.is_junk(x).alias("junk"), t.plausible_title(x).alias("plausible"), t.shortened(x).alias("shown"))
+    return rows.select("doc_id", "line", t.is_junk(x).alias("junk"), t.plausible_title(x).alias("plausible"), t.shortened(x).alias("shown"))
+
+
+def _lines(spark, sf):
+    """All lines of all documents, whole, as titles."""
+    return _table(spark, sf, "documents", "doc_id", "posexplode(split(text, '\\n')) as (line, x)")
 
 
 # ---- boxes and scores ------------------------------------------------------------
@@ -319,10 +330,29 @@ def reading_order(spark, sf):
     return rows.groupBy("l_orderkey").agg(folds.combined_text(F.collect_list("item")).alias("text"), F.count("*").alias("n"))
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag AS text_key, l_discount AS c, (l_partkey % 5) / 10.0::DOUBLE AS x, (l_suppkey % 4) / 10.0::DOUBLE AS y,
+  [l_linestatus, 'P' || l_partkey % 3, 'p' || l_suppkey % 3] AS said FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, text_key ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM l),
+f AS (SELECT l_orderkey, text_key, n, [{'x': x, 'y': y, 'c': c}] AS st, 0 AS slot, true AS over FROM r WHERE n = 1
+  UNION ALL SELECT l_orderkey, text_key, n, CASE WHEN pos = 0 THEN list_append(st, me) WHEN c > st[pos].c THEN list_concat(list_concat(st[1:pos - 1], [me]), st[pos + 1:]) ELSE st END,
+    CASE WHEN pos = 0 THEN len(st) ELSE pos - 1 END, pos = 0 OR c > st[pos].c
+  FROM (SELECT r.l_orderkey, r.text_key, r.n, r.c, f.st, {'x': r.x, 'y': r.y, 'c': r.c} AS me, coalesce(list_position(list_transform(f.st, lambda o:
+    greatest(0, 0.4 - abs(o.x - r.x)) * greatest(0, 0.3 - abs(o.y - r.y)) / (0.24 - greatest(0, 0.4 - abs(o.x - r.x)) * greatest(0, 0.3 - abs(o.y - r.y))) >= 0.35), true), 0) AS pos
+    FROM f JOIN r ON r.l_orderkey = f.l_orderkey AND r.text_key = f.text_key AND r.n = f.n + 1)),
+m AS (SELECT r.*, f.slot, CASE WHEN f.over THEN -r.n ELSE r.n END AS turn FROM r JOIN f USING (l_orderkey, text_key, n)),
+g AS (SELECT l_orderkey, text_key, slot, count(*) AS merged, min((l_linenumber, l_partkey, l_suppkey)) AS begun, arg_min(l_linenumber, (-c, l_linenumber)) AS l_linenumber FROM m GROUP BY ALL),
+k AS (SELECT l_orderkey, text_key, slot, turn, unnest(range(3)) AS i, unnest(said) AS t FROM m),
+u AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, text_key, slot, lower(t) ORDER BY turn, i) AS nth FROM k),
+s AS (SELECT l_orderkey, text_key, slot, string_agg(t, '|' ORDER BY turn, i) AS every, string_agg(t, '|' ORDER BY turn, i) FILTER (WHERE nth = 1) AS once FROM u GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, text_key, merged, row_number() OVER (PARTITION BY l_orderkey ORDER BY begun, text_key) - 1 AS place, CASE WHEN merged = 1 THEN every ELSE once END AS candidates
+FROM g JOIN s USING (l_orderkey, text_key, slot)
+""")
 def ordered_dedup(spark, sf):
-    rows = _table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag as text_key", "l_discount as confidence", "(l_partkey % 5) / 10.0D as x", "(l_suppkey % 4) / 10.0D as y", "0.4D as w", "0.3D as h")
-    return folds.deduplicated(rows, ["l_orderkey"], ["l_linenumber"])
+    said = "array(struct(l_linestatus as text), struct(concat('P', l_partkey % 3) as text), struct(concat('p', l_suppkey % 3) as text)) as candidates"
+    rows = _table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag as text_key", "l_discount as confidence", "(l_partkey % 5) / 10.0D as x", "(l_suppkey % 4) / 10.0D as y", "0.4D as w", "0.3D as h", said)
+    found = folds.deduplicated(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"])
+    return found.select("l_orderkey", "l_linenumber", "text_key", "merged", "place", F.array_join(F.transform("candidates", lambda c: c["text"]), "|").alias("candidates"))
 
 
 # ---- grids -----------------------------------------------------------------------
@@ -368,7 +398,22 @@ def border_mean(spark, sf):
     return rows.select("vec_id", F.round(grids.border_mean(F.col("v"), F.lit(8), F.lit(8)), 6).alias("border"))
 
 
-@query()
+def _components_sql(cells: str) -> str:
+    """Components of cells (vec_id, i of an 8 x 8 grid) by reachability."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+p AS ({cells}),
+e AS (SELECT a.vec_id, a.i, b.i AS j FROM p a JOIN p b ON a.vec_id = b.vec_id AND ((abs(a.i - b.i) = 8) OR (abs(a.i - b.i) = 1 AND a.i // 8 = b.i // 8))),
+rec AS (SELECT vec_id, i, i AS r FROM p UNION SELECT rec.vec_id, e.j, rec.r FROM rec JOIN e ON e.vec_id = rec.vec_id AND e.i = rec.i),
+l AS (SELECT vec_id, i, min(r) AS root FROM rec GROUP BY vec_id, i),
+c AS (SELECT vec_id, root, min(i % 8) AS x, min(i // 8) AS y, max(i % 8) - min(i % 8) + 1 AS w, max(i // 8) - min(i // 8) + 1 AS h, count(*) AS pixels FROM l GROUP BY vec_id, root)
+"""
+
+
+_NUMBERED = "SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY root) - 1 AS component, x, y, w, h, pixels"
+
+
+@query(_components_sql("SELECT vec_id, i FROM v WHERE v > 0.1") + _NUMBERED + ", round(pixels / 64.0 * 3 + greatest(0, 1 - least(abs(w / h - 63.0 / 88.0) / (63.0 / 88.0), 1)) * 2, 6) AS score FROM c")
 def components(spark, sf):
     rows = _table(spark, sf, "embeddings", "vec_id", "transform(embedding, x -> x > 0.1) as m", "8 as w", "8 as h")
     found = grids.components(rows, "vec_id", "m", "w", "h")
@@ -376,6 +421,30 @@ def components(spark, sf):
     return found.withColumn("score", F.round(score, 6))
 
 
+@query(_components_sql("SELECT DISTINCT a.vec_id, b.i FROM v a JOIN (SELECT unnest(range(64)) AS i) b ON a.v > 0.2 AND abs(a.i % 8 - b.i % 8) <= 1 AND abs(a.i // 8 - b.i // 8) <= 1") + _NUMBERED
+       + ", round(pixels / 64.0 * 3 + pixels / (w * h) + greatest(0, 1 - least(abs(w / h - 63.0 / 88.0), 1)) + CASE WHEN (y + h / 2) / 8 > 0.18 THEN 1 ELSE 0.6 END, 6) AS score FROM c")
+def dilated_components(spark, sf):
+    """Components of grown masks, scored as crops."""
+    rows = _table(spark, sf, "embeddings", "vec_id", "transform(embedding, x -> x > 0.2) as m", "8 as w", "8 as h")
+    found = grids.components(rows, "vec_id", "m", "w", "h", radius=1)
+    score = s.crop_component_score(F.struct("x", "y", "w", "h"), F.col("pixels"), F.lit(8.0), F.lit(8.0))
+    return found.withColumn("score", F.round(score, 6))
+
+
+@query(_components_sql("SELECT vec_id, i FROM v WHERE v > -0.05") + """
+, g AS (SELECT vec_id, root, 2 * x AS x, 2 * y AS y, 2 * w AS w, 2 * h AS h, 4 * pixels AS pixels FROM c),
+s AS (SELECT *, round(pixels / 256.0 * 3 + greatest(0, 1 - least(abs(w / h - 63.0 / 88.0) / (63.0 / 88.0), 1)) * 2, 6) AS score FROM g
+  WHERE w >= 10 AND h >= 10 AND pixels / 256.0 >= 0.035 * 0.45 AND pixels / 256.0 <= 0.86 AND w / h <= 1.25)
+SELECT vec_id, x, y, w, h, pixels, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, root) AS n FROM s) WHERE n = 1
+""")
+def best_component(spark, sf):
+    """The card-like component of each grid, which is doubled to 16 x 16."""
+    rows = _table(spark, sf, "embeddings", "vec_id", "transform(sequence(0, 255), i -> embedding[(i div 32) * 8 + (i % 16) div 2] > -0.05) as m", "16 as w", "16 as h")
+    found = grids.detected_components(grids.components(rows, "vec_id", "m", "w", "h"), F.lit(256.0))
+    found = found.withColumn("score", F.round(s.component_score(F.col("w"), F.col("h"), F.col("pixels"), F.lit(256.0)), 6))
+    return grids.best_component(found, "vec_id", "score").drop("component")
+
+
 # ---- sequences -------------------------------------------------------------------
 
 _FRAMES = (
@@ -427,15 +496,15 @@ def throttle(spark, sf):
 @query("""
 WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE / 864000::DOUBLE AS t, (event_id % 10) / 10.0::DOUBLE AS px, event_id % 3 = 0 AS soft,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-f AS (SELECT user_id, event_id, n, true AS requested, t AS asked_at, px AS x, 0 AS blurry FROM e WHERE n = 1
-  UNION ALL SELECT user_id, event_id, n, asked, CASE WHEN asked THEN t ELSE asked_at END, CASE WHEN asked THEN px ELSE x END, CASE WHEN asked THEN 0 ELSE b END FROM (
+f AS (SELECT user_id, event_id, n, true AS requested, t AS asked_at, px AS x, 0 AS blurry, true AS settling FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, asked, CASE WHEN asked THEN t ELSE asked_at END, CASE WHEN asked THEN px ELSE x END, CASE WHEN asked THEN 0 ELSE b END, asked OR t - asked_at < 0.60 FROM (
     SELECT e.user_id, e.event_id, e.n, e.t, e.px, f.asked_at, f.x, CASE WHEN e.soft THEN f.blurry + 1 ELSE 0 END AS b,
       (abs(e.px - f.x) >= 0.08 OR (e.soft AND f.blurry + 1 >= 2)) AND e.t - f.asked_at >= 0.80 AS asked FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))
-SELECT user_id, event_id, requested FROM f
+SELECT user_id, event_id, requested, settling FROM f
 """)
 def refocus(spark, sf):
     rows = _table(spark, sf, "events", *_STEPS, "(event_id % 10) / 10.0D as px", "0.5D as py", "if(event_id % 3 = 0, 'tooBlurry', 'focused') as reason")
-    return folds.refocus(rows, ["user_id"], ["t", "event_id"]).select("user_id", "event_id", "requested")
+    return folds.refocus(rows, ["user_id"], ["t", "event_id"]).select("user_id", "event_id", "requested", "settling")
 
 
 @query("""
@@ -449,16 +518,18 @@ def pass_plan(spark, sf):
 
 
 @query(r"""
-WITH r AS (SELECT source, doc_id, text[1:CAST(3 + doc_id % 12 AS INT)] AS x FROM documents),
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+r AS (SELECT doc_id, k - 1 AS line, l[k] AS x FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM l)),
 f AS (SELECT *, regexp_full_match(x, '[\p{L}\p{M} ''-]*') AND length_grapheme(x) BETWEEN 4 AND 20 AND regexp_matches(x, '[AEIOUaeiou]')
   AND NOT (length(regexp_replace(x, '[^\p{Lu}\p{Lt}]', '', 'g')) > length(regexp_replace(x, '[^\p{Ll}]', '', 'g')) AND length(regexp_replace(x, '[^\p{Ll}]', '', 'g')) <= 1)
   AND regexp_matches(trim(regexp_replace(x, '(\s*(VMAX|VSTAR|ex|EX|GX|V))+\s*$', '')), '\p{L}') AS good FROM r),
-d AS (SELECT *, coalesce(max(CASE WHEN good THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM f)
-SELECT source, doc_id FROM d WHERE done = 0
+d AS (SELECT *, coalesce(max(CASE WHEN good THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM f)
+SELECT doc_id, line FROM d WHERE done = 0
 """)
 def supplemental_passes(spark, sf):
-    rows = _table(spark, sf, "documents", "source", "doc_id", "substr(text, 1, 3 + cast(doc_id % 12 as int)) as x", "'en' as dominant")
-    return passes.until_satisfied(rows, "source", "doc_id", "x", "dominant").select("source", "doc_id")
+    """Each line of a document as the title that one more pass finds."""
+    rows = _lines(spark, sf).withColumn("dominant", F.lit("en"))
+    return passes.until_satisfied(rows, "doc_id", "line", "x", "dominant").select("doc_id", "line")
 
 
 # ---- logs ------------------------------------------------------------------------
@@ -466,13 +537,13 @@ def supplemental_passes(spark, sf):
 
 @query("""
 SELECT event_id, CASE WHEN 200 + event_id % 300 >= 400 THEN 'failure' ELSE 'success' END AS outcome, CASE WHEN event_type = 'view' THEN '[Redacted]' ELSE props END AS shown,
-  CASE WHEN event_id % 4 = 0 THEN '/path/' || event_id WHEN event_id % 4 = 1 THEN '/path/' || event_id ELSE '/route' END AS route, round(abs(value), 2) AS ms,
+  CASE WHEN event_id % 4 = 0 THEN '/path/' || event_id WHEN event_id % 4 = 1 THEN '/path/' || event_id WHEN event_id % 4 = 2 THEN '/path/' || event_id ELSE '/route' END AS route, round(abs(value), 2) AS ms,
   CASE WHEN event_id % 2 = 0 THEN 'set' ELSE CAST(user_id AS VARCHAR) END AS who FROM events
 """)
 def log_records(spark, sf):
     rows = _table(spark, sf, "events")
     e = F.col("event_id")
-    route = F.when(e % 4 == 0, "*").when(e % 4 == 1, "").otherwise("/route")
+    route = F.when(e % 4 == 0, "*").when(e % 4 == 1, "").when(e % 4 == 2, "/api/*").otherwise("/route")
     return rows.select(
         "event_id", logs.outcome(200 + e % 300).alias("outcome"), logs.redacted(F.when(F.col("event_type") == "view", "token").otherwise("props"), F.col("props")).alias("shown"),
         logs.route(route, F.concat(F.lit("/path/"), e.cast("string"))).alias("route"), logs.duration(F.abs("value")).alias("ms"),
@@ -486,8 +557,12 @@ def request_events(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import recognition  # noqa: F401  registers its queries here
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import recognition  # noqa: F401
+
     return dict(SQL)

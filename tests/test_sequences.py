@@ -114,3 +114,41 @@ def test_dilation_is_a_square():
 
 def test_iou_of_disjoint_boxes(spark):
     assert spark.range(1).select(g.iou(g.rect(0, 0, 1, 1), g.rect(2, 2, 1, 1)).alias("v")).first()["v"] == 0
+
+
+def test_gate_stream_equals_batch(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    kinds = [*FRAMES] + ["R"] * 12
+    sequences = ["".join(rng.choice(kinds, 30)) for _ in range(12)]
+    rows = frames(spark, sequences).withColumn("score", F.round(F.rand(3), 2)).withColumn("error", F.when(F.col("seq") % 7 == 6, "crop failed"))
+    rows.select("session_id", "seq", "box", "is_sharp", "is_adjusting", "score", "error").write.parquet(f"{tmp_path}/all")
+    rows = spark.read.parquet(f"{tmp_path}/all")
+    for part in range(3):
+        rows.where((F.col("seq") >= part * 10) & (F.col("seq") < part * 10 + 10)).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = stateful.frames(spark, f"{tmp_path}/in", rows.schema)
+    q = stateful.gate(stream).writeStream.format("memory").queryName("gated").outputMode("append").option("checkpointLocation", f"{tmp_path}/gate").start()
+    q.processAllAvailable()
+    q.stop()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    good, bad = gate.split_errors(rows)
+    batch = gate.decisions(good)
+    flags = ("session_id", "seq", "should_capture", "is_stable", "is_eligible", "did_reset")
+    got = spark.table("gated")
+    assert sorted(tuple(r[c] for c in flags) for r in got.collect()) == sorted(tuple(r[c] for c in flags) for r in batch.collect())
+    assert bad.count() > 0 and got.where("should_capture").count() > 3
+    best = sorted((r["session_id"], r["seq"], r["best_seq"], r["best_score"]) for r in got.where("should_capture").collect())
+    assert best == sorted(tuple(r) for r in gate.best_frames(batch).collect())
+
+
+def test_merged_candidates_keep_the_better_side_first(spark):
+    rows = [(0, "falcon", 0.6, 0.1, ["falcon", "Falcon"]), (1, "falcon", 0.9, 0.1, ["FALCON", "hawk"]), (2, "falcon", 0.7, 0.1, ["owl", "HAWK "]), (3, "falcon", 0.7, 0.9, ["owl", "owl"])]
+    df = spark.createDataFrame([("a", i, k, c, x, 0.1, 0.2, 0.2, [(t,) for t in said]) for i, k, c, x, said in rows], "k string, i int, text_key string, confidence double, x double, y double, w double, h double, candidates array<struct<text: string>>")
+    got = folds.deduplicated(df, ["k"], ["i"]).orderBy("place").collect()
+    assert [(r["confidence"], r["merged"], [c["text"] for c in r["candidates"]]) for r in got] == [(0.9, 3, ["FALCON", "hawk", "owl"]), (0.7, 1, ["owl", "owl"])]
+
+
+def test_place_follows_the_key_over_all_texts(spark):
+    rows = [(0, "b"), (1, "a"), (2, "b"), (3, "c")]
+    df = spark.createDataFrame([("k", i, t, 0.5, 0.1, 0.1, 0.2, 0.2) for i, t in rows], "k string, i int, text_key string, confidence double, x double, y double, w double, h double")
+    assert [(r["text_key"], r["merged"]) for r in folds.deduplicated(df, ["k"], ["i"]).orderBy("place").collect()] == [("b", 2), ("a", 1), ("c", 1)]
