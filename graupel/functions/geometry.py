@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import bound
+
 # Fixed value: the target shape of a card, width by height.
 CARD_ASPECT = 63.0 / 88.0
 
@@ -37,14 +39,18 @@ def iou(a: Column, b: Column) -> Column:
 
 def intersection(a: Column, b: Column) -> Column:
     """The shared rectangle, null where the two are apart."""
-    x, y = F.greatest(a["x"], b["x"]), F.greatest(a["y"], b["y"])
-    w = F.least(a["x"] + a["w"], b["x"] + b["w"]) - x
-    h = F.least(a["y"] + a["h"], b["y"] + b["h"]) - y
-    return F.when((w >= 0) & (h >= 0), rect(x, y, w, h))
+
+    def shared(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        x, y = F.greatest(a["x"], b["x"]), F.greatest(a["y"], b["y"])
+        return rect(x, y, F.least(a["x"] + a["w"], b["x"] + b["w"]) - x, F.least(a["y"] + a["h"], b["y"] + b["h"]) - y)
+
+    there = lambda p: F.when(p["a"].isNotNull() & p["b"].isNotNull(), shared(p))
+    return bound(bound(F.struct(a.alias("a"), b.alias("b")), there), lambda r: F.when((r["w"] >= 0) & (r["h"] >= 0), r))
 
 
-def inset(r: Column, dx: float, dy: float) -> Column:
-    return rect(r["x"] + dx, r["y"] + dy, r["w"] - 2 * dx, r["h"] - 2 * dy)
+def inset(box: Column, dx: float, dy: float) -> Column:
+    return bound(box, lambda r: rect(r["x"] + dx, r["y"] + dy, r["w"] - 2 * dx, r["h"] - 2 * dy))
 
 
 def from_region(box: Column, region: Column) -> Column:
@@ -68,16 +74,22 @@ def to_normalised(box: Column, width: Column, height: Column) -> Column:
 def crop_projection(box: Column, width: Column, height: Column, buffer: float = 0.08) -> Column:
     """struct<rect, clipped>: the box grown to the card's shape about its
     centre, with a buffer on each side, clipped to the image."""
-    wide = box["w"] / box["h"] > CARD_ASPECT
-    w = F.when(wide, box["w"]).otherwise(box["h"] * CARD_ASPECT) * (1 + 2 * buffer)
-    h = F.when(wide, box["w"] / CARD_ASPECT).otherwise(box["h"]) * (1 + 2 * buffer)
-    cx, cy = mid(box)
-    x, y = cx - w / 2, cy - h / 2
-    cx0, cy0 = F.greatest(x, F.lit(0.0)), F.greatest(y, F.lit(0.0))
-    clipped = rect(cx0, cy0, F.least(x + w, width) - cx0, F.least(y + h, height) - cy0)
-    cut = (x < 0) | (y < 0) | (x + w > width) | (y + h > height)
-    ok = (width > 0) & (height > 0) & (box["w"] > 0) & (box["h"] > 0)
-    return F.when(ok, F.struct(clipped.alias("rect"), cut.alias("clipped"))).otherwise(F.struct(rect(0, 0, 0, 0).alias("rect"), F.lit(False).alias("clipped")))
+
+    def grown(b: Column) -> Column:
+        wide = b["w"] / b["h"] > CARD_ASPECT
+        w = F.when(wide, b["w"]).otherwise(b["h"] * CARD_ASPECT) * (1 + 2 * buffer)
+        h = F.when(wide, b["w"] / CARD_ASPECT).otherwise(b["h"]) * (1 + 2 * buffer)
+        cx, cy = mid(b)
+        return bound(F.struct(w.alias("w"), h.alias("h")), lambda s: rect(cx - s["w"] / 2, cy - s["h"] / 2, s["w"], s["h"]))
+
+    def clipped(p: Column) -> Column:
+        x, y = F.greatest(p["x"], F.lit(0.0)), F.greatest(p["y"], F.lit(0.0))
+        kept = rect(x, y, F.least(p["x"] + p["w"], width) - x, F.least(p["y"] + p["h"], height) - y)
+        cut = (p["x"] < 0) | (p["y"] < 0) | (p["x"] + p["w"] > width) | (p["y"] + p["h"] > height)
+        return F.struct(kept.alias("rect"), cut.alias("clipped"))
+
+    none = F.struct(rect(0, 0, 0, 0).alias("rect"), F.lit(False).alias("clipped"))
+    return bound(box, lambda b: F.when((width > 0) & (height > 0) & (b["w"] > 0) & (b["h"] > 0), bound(grown(b), clipped)).otherwise(none))
 
 
 def aspect_scaled(box: Column, image_w: Column, image_h: Column, view_w: Column, view_h: Column, fill: bool) -> Column:
@@ -87,7 +99,7 @@ def aspect_scaled(box: Column, image_w: Column, image_h: Column, view_w: Column,
     scale = pick(view_w / image_w, view_h / image_h)
     dx, dy = (view_w - image_w * scale) / 2, (view_h - image_h * scale) / 2
     px = to_pixels(box, image_w * scale, image_h * scale)
-    return rect(px["x"] + dx, px["y"] + dy, px["w"], px["h"])
+    return bound(px, lambda p: rect(p["x"] + dx, p["y"] + dy, p["w"], p["h"]))
 
 
 def focus_point(box: Column) -> Column:
@@ -101,10 +113,12 @@ def focus_point(box: Column) -> Column:
 def focused_region(box: Column, title: Column) -> Column:
     """The box with a margin, within the title region with its margin and the
     frame; the box with its margin alone where that is empty."""
-    wide = inset(box, -0.03, -0.025)
     allowed = intersection(rect(0, 0, 1, 1), inset(title, -0.06, -0.04))
-    both = intersection(allowed, wide)
-    return F.when(both.isNull() | (both["w"] <= 0) | (both["h"] <= 0), wide).otherwise(both)
+
+    def within(wide: Column) -> Column:
+        return bound(intersection(allowed, wide), lambda both: F.when(both.isNull() | (both["w"] <= 0) | (both["h"] <= 0), wide).otherwise(both))
+
+    return bound(inset(box, -0.03, -0.025), within)
 
 
 def stable(now: Column, before: Column) -> Column:
@@ -130,8 +144,8 @@ def title_rect(width: Column, height: Column) -> Column:
 def observation_region(box: Column, width: Column, height: Column) -> Column:
     """A pixel rectangle, y down, as a normalised one, y up; zero for an image
     without an area."""
-    region = rect(box["x"] / F.nullif(width, F.lit(0.0)), 1 - (box["y"] + box["h"]) / F.nullif(height, F.lit(0.0)), box["w"] / F.nullif(width, F.lit(0.0)), box["h"] / F.nullif(height, F.lit(0.0)))
-    return F.when((width > 0) & (height > 0), region).otherwise(rect(0, 0, 0, 0))
+    region = lambda b: rect(b["x"] / width, 1 - (b["y"] + b["h"]) / height, b["w"] / width, b["h"] / height)
+    return F.when((width > 0) & (height > 0), bound(box, region)).otherwise(rect(0, 0, 0, 0))
 
 
 def title_region(width: Column, height: Column) -> Column:
@@ -146,5 +160,9 @@ def search_region(width: Column, height: Column) -> Column:
 
 def integral(box: Column) -> Column:
     """The least rectangle with whole numbers around a rectangle."""
-    x, y = F.floor(box["x"]), F.floor(box["y"])
-    return rect(x, y, F.ceil(box["x"] + box["w"]) - x, F.ceil(box["y"] + box["h"]) - y)
+
+    def grown(b: Column) -> Column:
+        x, y = F.floor(b["x"]), F.floor(b["y"])
+        return rect(x, y, F.ceil(b["x"] + b["w"]) - x, F.ceil(b["y"] + b["h"]) - y)
+
+    return bound(box, grown)

@@ -34,62 +34,66 @@ def _side(a: Column, b: Column) -> Column:
 
 def side_aspect(corners: Column, image_aspect: Column) -> Column:
     """Mean width by mean height of four corners (tl, tr, br, bl of x, y)."""
-    w = (_side(corners["tl"], corners["tr"]) + _side(corners["bl"], corners["br"])) / 2 * image_aspect
-    h = (_side(corners["tl"], corners["bl"]) + _side(corners["tr"], corners["br"])) / 2
-    return F.when(h > 0, w / h).otherwise(0.0)
+
+    def ratio(c: Column) -> Column:
+        w = (_side(c["tl"], c["tr"]) + _side(c["bl"], c["br"])) / 2 * image_aspect
+        return t.bound((_side(c["tl"], c["bl"]) + _side(c["tr"], c["br"])) / 2, lambda h: F.when(h > 0, w / h).otherwise(0.0))
+
+    return t.bound(corners, ratio)
 
 
 def is_convex(corners: Column) -> Column:
     """All turns, but for nearly straight ones, go the same way."""
-    p = [corners[n] for n in ("tl", "tr", "br", "bl")]
-    turns = []
-    for i in range(4):
-        a, b, c = p[i], p[(i + 1) % 4], p[(i + 2) % 4]
-        turns.append((b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"]))
-    left = F.greatest(*(F.when(x > 0.0001, 1).otherwise(0) for x in turns))
-    right = F.greatest(*(F.when(x < -0.0001, 1).otherwise(0) for x in turns))
-    return left + right < 2
+
+    def turn(a: Column, b: Column, c: Column) -> Column:
+        return (b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"])
+
+    def turns(c: Column) -> Column:
+        p = [c[n] for n in ("tl", "tr", "br", "bl")]
+        return F.array(*(turn(p[i], p[(i + 1) % 4], p[(i + 2) % 4]) for i in range(4)))
+
+    return ~t.bound(t.bound(corners, turns), lambda x: F.exists(x, lambda v: v > 0.0001) & F.exists(x, lambda v: v < -0.0001))
 
 
 def shape_score(corners: Column | None) -> Column:
     if corners is None:
         return F.lit(0.6)
-    ratio = side_aspect(corners, F.lit(1.0))
-    span = lambda n: F.greatest(*(corners[c][n] for c in ("tl", "tr", "br", "bl"))) - F.least(*(corners[c][n] for c in ("tl", "tr", "br", "bl")))
-    return (
-        F.when(corners.isNull(), 0.6).when(~is_convex(corners) | (span("x") <= 0) | (span("y") <= 0), 0.1)
-        .when((ratio > 0.28) & (ratio < 1.22), 1.0).otherwise(0.35)
-    )
+
+    def scored(c: Column) -> Column:
+        span = lambda n: F.greatest(*(c[k][n] for k in ("tl", "tr", "br", "bl"))) - F.least(*(c[k][n] for k in ("tl", "tr", "br", "bl")))
+        odd = t.bound(side_aspect(c, F.lit(1.0)), lambda ratio: F.when((ratio > 0.28) & (ratio < 1.22), 1.0).otherwise(0.35))
+        return F.when(c.isNull(), 0.6).when(~is_convex(c) | (span("x") <= 0) | (span("y") <= 0), 0.1).otherwise(odd)
+
+    return t.bound(corners, scored)
 
 
 def detection(box: Column, confidence: Column, corners: Column | None = None, image_aspect: Column | None = None, content: Column | None = None) -> Column:
     """struct<score, reasons>: a detection's score, and why it is rejected (an
     empty array where it is accepted)."""
     aspect = F.lit(1.0) if image_aspect is None else image_aspect
-    a = box["w"] * box["h"]
     bounding = F.when(box["h"] > 0, box["w"] * aspect / box["h"]).otherwise(0.0)
     ratio = bounding if corners is None else F.coalesce(F.when(corners.isNotNull(), side_aspect(corners, aspect)), bounding)
-    score = (
-        unit(confidence.cast("double")) * 0.30 + area_score(a) * 0.20 + aspect_score(ratio) * 0.20
-        + unit(F.lit(0.5) if content is None else content) * 0.20 + shape_score(corners) * 0.10
-    )
+    parts = F.struct((box["w"] * box["h"]).alias("area"), bounding.alias("bounding"), ratio.alias("ratio"), shape_score(corners).alias("shape"))
+    given = unit(confidence.cast("double")) * 0.30 + unit(F.lit(0.5) if content is None else content) * 0.20
     outside = (box["w"] <= 0) | (box["h"] <= 0) | (box["x"] < 0) | (box["y"] < 0) | (box["x"] + box["w"] > 1) | (box["y"] + box["h"] > 1)
-    rules = [
-        ("lowConfidence", confidence < MIN_CONFIDENCE), ("invalidBounds", outside), ("tooSmall", a < MIN_AREA), ("tooLarge", a > MAX_AREA),
-        ("unlikelyOrientation", (bounding > 1.25) | (ratio < 0.32) | (ratio > 1.18)), ("poorScore", score < MIN_SCORE),
-    ]
-    reasons = F.filter(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules)), lambda x: x.isNotNull())
-    return F.struct(score.alias("score"), reasons.alias("reasons"))
+
+    def scored(p: Column) -> Column:
+        return given + area_score(p["area"]) * 0.20 + aspect_score(p["ratio"]) * 0.20 + p["shape"] * 0.10
+
+    def judged(p: Column) -> Column:
+        rules = [
+            ("lowConfidence", confidence < MIN_CONFIDENCE), ("invalidBounds", outside), ("tooSmall", p["area"] < MIN_AREA), ("tooLarge", p["area"] > MAX_AREA),
+            ("unlikelyOrientation", (p["bounding"] > 1.25) | (p["ratio"] < 0.32) | (p["ratio"] > 1.18)), ("poorScore", p["score"] < MIN_SCORE),
+        ]
+        reasons = F.filter(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules)), lambda x: x.isNotNull())
+        return F.struct(p["score"].alias("score"), reasons.alias("reasons"))
+
+    return t.bound(t.bound(parts, lambda p: F.struct(p["area"].alias("area"), p["bounding"].alias("bounding"), p["ratio"].alias("ratio"), scored(p).alias("score"))), judged)
 
 
 def title_score(text: Column, confidence: Column, box: Column, region: Column | None = None) -> Column:
     """How likely a recognised line is the title; null where it can't be."""
-    n = t.graphemes(text)
-    score = (
-        confidence.cast("double") * 100 + F.when(t.has_script(text), 80.0).otherwise(0.0) + F.when(t.has_latin(text), 45.0).otherwise(0.0)
-        + F.when(t.has_suffix(text), 20.0).otherwise(0.0) + F.when(n.between(2, 18), 15.0).otherwise(-F.abs(n - 10).cast("double"))
-        - F.when(F.rlike(text, F.lit(r"\p{Nd}")), 35.0).otherwise(0.0) - F.when(t.digit_ratio(text) >= 0.5, 80.0).otherwise(0.0)
-    )
+    placed = F.lit(0.0)
     if region is not None:
         own = g.area(box)
         share = F.when(own > 0, g.overlap(region, box) / own).otherwise(0.0)
@@ -98,8 +102,21 @@ def title_score(text: Column, confidence: Column, box: Column, region: Column |
             - F.when(box["x"] + box["w"] / 2 < region["x"], 100.0).when(box["x"] < region["x"], 50.0).otherwise(0.0)
             - F.when(box["w"] < 0.08, 20.0).otherwise(0.0)
         )
-        score = score + F.when(region.isNull(), 0.0).otherwise(placed)
-    return F.when((text != "") & ~t.is_junk(text) & (t.has_script(text) | t.has_latin(text)), score)
+        placed = F.when(region.isNull(), 0.0).otherwise(placed)
+
+    def scored(x: Column) -> Column:
+        n = x["n"]
+        return F.when(
+            x["script"] | x["latin"],
+            confidence.cast("double") * 100 + F.when(x["script"], 80.0).otherwise(0.0) + F.when(x["latin"], 45.0).otherwise(0.0)
+            + F.when(x["suffix"], 20.0).otherwise(0.0) + F.when(n.between(2, 18), 15.0).otherwise(-F.abs(n - 10).cast("double"))
+            - F.when(x["digits"] > 0, 35.0).otherwise(0.0) - F.when(t.share_of_digits(x["digits"], n) >= 0.5, 80.0).otherwise(0.0) + placed,
+        )
+
+    seen = F.struct(
+        t.has_script(text).alias("script"), t.has_latin(text).alias("latin"), t.has_suffix(text).alias("suffix"), t.graphemes(text).alias("n"), F.regexp_count(text, F.lit(r"\p{Nd}")).alias("digits")
+    )
+    return F.when((text != "") & ~t.is_junk(text), t.bound(seen, scored))
 
 
 def focus_reason(sharpness: Column, gradient: Column, brightness: Column, contrast: Column, area: Column, adjusting: Column) -> Column:

@@ -89,7 +89,7 @@ def title(text: Column) -> Column:
 
 
 #: Characters that are each a grapheme of their own.
-_SINGLE = r"\x20-\x7E\x{A0}-\x{AC}\x{AE}-\x{2FF}"
+_SINGLE = r"\x20-\x7E\x{A0}-\x{AC}\x{AE}-\x{2FF}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}"
 
 
 def graphemes(text: Column) -> Column:
@@ -98,21 +98,27 @@ def graphemes(text: Column) -> Column:
 
 
 def digit_ratio(text: Column) -> Column:
-    n = graphemes(text)
-    return F.when(n > 0, F.regexp_count(text, F.lit(r"\p{Nd}")) / n).otherwise(0.0)
+    return share_of_digits(F.regexp_count(text, F.lit(r"\p{Nd}")), graphemes(text))
+
+
+def share_of_digits(digits: Column, n: Column) -> Column:
+    return F.when(n > 0, digits / n).otherwise(0.0)
 
 
 def is_junk(text: Column) -> Column:
-    low = F.lower(F.replace(text, F.lit(" "), F.lit("")))
-    out = F.lit(False)
-    for fragment in JUNK:
-        out = out | F.contains(low, F.lit(fragment))
-    return out
+    def holds(low: Column) -> Column:
+        out = F.lit(False)
+        for fragment in JUNK:
+            out = out | F.contains(low, F.lit(fragment))
+        return out
+
+    return bound(F.lower(F.replace(text, F.lit(" "), F.lit(""))), holds)
 
 
 def has_suffix(text: Column) -> Column:
     """Ends in a mechanic suffix after white space or a supported script."""
-    return F.rlike(text, F.lit(f"(?s)(?:{SPACE}|[{SCRIPTS}])(?:{'|'.join(SUFFIXES)})$"))
+    end = F.right(text, F.lit(max(map(len, SUFFIXES)) + 1))
+    return F.rlike(end, F.lit(rf"(?:{SPACE}|[{SCRIPTS}])(?:{'|'.join(SUFFIXES)})\z"))
 
 
 _BACKWARDS = "|".join(x[::-1] for x in SUFFIXES)

@@ -70,11 +70,14 @@ def border_mean(values: Column, width: Column, height: Column) -> Column:
 def _by_pixel(region: Column, width: Column, height: Column) -> Column:
     """struct<x0, y0, w, h: int>: whole pixels of a pixel rectangle, y down,
     within a grid."""
-    box = g.integral(region)
-    x0, y0 = F.greatest(box["x"], F.lit(0.0)), F.greatest(box["y"], F.lit(0.0))
-    right, bottom = F.least(box["x"] + box["w"], width.cast("double")), F.least(box["y"] + box["h"], height.cast("double"))
-    size = lambda a, b: F.greatest(b - a, F.lit(0.0)).cast("int")
-    return F.struct(x0.cast("int").alias("x0"), y0.cast("int").alias("y0"), size(x0, right).alias("w"), size(y0, bottom).alias("h"))
+
+    def within(box: Column) -> Column:
+        x0, y0 = F.greatest(box["x"], F.lit(0.0)), F.greatest(box["y"], F.lit(0.0))
+        right, bottom = F.least(box["x"] + box["w"], width.cast("double")), F.least(box["y"] + box["h"], height.cast("double"))
+        size = lambda a, b: F.greatest(b - a, F.lit(0.0)).cast("int")
+        return F.struct(x0.cast("int").alias("x0"), y0.cast("int").alias("y0"), size(x0, right).alias("w"), size(y0, bottom).alias("h"))
+
+    return t.bound(g.integral(region), within)
 
 
 def cropped(values: Column, width: Column, height: Column, region: Column) -> Column:
