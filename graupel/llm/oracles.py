@@ -34,9 +34,9 @@ p AS (SELECT doc_id, k, min(i) AS a, max(i) + 400 AS b FROM s GROUP BY doc_id, k
 q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
 t AS (SELECT q.doc_id, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS removed, count(*) AS spans
   FROM q JOIN n ON n.doc_id = q.doc_id GROUP BY q.doc_id)
-SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
-  sha256(unhex(CASE WHEN t.doc_id IS NULL THEN h ELSE head || substring(h, 2 * last + 1) END)) AS kept_sha256
-FROM n LEFT JOIN t ON t.doc_id = n.doc_id
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256, length(regexp_replace(kept, '([0-7C-F].)|[89AB].', '\\1', 'g')) // 2 AS n_chars_kept
+FROM (SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, CASE WHEN t.doc_id IS NULL THEN h ELSE head || substring(h, 2 * last + 1) END AS kept
+FROM n LEFT JOIN t ON t.doc_id = n.doc_id)
 """
 
 ALL = {"op4_jaccard_join": OP4_SQL, "op5_chat_format": chat.OP5_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -37,6 +37,7 @@ from .words import mixed
 LENGTH = 400
 K = 32
 GROUP = 50_000
+SALT = 64
 SHALLOW = 64
 CHUNK = 8
 POS_BITS = 20
@@ -268,11 +269,9 @@ def covers(members: list[tuple[int, bytes]]) -> list[tuple[int, int] | None]:
 
 def _grouped(rows: list[tuple]) -> list[tuple]:
     """Covered ranges of the members of one anchor's group."""
-    same: dict[tuple[int, bytes], list] = {}
+    same: dict[tuple[int, bytes], dict] = {}
     for _, key, place, first, last, around in rows:
-        at = same.setdefault((place - first, around), [])
-        if (key, place) not in at:
-            at.append((key, place))
+        same.setdefault((place - first, around), {})[key, place] = None
     out = []
     reach = covers([*same]) if len(same) > 1 else [None]
     for ((offset, around), at), far in zip(same.items(), reach):
@@ -305,19 +304,50 @@ def _ranges(batches):
         yield batch_of(_grouped(group))
 
 
+def window_hashes(data: np.ndarray) -> np.ndarray:
+    """128-bit hashes (rows of two 64-bit numbers) of all LENGTH-byte strings,
+    joined from those of the powers of two that LENGTH is made of."""
+    sides = []
+    for seed in (0xD6E8FEB86659FD93, 0x2545F4914F6CDD1D):
+        h, width, base = mixed(data.astype(np.uint64) + np.uint64(seed & 0xFFFF)), 1, seed
+        out, done = None, 0
+        n = len(data) - LENGTH + 1
+        while done < LENGTH:
+            if LENGTH & width:
+                part = h[done : done + n]
+                out = part if out is None else out * np.uint64(base) + part
+                done += width
+            if done < LENGTH:
+                h = h[:-width] * np.uint64(base) + h[width:]
+                width, base = 2 * width, base * base % (1 << 64)
+        sides.append(mixed(out))
+    return np.stack(sides, 1)
+
+
 def _windows(batches):
-    """(window hash, key, start) for all windows of the wanted anchors."""
+    """(window hash, key, start) for all windows of the wanted anchors, in
+    batches of some 100,000 rows."""
+
+    def rows(keys, hs, at):
+        sizes = [len(x) for x in at]
+        raw = np.concatenate(hs).astype("<u8").tobytes()
+        window = pa.Array.from_buffers(pa.binary(16), sum(sizes), [None, pa.py_buffer(raw)]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([window, pa.array(keys, pa.binary()).take(pa.array(np.repeat(np.arange(len(keys)), sizes))), pa.array(np.concatenate(at), pa.int64())], ["window", "key", "start"])
+
     for batch in slices(batches):
-        keys, hs, at = [], [], []
+        keys, hs, at, n = [], [], [], 0
         for key, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            raw, want = text.encode(), set(wanted)
-            h, _, first, last = anchors(np.frombuffer(raw, np.uint8))
+            data, want = np.frombuffer(text.encode(), np.uint8), set(wanted)
+            h, _, first, last = anchors(data)
             for a, w0, w1 in zip(h.view(np.int64).tolist(), first.tolist(), last.tolist()):
                 if a in want:
-                    for w in range(w0, w1 + 1):
-                        keys.append(key), at.append(w)
-                        hs.append(hashlib.blake2b(raw[w : w + LENGTH], digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(keys, pa.binary()), pa.array(at, pa.int64())], ["window", "key", "start"])
+                    keys.append(key), at.append(np.arange(w0, w1 + 1)), hs.append(window_hashes(data[w0 : w1 + LENGTH]))
+                    n += w1 - w0 + 1
+                    if n > 100_000:
+                        yield rows(keys, hs, at)
+                        keys, hs, at, n = [], [], [], 0
+        if keys:
+            yield rows(keys, hs, at)
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
@@ -348,9 +378,11 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     if not wanted.where(F.size("many") > 0).isEmpty():
         windows = written(own.where(F.size("many") > 0).select("key", "text", "many").mapInArrow(_windows, "window binary, key binary, start long"), "suffix-windows")
         windows = windows.dropDuplicates(["key", "start"])
-        twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select(F.col("window").alias("w"))
-        hit = windows.join(twice, F.col("window") == F.col("w")).select("key", "start", (F.col("start") + LENGTH).alias("end"))
-        ranges = ranges.unionByName(hit)
+        # counted where they are before they are moved; a window of very many texts is then met in SALT parts
+        twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select(F.col("window").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("s"))
+        salted = windows.withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.lit(SALT)).cast("int"))
+        hit = salted.join(twice, (F.col("window") == F.col("w")) & (F.col("salt") == F.col("s"))).select("key", "start", (F.col("start") + LENGTH).alias("end"))
+        ranges = ranges.unionByName(written(hit, "suffix-hits"))
     copies = counts.where("n > 1").select("key", F.lit(0).cast("long").alias("start"), F.lit((1 << 62)).alias("end"))
     ranges = ranges.unionByName(copies).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     ranges = written(ranges.withColumnRenamed("key", "k2"), "suffix-ranges")
@@ -358,13 +390,13 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
 
 
 def removed(df: DataFrame, id_col: str, text_col: str, keep_bytes: bool = False) -> DataFrame:
-    """From ``repeats``: id, n_bytes, n_removed, n_spans, kept_sha256 and, if
-    asked for, the remaining bytes."""
+    """From ``repeats``: id, n_bytes, n_removed, n_spans, kept_sha256, n_chars_kept
+    (code points that begin in the remaining bytes) and, if asked for, these bytes."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in slices(batches):
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = text.encode()
                 spans = merged([(r["start"], min(r["end"], len(raw))) for r in ranges or ()])
@@ -373,13 +405,14 @@ def removed(df: DataFrame, id_col: str, text_col: str, keep_bytes: bool = False)
                     kept.append(raw[at:a])
                     at = b
                 kept = b"".join([*kept, raw[at:]])
-                for col, v in zip(out, (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None)):
+                begun = len(kept) - int(((np.frombuffer(kept, np.uint8) & 0xC0) == 0x80).sum())
+                for col, v in zip(out, (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), begun, kept if keep_bytes else None)):
                     col.append(v)
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out, kinds))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out, kinds))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_chars_kept", "kept"])
 
     cut = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "covered")
-    out = cut.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
+    out = cut.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_chars_kept long, kept binary").withColumnRenamed("id", id_col)
     return out if keep_bytes else out.drop("kept")
 
 
