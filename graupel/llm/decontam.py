@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import slices, table
+from .common import slices, table, written
 
 Q = 8
 #: A passage of an item is always found from WINDOW + STRIDE - 1 characters on.
@@ -72,9 +72,9 @@ def hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
 @dataclass
 class Index:
     items: list
-    codes: list[np.ndarray]
-    seg_item: np.ndarray
-    seg_start: np.ndarray
+    n_segments: list[int]
+    segments: list[np.ndarray]
+    owners: list[list[int]]
     seg_len: np.ndarray
     edits: np.ndarray
     bound: np.ndarray
@@ -87,7 +87,7 @@ class Index:
 
 def index(items: list[tuple], window: int = WINDOW, rate: float = EDIT_RATE, q: int = Q, stride: int = STRIDE) -> Index | None:
     """The q-gram index of (id, text) pairs, by segment."""
-    ids, codes, item, start, size = [], [], [], [], []
+    ids, n_segments, segments, owners, at = [], [], [], [], {}
     for item_id, text in items:
         c = normal(text or "")[0]
         c = c[1:] if len(c) and c[0] == 32 else c
@@ -95,17 +95,20 @@ def index(items: list[tuple], window: int = WINDOW, rate: float = EDIT_RATE, q:
         if len(c) < q:
             continue
         starts = [0] if len(c) <= window else sorted({*range(0, len(c) - window, stride), len(c) - window})
-        item += [len(ids)] * len(starts)
-        start += starts
-        size += [min(len(c), window)] * len(starts)
-        ids.append(item_id), codes.append(c)
+        for a in starts:
+            part = c[a : a + window]
+            k = at.setdefault(part.tobytes(), len(segments))  # equal segments are one, with several owners
+            if k == len(segments):
+                segments.append(part), owners.append([])
+            owners[k].append(len(ids))
+        ids.append(item_id), n_segments.append(len(starts))
     if not ids:
         return None
-    n = np.array(size)
+    n = np.array([len(x) for x in segments])
     edits = np.minimum((n * rate).astype(int), np.maximum(0, (n - q) // q))
     grams, segs, poss = [], [], []
-    for k, (i, a, m) in enumerate(zip(item, start, size)):
-        h = hashes(codes[i][a : a + m], q)
+    for k, part in enumerate(segments):
+        h = hashes(part, q)
         grams.append(h), segs.append(np.full(len(h), k)), poss.append(np.arange(len(h)))
     g, s, p = map(np.concatenate, (grams, segs, poss))
     by = np.argsort(g, kind="stable")
@@ -113,7 +116,7 @@ def index(items: list[tuple], window: int = WINDOW, rate: float = EDIT_RATE, q:
     keys, first = np.unique(g, return_index=True)
     mask = np.zeros(1 << MASK_BITS, bool)
     mask[keys >> np.uint64(64 - MASK_BITS)] = True
-    return Index(ids, codes, np.array(item), np.array(start), n, edits, n - q + 1 - q * edits, keys, np.append(first, len(g)), s, p, mask)
+    return Index(ids, n_segments, segments, owners, n, edits, n - q + 1 - q * edits, keys, np.append(first, len(g)), s, p, mask)
 
 
 def aligned(segment: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
@@ -154,6 +157,40 @@ def aligned(segment: np.ndarray, region: np.ndarray, budget: int) -> tuple[int,
     return (int(cost[end]), int(origin[end]), end) if cost[end] <= budget else None
 
 
+#: Hits that are expanded to their places in the segments at a time.
+EXPANDED = 1 << 20
+
+
+def _bands(ix: Index, live: np.ndarray, where: np.ndarray, reach: int):
+    """(segment << 40 | band) of the bands whose q-gram hits reach the bound.
+
+    Hits are taken in slices whose places in the segments fit into EXPANDED
+    numbers.  A band's hits lie within ``reach`` of each other in the text, so
+    the counts of a slice are final once the next hit is farther than that from
+    the band; the others are carried on."""
+    many = ix.first[where + 1] - ix.first[where]
+    ends = np.cumsum(many)
+    kept_keys, kept_n, done = np.empty(0, np.int64), np.empty(0, np.int64), 0
+    while done < len(live):
+        # one hit at least, however many places it has: they are bounded by the index's block
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + EXPANDED, "right")))
+        m, w = many[done:upto], where[done:upto]
+        place = np.repeat(ix.first[w], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        seg = ix.seg[place]
+        diagonal = np.repeat(live[done:upto], m) - ix.pos[place] + WINDOW
+        band = diagonal // (ix.edits[seg] + 1)  # a band holds this strip of diagonals and the next: they overlap
+        found, n = np.unique(np.concatenate(((seg << 40) | band, (seg << 40) | np.maximum(band - 1, 0))), return_counts=True)
+        keys, of = np.unique(np.concatenate((kept_keys, found)), return_inverse=True)
+        n = np.bincount(of, np.concatenate((kept_n, n))).astype(np.int64)
+        enough = n >= ix.bound[keys >> 40]
+        yield from keys[enough].tolist()
+        keys, n = keys[~enough], n[~enough]
+        if upto < len(live):
+            ahead = (keys & ((1 << 40) - 1)) * (ix.edits[keys >> 40] + 1) - WINDOW + reach >= live[upto]
+            keys, n = keys[ahead], n[ahead]
+        kept_keys, kept_n, done = keys, n, upto
+
+
 def matches(text: str, ix: Index, q: int = Q) -> list[tuple]:
     """(item id, start, end, edits, segments found, segments) by item: the
     region of the text is from the first to the last matching segment."""
@@ -179,32 +216,22 @@ def matches(text: str, ix: Index, q: int = Q) -> list[tuple]:
     live, where = live[ok], where[ok]
     if len(live) < least:
         return []
-    many = ix.first[where + 1] - ix.first[where]
-    place = np.repeat(ix.first[where], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    seg = ix.seg[place]
-    diagonal = np.repeat(live, many) - ix.pos[place] + WINDOW
-    width = ix.edits[seg] + 1
-    band = diagonal // width  # a band holds this strip of diagonals and the next: they overlap
-    key = np.concatenate(((seg << 40) | band, (seg << 40) | np.maximum(band - 1, 0)))
-    bands, n = np.unique(key, return_counts=True)
-    of = bands >> 40
-    bands = bands[n >= ix.bound[of]]
     best: dict[int, tuple] = {}
-    for k in bands.tolist():
+    for k in _bands(ix, live, where, reach):
         s, strip = k >> 40, k & ((1 << 40) - 1)
         if s in best and best[s][0] == 0:
-            continue
+            continue  # the least edits are known; a segment's first exact place is kept
         e, size = int(ix.edits[s]), int(ix.seg_len[s])
         lo = max(0, strip * (e + 1) - WINDOW - e)
         region = codes[lo : (strip + 2) * (e + 1) - WINDOW + size + e]
-        item, a = ix.seg_item[s], ix.seg_start[s]
-        if (got := aligned(ix.codes[item][a : a + size], region, e)) and (s not in best or got[0] < best[s][0]):
+        if (got := aligned(ix.segments[s], region, e)) and (s not in best or got[0] < best[s][0]):
             best[s] = got[0], lo + got[1], lo + got[2]
     found: dict[int, list] = {}
     for s, (edits, a, b) in sorted(best.items()):
-        found.setdefault(int(ix.seg_item[s]), []).append((int(at[a]), int(at[b - 1]) + 1, edits))
+        for item in ix.owners[s]:
+            found.setdefault(item, []).append((int(at[a]), int(at[b - 1]) + 1, edits))
     return [
-        (ix.items[i], min(x[0] for x in v), max(x[1] for x in v), sum(x[2] for x in v), len(v), int((ix.seg_item == i).sum()))
+        (ix.items[i], min(x[0] for x in v), max(x[1] for x in v), sum(x[2] for x in v), len(v), ix.n_segments[i])
         for i, v in sorted(found.items())
     ]
 
@@ -221,7 +248,50 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int = BLOC
             yield ix
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+#: Bits of the filter that stands before an index of several blocks.
+FILTER_BITS = 30
+
+
+def _filter(found) -> tuple[np.ndarray, int, int] | None:
+    """The hashes of all blocks' q-grams as one bit set, the fewest hits that a
+    match has, and the reach within which they lie."""
+    bits, least, reach = np.zeros(1 << (FILTER_BITS - 3), np.uint8), None, 0
+    for ix in found:
+        h = ix.keys >> np.uint64(64 - FILTER_BITS)
+        np.bitwise_or.at(bits, h >> np.uint64(3), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
+        low = int(ix.bound.min())
+        least, reach = low if least is None else min(least, low), max(reach, int((ix.seg_len + 2 * ix.edits).max()))
+    return None if least is None else (bits, least, reach)
+
+
+def possible(text: str, bits: np.ndarray, least: int, reach: int) -> bool:
+    """Whether some region of a text may hold a segment of any block."""
+    h = hashes(normal(text)[0]) >> np.uint64(64 - FILTER_BITS)
+    hit = np.flatnonzero((bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1)
+    return len(hit) >= least and bool((np.searchsorted(hit, hit + reach) - np.arange(len(hit)) >= least).any())
+
+
+def _candidates(docs: DataFrame, text_col: str, items: DataFrame, item_col: str, item_text_col: str, block_chars: int):
+    """Whether the items take several blocks, and then the documents that may
+    match any of them, as a written table found in one scan: the blocks search
+    only these.  The filter has a fixed size, whatever the items' number."""
+    chars = items.agg(F.coalesce(F.sum(F.length(item_text_col)), F.lit(0))).first()[0]
+    if chars <= block_chars:
+        return None
+    made = _filter(blocks(items, item_col, item_text_col, block_chars))
+    if made is None:
+        return None
+    shared = docs.sparkSession.sparkContext.broadcast(made)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in slices(batches):
+            yield batch.filter(pa.array([bool(x) and possible(x, *shared.value) for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    return written(docs.mapInArrow(run, docs.schema), "decontam-candidates")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document row and item of which it holds a segment within
     the edit budget: ids, span in the document (code points), edits, segments
     found and segments of the item."""
@@ -232,7 +302,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     schema = f"id {kind}, item {item_kind.simpleString()}, start long, end long, edits long, segments long, of_segments long"
     out = spark.createDataFrame([], schema)
-    for ix in blocks(items, item_col, item_text_col):
+    likely = _candidates(cut, "text", items, item_col, item_text_col, block_chars)
+    cut = cut if likely is None else likely
+    for ix in blocks(items, item_col, item_text_col, block_chars):
         shared = spark.sparkContext.broadcast(ix)
 
         def run(batches, shared=shared):
@@ -251,10 +323,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no segment of any item."""
     at = docs.columns.index(text_col)
-    for ix in blocks(items, item_col, item_text_col):
+    likely = _candidates(docs.select(text_col), text_col, items, item_col, item_text_col, block_chars)
+    if likely is not None:
+        # several blocks: the texts to go are found among the candidates, then taken away by digest
+        digest = F.unhex(F.sha2(F.col(text_col), 256))
+        likely = likely.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"), digest.alias("digest"))
+        likely = written(likely.dropDuplicates(["digest"]), "decontam-texts")
+        found = contaminated(likely.select("row", "text"), items, "row", "text", item_col, item_text_col, block_chars)
+        bad = likely.join(found.select("row").distinct(), "row").select("digest")
+        return docs.withColumn("__digest", digest).join(bad.withColumnRenamed("digest", "__bad"), F.col("__digest") == F.col("__bad"), "left_anti").drop("__digest")
+    for ix in blocks(items, item_col, item_text_col, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(ix)
 
         def run(batches, shared=shared):
