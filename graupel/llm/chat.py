@@ -13,8 +13,8 @@ a text gets a backslash after its first character (one more if it has some),
 which ``parse`` takes away again.
 
 Cases: null texts count as empty, a null role is ``[ROLE]``; a message whose
-parent isn't in the table starts a tree; messages of a parent cycle have no
-root and so no path; ties of score are broken by the leaf's id; repeated rows
+parent isn't in the table starts a tree; messages on a circle of parents, and
+those below one, have no root and so no path; ties of score are broken by the leaf's id; repeated rows
 of a conversation are turns of their own, ordered by turn, role and text;
 empty tables give empty results; extra columns are ignored.
 """
@@ -105,23 +105,27 @@ def paths(nodes: DataFrame) -> DataFrame:
     runs = placed.groupBy("tree", "run").agg(F.sum("score").alias("score"), F.max(F.when(F.col("leaf"), F.col("node"))).alias("leaf"), F.count("*").alias("size"), F.max(F.when(F.col("head"), F.col("parent"))).alias("above"))
     to = placed.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("run").alias("above_run"))
     runs = written(runs.join(to, F.expr("tree <=> t and above = n"), "left").drop("t", "n", "above"), "chat-tree")
+    # from the roots down: runs on or below a circle of parents are not reached and have no path
+    level = written(_levels(runs), "chat-levels")
+    reached = level.select(F.col("tree").alias("t"), F.col("run").alias("r"))
+    runs = written(runs.join(reached, F.expr("tree <=> t and run = r")).drop("t", "r"), "chat-reached")
     front = runs.where("leaf is not null").select("tree", "leaf", "run", "score", "size", "above_run")
     found = front
     while not front.where("above_run is not null").isEmpty():
         over = runs.select(F.col("tree").alias("t"), F.col("run").alias("r"), F.col("score").alias("s"), F.col("size").alias("z"), F.col("above_run").alias("a"))
         front = written(front.where("above_run is not null").join(over, F.expr("tree <=> t and above_run = r")).select("tree", "leaf", F.col("r").alias("run"), F.col("s").alias("score"), F.col("z").alias("size"), F.col("a").alias("above_run")), "chat-front")
         found = found.unionByName(front.select(found.columns))
-    # depth of a run in its path: messages of the runs above it
     totals = found.groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"))
     ranked = totals.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf")))
-    level = written(_levels(found, runs), "chat-levels")
-    steps = level.join(ranked.withColumnsRenamed({"tree": "t", "leaf": "l"}), F.expr("tree <=> t and leaf = l")).drop("t", "l")
+    above = level.select(F.col("tree").alias("t"), F.col("run").alias("r"), "before")
+    placed_runs = found.select("tree", "leaf", "run").join(above, F.expr("tree <=> t and run = r")).drop("t", "r")
+    steps = placed_runs.join(ranked.withColumnsRenamed({"tree": "t", "leaf": "l"}), F.expr("tree <=> t and leaf = l")).drop("t", "l")
     spots = placed.select(F.col("tree").alias("t"), F.col("run").alias("r"), "node", "place")
     return steps.join(spots, F.expr("tree <=> t and run = r")).select("tree", "leaf", (F.col("before") + F.col("place")).alias("depth"), "node", "rank", "branch_score")
 
 
-def _levels(found: DataFrame, runs: DataFrame) -> DataFrame:
-    """For each run the number of messages above it, from the roots down."""
+def _levels(runs: DataFrame) -> DataFrame:
+    """For each run below a root the number of messages above it."""
     now = runs.where("above_run is null").select("tree", "run", F.lit(0).cast("long").alias("before"), "size")
     every = now
     below = runs.where("above_run is not null").select(F.col("tree").alias("t"), F.col("run").alias("r"), F.col("size").alias("z"), "above_run")
@@ -130,8 +134,7 @@ def _levels(found: DataFrame, runs: DataFrame) -> DataFrame:
         now = written(now.join(below, F.expr("tree <=> t and run = above_run")).select("tree", F.col("r").alias("run"), (F.col("before") + F.col("size")).alias("before"), F.col("z").alias("size")), "chat-depth")
         every = every.unionByName(now)
         more = not now.isEmpty()
-    above = every.select(F.col("tree").alias("t"), F.col("run").alias("r"), "before")
-    return found.select("tree", "leaf", "run").join(above, F.expr("tree <=> t and run = r")).select("tree", "leaf", "run", "before")
+    return every.select("tree", "run", "before")
 
 
 def format_trees(messages: DataFrame) -> DataFrame:
