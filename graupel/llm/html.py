@@ -36,14 +36,22 @@ NOISE_WORDS = frozenset(
     "sidebar side aside footer foot masthead topbar toolbar comment comments commentlist respond disqus reply replies reviews notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations widget widgets pagination pager skip form search".split()
 )
+#: Words that say where a part stands or what it is made of: beside them a noise word still names the whole.
+LAYOUT_WORDS = frozenset(
+    "a b c and the box bar block area section list item items link links left right top bottom main primary secondary site page global post posts article articles content inner outer user reader readers "
+    "story stories news text body row col column panel pane unit slot zone group button buttons icon icons title heading header small large mini mobile desktop sticky fixed center wide first last "
+    "new latest more all my our js ui mod module component".split()
+)
 #: Tags that end an open element of the given kinds when they start.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"},
 }
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
+OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+PLAIN = re.compile(r"[^>\"']*")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ASKED = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -69,6 +77,8 @@ def _noise(tag: str, attributes: str, inside: Node) -> bool:
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name not in ASKED:
+            continue
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "role" and value.lower() in NOISE_ROLES:
@@ -76,29 +86,73 @@ def _noise(tag: str, attributes: str, inside: Node) -> bool:
         if name in ("class", "id"):
             for part in value.split():
                 words = {w.lower() for w in WORD.findall(part)}
-                if words & NOISE_WORDS and not words & {"with", "has", "no", "wrapper", "wrap", "container"}:
+                if words & NOISE_WORDS and words <= NOISE_WORDS | LAYOUT_WORDS:
                     return True
     return False
 
 
+class Tags:
+    """The tags, comments and declarations of a page from a place on.  A tag
+    ends at the first ``>`` outside quotes; behind a quote that is never closed
+    quotes don't count.  Each character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.open = page, set()  # quotes that don't occur any more
+
+    def end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` is closed, -1 if nowhere."""
+        page, quoted = self.page, at
+        while True:
+            quoted = PLAIN.match(page, quoted).end()
+            if quoted >= len(page):
+                return page.find(">", at)
+            c = page[quoted]
+            if c == ">":
+                return quoted
+            close = -1 if c in self.open else page.find(c, quoted + 1)
+            if close < 0:
+                self.open.add(c)
+                return page.find(">", at)
+            quoted = close + 1
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """(start, end, name or None, closing, attributes) of the next one."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, len(page) if end < 0 else end + 3, None, False, ""
+            if page.startswith(("<!", "<?"), at):
+                end = page.find(">", at)
+                return at, len(page) if end < 0 else end + 1, None, False, ""
+            if m := OPENING.match(page, at):
+                end = self.end(m.end())
+                if end < 0:
+                    return None  # no tag ends from here on: the rest is text
+                return at, end + 1, m[2].lower(), bool(m[1]), page[m.end() : end]
+            at += 1
+        return None
+
+
 def parse(page: str) -> Node:
     """The page's tree; text is kept decoded, as strings among a node's kids."""
+    tags = Tags(page)
     top = Node("html", None, False)
     at, here = 0, top
     body = None
     size = len(page)
     while at < size:
-        m = TAG.search(page, at)
-        if m is None:
+        found = tags.next(at)
+        if found is None:
             here.kids.append(entities.unescape(page[at:]))
             break
-        if m.start() > at:
-            here.kids.append(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        if not m[2]:
+        start, end, tag, closing, attributes = found
+        if start > at:
+            here.kids.append(entities.unescape(page[at:start]))
+        at = end
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closing:
             node = here
             while node is not None and node.tag != tag:
                 # an end tag of an inline element doesn't close a block
@@ -132,14 +186,45 @@ def parse(page: str) -> Node:
                 here = last.up
         if body is None and here.tag == "head" and tag not in ("title", "meta", "link", "script", "style", "base", "noscript", "template"):
             here = top
-        new = Node(tag, here, _noise(tag, m[3], here))
+        new = Node(tag, here, _noise(tag, attributes, here))
         here.kids.append(new)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else size
-        elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in ("p", "div", "b", "a"):
+        elif tag not in VOID and not attributes.rstrip().endswith("/") or tag in ("p", "div", "b", "a"):
             here = new
-    return body or top
+    root = body or top
+    _free_forms(root)
+    return root
+
+
+#: What belongs to a form itself and isn't text of the page.
+CONTROLS = frozenset("label legend button select option textarea input".split())
+
+
+def _free_forms(root: Node) -> None:
+    """A form that holds most of the page's text beside its own controls is the
+    page's frame and no form to be cut."""
+    forms, total, work = [], 0, [(root, None, False)]
+    held: dict[int, int] = {}
+    while work:
+        node, form, cut = work.pop()
+        if node.tag == "form" and node.noise and not cut:
+            form = node
+            forms.append(node)
+            held[id(node)] = 0
+        elif node.noise:
+            cut = True
+        size = sum(len("".join(k.split())) for k in node.kids if isinstance(k, str))
+        if not cut and node.tag not in CONTROLS:
+            total += size
+            if form is not None:
+                held[id(form)] += size
+        work += [(k, form, cut) for k in node.kids if isinstance(k, Node)]
+    for form in forms:
+        if held[id(form)] > 0.5 * total:
+            form.noise = False
+            form.tag = "div"
 
 
 def measure(body: Node) -> list[Node]:
@@ -171,7 +256,7 @@ def measure(body: Node) -> list[Node]:
             node.density = c / t * math.log(inner) / max(math.log(max(base, 1.0000001)), 1.0) if base > 1 else c / t
         node.total = 0.0
     for node in order:
-        if node is not body and node.up is not None:
+        if node is not body and node.up is not None and node.tag not in INLINE:  # a phrase is a part of its block
             node.up.total += node.density
     return order
 
@@ -187,15 +272,10 @@ def article(page: str) -> Node | None:
     while node is not None:
         least = min(least, node.density)
         node = node.up if node is not body else None
-    leaf = lambda n: n.total if n.total else n.density
+    # of equal sums that of a marked-up article
+    leaf = lambda n: (n.total if n.total else n.density, n.tag in ("article", "main"))
     best = max((n for n in nodes if n.density >= least and n.tag not in INLINE), key=leaf, default=body)
-    # a marked-up article is one unit: its title belongs to it
-    node = best
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.up
-    if node is not None:
-        return node
-    # else a title or a line of its own beside the text, without links of its own
+    # a title or a line of its own beside the text, without links of its own
     while best is not body and best.up is not None and best.up is not body and best.up.chars - best.chars <= 0.3 * best.chars and best.up.link_chars - best.link_chars <= 0.1 * (best.up.chars - best.chars):
         best = best.up
     return best

@@ -157,6 +157,13 @@ def test_paths_equal_a_walk(spark):
         assert [scores[k][0] for k in leaves] == [*range(1, len(leaves) + 1)]
 
 
+def test_chat_with_circles_of_parents_ends(spark):
+    nodes = [(1, 1, 2), (1, 2, 1), (1, 3, 1), (1, 4, 4), (1, 5, 4), (1, 6, None), (1, 7, 6), (2, 1, 3), (2, 2, 1), (2, 3, 2), (3, 1, None), (3, 2, 1), (3, 3, 1)]
+    df = spark.createDataFrame([(t, n, p, "user", f"m{n}", 1.0) for t, n, p in nodes], "tree int, node long, parent long, role string, text string, score double")
+    got = sorted((r["tree"], r["leaf"], r["formatted"]) for r in chat.format_trees(df).collect())
+    assert got == [(1, 7, "[INST]m6[/INST][INST]m7[/INST]"), (3, 2, "[INST]m1[/INST][INST]m2[/INST]"), (3, 3, "[INST]m1[/INST][INST]m3[/INST]")]
+
+
 def test_chat_of_odd_rows(spark):
     rows = [(1, 0, "user", None), (1, 0, "user", None), (None, 5, None, "x"), (2, None, "assistant", "y")]
     df = chat.chains(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))

@@ -2,10 +2,12 @@
 
 import base64
 import bz2
+import functools
 import gzip
 import html as entities
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -293,3 +295,159 @@ def test_html_title_beside_the_body_and_layout_classes():
     page = '<body><div class="page with-sidebar"><div class="post"><h1>A title</h1><div class="text"><p>%s<p>%s</div></div><div class="sidebar"><p>Side.</div></div></body>'
     one, two = "Long text of the first paragraph, with many words in it.", "Long text of the second paragraph, with as many words."
     assert html.main_text(page % (one, two)) == f"A title {one} {two}"
+
+
+# ---- repetitive texts, several blocks, edits against brute force ----
+
+
+@pytest.mark.parametrize("item, text", [("ha " * 40, "he said " + "ha " * 25), ("no " * 50, "no " * 30), ("0" * 100, "0" * 60), ("na " * 50, "na " * 400), ("ab" * 1000, "ab" * 500_000)])
+def test_repetitive_texts_end_in_bounded_memory(item, text):
+    import tracemalloc
+
+    index = decontam.index([(1, item)])
+    tracemalloc.start()
+    found = decontam.matches(text, index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and found[0][0] == 1 and peak < 400e6
+
+
+def nearest_part(segment, codes):
+    """Least edits between the segment and any part of the codes (Sellers)."""
+    row = [0] * (len(codes) + 1)
+    for i, x in enumerate(segment, 1):
+        new = [i]
+        for j, y in enumerate(codes, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def edited_table(rng, words=60):
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(words)]
+    said = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, said(rng.randint(3, 30))) for i in range(8)]
+    docs = []
+    for k in range(30):
+        _, text = rng.choice(items)
+        at = rng.randint(0, max(0, len(text) - 70))
+        chars = list(text[at : at + 90])
+        for _ in range(rng.randint(0, 9)):
+            j = rng.randrange(len(chars))
+            chars[j] = rng.choice(["", "x", chars[j] + "y"])
+        docs.append((k, said(rng.randint(0, 8)) + " " + "".join(chars) + " " + said(rng.randint(0, 8))))
+    return items, docs
+
+
+def test_edit_matches_equal_brute_force():
+    rng, tried = random.Random(12), 0
+    for _ in range(4):
+        items, docs = edited_table(rng)
+        index = decontam.index(items)
+        for _, text in docs:
+            codes = decontam.normal(text)[0].tolist()
+            want = {items[o][0] for seg, owners, e in zip(index.segments, index.owners, index.edits.tolist()) if nearest_part(seg.tolist(), codes) <= e for o in owners}
+            assert {f[0] for f in decontam.matches(text, index)} == want
+            tried += len(want)
+    assert tried > 60
+
+
+def test_blocks_give_what_one_index_gives(spark):
+    items, docs = edited_table(random.Random(5))
+    i, d = spark.createDataFrame(items, "item_id int, text string"), spark.createDataFrame([*docs, (98, None), (99, "")], "doc_id int, text string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    one, many = decontam.contaminated(d, i), decontam.contaminated(d, i, block_chars=200)
+    assert rows(one) == rows(many) and one.count() > 5
+    kept = decontam.clean(d, i)
+    assert rows(kept) == rows(decontam.clean(d, i, block_chars=200)) == sorted((k, t) for k, t in [*docs, (98, None), (99, "")] if k not in {r["doc_id"] for r in one.collect()})
+
+
+# ---- payloads on every path ----
+
+SECRET = "password = hunter2hunter2"
+
+
+def packings(rng):
+    b64 = lambda b: base64.b64encode(b)
+    wrapped = lambda b: b"\n".join(b64(b)[i : i + 76] for i in range(0, len(b64(b)), 76))
+    url = lambda b: "".join(chr(x) if chr(x).isalnum() and x < 128 else f"%{x:02x}" for x in b).encode()
+    escaped = lambda b: "".join(chr(x) if 32 < x < 127 and chr(x) not in "\\'\"" else f"\\x{x:02x}" for x in b).encode()
+    noise = bytes(rng.randrange(256) for _ in range(300))
+    return {
+        "gzip in wrapped base64": wrapped(gzip.compress(noise + SECRET.encode() + b"\n" + noise)), "gzip in a URL": url(gzip.compress(SECRET.encode())), "zlib in escapes": escaped(zlib.compress(SECRET.encode())),
+        "gzip in escapes": escaped(gzip.compress(SECRET.encode(), mtime=0)), "bz2 in a URL": url(bz2.compress(SECRET.encode())), "binary around it": b64(b"\xff\xfe\x00 " + SECRET.encode() + b" \x80\x81"),
+        "latin-1": b64("é ü ".encode("latin-1") + SECRET.encode()), "zlib nine times": b64(functools.reduce(lambda b, _: zlib.compress(b), range(9), SECRET.encode())),
+    }
+
+
+@pytest.mark.parametrize("name", sorted(packings(random.Random(1))))
+def test_payloads_are_opened_on_every_path(name):
+    inside = packings(random.Random(1))[name].decode("latin-1")
+    text = f"see\n{inside}\nand again\n{inside}\nend"
+    spans = secrets.layer_spans(text, secrets.base_spans(text))[0]
+    for at in (text.index(inside), text.rindex(inside)):
+        assert any(k == 0 and a <= at + 1 and b >= at + len(inside) - 1 for a, k, b in spans), (spans, at, len(inside))
+
+
+def test_random_nestings_are_found_at_each_place(spark):
+    rng = random.Random(8)
+    layers = [
+        lambda s: base64.b64encode(s.encode()).decode(), lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("="), lambda s: "".join(f"%{b:02X}" for b in s.encode()),
+        lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: base64.b64encode(gzip.compress(s.encode(), mtime=0)).decode(), lambda s: base64.b64encode(zlib.compress(s.encode())).decode(),
+        lambda s: base64.b64encode(bz2.compress(s.encode())).decode(),
+    ]
+    texts, places = [], []
+    for k in range(60):
+        token = f"api_key = K{rng.randrange(10**9):09d}z"
+        inner = token
+        for _ in range(rng.randint(1, 4)):
+            inner = rng.choice(layers)(f" {inner} " if rng.random() < 0.5 else inner)
+        text, at = "", []
+        for _ in range(rng.randint(1, 3)):
+            text += "some words " * rng.randint(0, 3)
+            at.append((len(text), len(text) + len(inner)))
+            text += inner + " "
+        texts.append(text), places.append((at, token))
+    for text, (at, _) in zip(texts, places):
+        spans = secrets.layer_spans(text, secrets.base_spans(text))[0]
+        assert all(any(a < end and b > start for a, _, b in spans) for start, end in at), text
+    redacted = secrets.redact(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    for r in redacted:
+        assert not secrets.layer_spans(r["text"], secrets.base_spans(r["text"]))[0]
+
+
+# ---- HTML: by density alone, attribute values, forms, broken tags ----
+
+
+def test_html_without_article_tags_and_class_names(sf):
+    pages = [p for (p,) in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    same = 0
+    for page in pages:
+        bare = re.sub(r'\s(class|id)="[^"]*"', "", page.replace("<article>", "<div>").replace("</article>", "</div>"))
+        same += html.main_text(page) == html.main_text(bare)
+    assert same >= 0.95 * len(pages)
+
+
+WORDS = "Words of a paragraph that is long enough to be read. "
+
+
+@pytest.mark.parametrize("tag", ['style="overflow:hidden "', 'title="hidden gems"', 'data-id="comment"', 'class="side-effects"', "data-x='id=comment'", 'class="with-sidebar"'])
+def test_html_values_are_not_names(tag):
+    assert html.main_text(f"<body><div><p>{WORDS * 3}</p><div {tag}><p>{WORDS}</p></div></div></body>").split() == (WORDS * 4).split()
+
+
+@pytest.mark.parametrize("tag", ["hidden", 'class="cookie-notice"', 'id="comments"', "class=sidebar", 'role="navigation"', 'aria-hidden="true"', 'class="related posts"'])
+def test_html_noise_by_attribute(tag):
+    assert html.main_text(f"<body><div><p>{WORDS * 3}</p><div {tag}><p>{WORDS}</p></div></div></body>").split() == (WORDS * 3).split()
+
+
+def test_html_page_within_one_form():
+    page = f"<body><form id=aspnetForm><div class=content><h1>Title</h1><p>{WORDS * 3}</p><form class=x><label>Mail</label><input></form></div></form></body>"
+    assert html.main_text(page).split() == ("Title " + WORDS * 3).split()
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, ('<a "' * 7 + ">") * 30_000, "<div><p>text <b" * 60_000, "<a '\"" * 200_000, "<" * 1_000_000, "<!--" * 250_000, "<a b='" * 100_000 + ">"])
+def test_html_broken_tags_cost_what_their_length_is(page):
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 10
