@@ -119,15 +119,48 @@ def index(items: list[tuple], window: int = WINDOW, rate: float = EDIT_RATE, q:
     return Index(ids, n_segments, segments, owners, n, edits, n - q + 1 - q * edits, keys, np.append(first, len(g)), s, p, mask)
 
 
+def reaches(segment: list[int], region: list[int], budget: int) -> bool:
+    """Whether some part of the region is within the budget of the segment: a
+    column of the alignment's table at a time, its steps kept as bits."""
+    signs: dict[int, int] = {}
+    for i, c in enumerate(segment):
+        signs[c] = signs.get(c, 0) | 1 << i
+    n = len(segment)
+    every, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, edits, left = every, 0, n, len(region)
+    for c in region:
+        same = signs.get(c, 0)
+        v = same | down
+        h = (((same & up) + up) ^ up) | same
+        rise, fall = down | ~(h | up) & every, up & h
+        if rise & top:
+            edits += 1
+        elif fall & top:
+            edits -= 1
+            if edits <= budget:
+                return True
+        left -= 1
+        if edits - left > budget:
+            return False
+        rise, fall = rise << 1, fall << 1
+        up, down = (fall | ~(v | rise)) & every, rise & v & every
+    return n <= budget
+
+
 def aligned(segment: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best alignment of the whole segment with a
     part of the region, if within the budget.  The region spans the band, so
     each row of the table is as wide as the band."""
     n, m = len(segment), len(region)
     if n <= m:  # an exact copy needs no table
-        view = np.lib.stride_tricks.sliding_window_view(region, n)
-        if len(hit := np.flatnonzero((view == segment).all(1))):
-            return 0, int(hit[0]), int(hit[0]) + n
+        whole, part = np.asarray(region, np.uint32).tobytes(), np.asarray(segment, np.uint32).tobytes()
+        at = whole.find(part)
+        while at >= 0 and at % 4:
+            at = whole.find(part, at + 1)
+        if at >= 0:
+            return 0, at // 4, at // 4 + n
+    if not reaches(segment.tolist(), region.tolist(), budget):
+        return None
     if m < n - budget:  # cut short by an end of the text
         return None
     band = m - n + budget + 1
@@ -202,20 +235,20 @@ def matches(text: str, ix: Index, q: int = Q) -> list[tuple]:
     least = int(ix.bound.min())
     if len(hit) < least:
         return []
+    where = np.searchsorted(ix.keys, h[hit])
+    where[where == len(ix.keys)] = 0
+    ok = ix.keys[where] == h[hit]
+    hit, where = hit[ok], where[ok]
     # a region must have `least` hits within the reach of the longest segment
     reach = int((ix.seg_len + 2 * ix.edits).max())
     near = np.searchsorted(hit, hit + reach) - np.arange(len(hit)) >= least
     if not near.any():
         return []
     begins = hit[near]
-    live = hit[(b := np.searchsorted(begins, hit, "right")) > 0]
-    live = live[live - begins[b[b > 0] - 1] < reach]
-    where = np.searchsorted(ix.keys, h[live])
-    where[where == len(ix.keys)] = 0
-    ok = ix.keys[where] == h[live]
-    live, where = live[ok], where[ok]
-    if len(live) < least:
-        return []
+    b = np.searchsorted(begins, hit, "right")
+    ok = b > 0
+    ok[ok] = hit[ok] - begins[b[ok] - 1] < reach
+    live, where = hit[ok], where[ok]
     best: dict[int, tuple] = {}
     for k in _bands(ix, live, where, reach):
         s, strip = k >> 40, k & ((1 << 40) - 1)
