@@ -122,13 +122,15 @@ def _unpacked(batches):
 
 
 def _sets(batches):
-    """(cid, shingles as bytes) of the texts that are their class's own."""
+    """(cid, shingles as bytes) of the texts that are their class's own, or of
+    all where no class is named."""
     for batch in slices(batches):
         cids, sets = [], []
         for text, cid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             sh, w = shingles(text or "", SHINGLE)
-            if int.from_bytes(hashlib.blake2b(w.tobytes(), digest_size=16).digest()[:8], "little", signed=True) == cid:
-                cids.append(cid), sets.append(sh.tobytes())
+            own = int.from_bytes(hashlib.blake2b(w.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
+            if cid is None or own == cid:
+                cids.append(own), sets.append(sh.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "sh"])
 
 
@@ -257,7 +259,9 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     own = members.select(F.col("class_id").alias("id"), "cid")
     if own.count() <= BROADCAST_ROWS:  # else both sides are shuffled
         own = F.broadcast(own)
-    texts = cut.join(own, "id").select("text", "cid").mapInArrow(_sets, "cid long, sh binary")
+    texts = cut.join(own, "id").select("text", "cid")
+    # a class of null ids alone is found by its text
+    texts = texts.unionByName(cut.where("id is null").select("text", F.lit(None).cast("long").alias("cid"))).mapInArrow(_sets, "cid long, sh binary")
     dealt = texts.dropDuplicates(["cid"]).join(members.select("cid", "label", "blocks"), "cid")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
