@@ -4,12 +4,14 @@ import collections
 import hashlib
 import math
 import random
+import struct
 import re
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -104,6 +106,14 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_links_of_texts_without_ids(spark):
+    said = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, said), (1, said + " more"), (None, said + " less"), (2, "other words here"), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_links"], r["group_id"] or 0) for r in neardup.link(df).collect())
+    assert got == [(0, 0, 3), (0, 2, 1), (0, 2, 1), (1, 2, 1), (2, 0, 2), (3, 0, 3)]
+
+
 # ---- chats ----
 
 
@@ -200,6 +210,31 @@ def test_fingerprints_estimate_generalised_jaccard(spark, sf):
     assert all(len(v) == 1 for v in same.values())
 
 
+def drawn(text):
+    """The signature by the formulas of consistent weighted sampling."""
+    xx = lambda raw, seed: xxhash.xxh64_intdigest(raw, seed=seed)
+    part = lambda h, shift, bits: (((h >> shift) & ((1 << bits) - 1)) + 0.5) * 2.0**-bits
+    out = []
+    for k in range(fingerprint.SAMPLES):
+        best = None
+        for word, n in collections.Counter(text.lower().split()).items():
+            term = xx(struct.pack("<Q", xx(word.encode(), 42)), 42)
+            h, g = xx(struct.pack("<i", 2 * k), term), xx(struct.pack("<i", 2 * k + 1), term)
+            r, ln_c, b = -math.log(part(h, 32, 32) * part(h, 0, 32)), math.log(-math.log(part(g, 40, 24) * part(g, 16, 24))), part(g, 0, 16)
+            t = math.floor(math.log(n) / r + b)
+            rank, name = int((ln_c - r * (t - b + 1.0) + 512.0) * (1 << 24)), ((h & (1 << 28) - 1) + t * 2654435) & (1 << 28) - 1
+            best = min(x for x in (best, rank << 28 | name) if x is not None)
+        out.append(xx(struct.pack("<q", best), 42) % 65536)
+    return out
+
+
+def test_signatures_equal_the_formulas(spark, sf):
+    texts = ["one", "a a a b", "the cat sat on the mat the end", *(t[:400] for t in list(dict(documents(sf)).values())[:6] if t and t.isascii())]
+    df = spark.createDataFrame([*enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["signature"] for r in fingerprint.fingerprints(df, ["i"], "t").collect()}
+    assert [got[i] for i in range(len(texts))] == [drawn(t) for t in texts] and len(texts) > 4
+
+
 def test_likeness_is_fine_enough_to_tell_near_from_nearer(spark):
     word = lambda n: " ".join(f"w{i}" for i in range(n))
     rows = [(j, word(100 + j % 2 * 15) + f" own{j}") for j in range(40)]
