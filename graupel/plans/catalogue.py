@@ -288,8 +288,8 @@ def fallback_detection(spark, sf):
     score = lambda df, c, content: df.withColumn("d", s.detection(F.col("box"), c, content=F.lit(content)))
     primary = score(rows.where("l_linenumber <= 3"), F.col("c"), 0.5).withColumn("fallback", F.lit(False))
     second = score(rows.where("l_linenumber > 3"), F.lit(0.62), 0.75).withColumn("fallback", F.lit(True))
-    found = keys.present(primary.select("l_orderkey"), primary.where("size(d.reasons) = 0"), "l_orderkey").distinct()
-    both = primary.unionByName(keys.missing(second, found, "l_orderkey")).where("size(d.reasons) = 0").withColumn("score", F.round("d.score", 9))
+    good = primary.where("size(d.reasons) = 0")
+    both = good.unionByName(keys.missing(second.where("size(d.reasons) = 0"), good, "l_orderkey")).withColumn("score", F.round("d.score", 9))
     best = keys.best_of_each(both, ["l_orderkey"], "score", F.asc("l_linenumber"))
     return best.select("l_orderkey", F.col("l_linenumber").alias("chosen"), F.col("fallback").alias("by_fallback"))
 
