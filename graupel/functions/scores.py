@@ -74,11 +74,11 @@ def detection(box: Column, confidence: Column, corners: Column | None = None, im
     bounding = F.when(box["h"] > 0, box["w"] * aspect / box["h"]).otherwise(0.0)
     ratio = bounding if corners is None else F.coalesce(F.when(corners.isNotNull(), side_aspect(corners, aspect)), bounding)
     parts = F.struct((box["w"] * box["h"]).alias("area"), bounding.alias("bounding"), ratio.alias("ratio"), shape_score(corners).alias("shape"))
-    given = unit(confidence.cast("double")) * 0.30 + unit(F.lit(0.5) if content is None else content) * 0.20
+    given, held = unit(confidence.cast("double")) * 0.30, unit(F.lit(0.5) if content is None else content) * 0.20
     outside = (box["w"] <= 0) | (box["h"] <= 0) | (box["x"] < 0) | (box["y"] < 0) | (box["x"] + box["w"] > 1) | (box["y"] + box["h"] > 1)
 
     def scored(p: Column) -> Column:
-        return given + area_score(p["area"]) * 0.20 + aspect_score(p["ratio"]) * 0.20 + p["shape"] * 0.10
+        return given + area_score(p["area"]) * 0.20 + aspect_score(p["ratio"]) * 0.20 + held + p["shape"] * 0.10
 
     def judged(p: Column) -> Column:
         rules = [

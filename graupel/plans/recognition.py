@@ -37,20 +37,20 @@ def title_regions(spark, sf):
 WITH b AS (SELECT l_orderkey, l_linenumber, {_BOX_SQL}, {_SIZE_SQL} FROM lineitem),
 s AS (SELECT *, greatest(300 / iw, 500 / ih) AS k FROM b),
 p AS (SELECT *, greatest(x * 600 - 20, 0) AS px, greatest(y * 600 - 20, 0) AS py, least(x * 600 - 20 + w * 600, iw) AS pr, least(y * 600 - 20 + h * 600, ih) AS pb FROM s)
-SELECT l_orderkey, l_linenumber, round(x * iw * k + (300 - iw * k) / 2, 4) AS vx, round((1 - (y + h)) * ih * k + (500 - ih * k) / 2, 4) AS vy, round(w * iw * k, 4) AS vw,
-  CASE WHEN pr >= px AND pb >= py THEN round(px / iw, 6) ELSE 0 END AS nx, CASE WHEN pr >= px AND pb >= py THEN round(1 - pb / ih, 6) ELSE 0 END AS ny,
-  CASE WHEN pr >= px AND pb >= py THEN round((pr - px) / iw, 6) ELSE 0 END AS nw FROM p
+SELECT l_orderkey, l_linenumber, round(x * iw * k + (300 - iw * k) / 2, 6) + 0 AS vx, round((1 - (y + h)) * ih * k + (500 - ih * k) / 2, 6) + 0 AS vy, round(w * iw * k, 6) AS vw,
+  CASE WHEN pr >= px AND pb >= py THEN round(px / iw, 6) + 0 ELSE 0 END AS nx, CASE WHEN pr >= px AND pb >= py THEN round(1 - pb / ih, 6) + 0 ELSE 0 END AS ny,
+  CASE WHEN pr >= px AND pb >= py THEN round((pr - px) / iw, 6) + 0 ELSE 0 END AS nw FROM p
 """)
 def view_projection(spark, sf):
     rows = _table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", _BOX, *_SIZE)
     v = g.aspect_scaled(F.col("box"), F.col("iw"), F.col("ih"), F.lit(300.0), F.lit(500.0), fill=True)
     pixels = g.rect(F.col("box.x") * 600 - 20, F.col("box.y") * 600 - 20, F.col("box.w") * 600, F.col("box.h") * 600)
     rows = rows.withColumn("v", v).withColumn("p", pixels).withColumn("n", g.to_normalised(F.col("p"), F.col("iw"), F.col("ih")))
-    shown = [F.round(F.col(f"v.{n}"), 4).alias(f"v{n}") for n in "xyw"] + [F.round(F.col(f"n.{n}"), 6).alias(f"n{n}") for n in "xyw"]
+    shown = [F.round(F.col(f"v.{n}"), 6).alias(f"v{n}") for n in "xyw"] + [F.round(F.col(f"n.{n}"), 6).alias(f"n{n}") for n in "xyw"]
     return rows.select("l_orderkey", "l_linenumber", *shown)
 
 
-_CORNERS_SQL = """x + (l_partkey % 3) * 0.02 AS ax, y + h AS ay, x + w - (l_suppkey % 5) * 0.1 AS bx, y + h - (l_suppkey % 7) * 0.05 AS "by", x + w AS cx, y AS cy, x AS dx, y + (l_partkey % 4) * 0.03 AS dy"""
+_CORNERS_SQL = """x + (l_partkey % 3) * 0.0213 AS ax, y + h AS ay, x + w - (l_suppkey % 5) * 0.1031 AS bx, y + h - (l_suppkey % 7) * 0.0517 AS "by", x + w AS cx, y AS cy, x AS dx, y + (l_partkey % 4) * 0.0319 AS dy"""
 
 
 @query(f"""
@@ -59,8 +59,8 @@ k AS (SELECT *, {_CORNERS_SQL} FROM b),
 t AS (SELECT *, (bx - ax) * (cy - "by") - ("by" - ay) * (cx - bx) AS t1, (cx - bx) * (dy - cy) - (cy - "by") * (dx - cx) AS t2, (dx - cx) * (ay - dy) - (dy - cy) * (ax - dx) AS t3,
   (ax - dx) * ("by" - ay) - (ay - dy) * (bx - ax) AS t4, (sqrt((ax - bx) ** 2 + (ay - "by") ** 2) + sqrt((dx - cx) ** 2 + (dy - cy) ** 2)) / 2 AS mw,
   (sqrt((ax - dx) ** 2 + (ay - dy) ** 2) + sqrt((bx - cx) ** 2 + ("by" - cy) ** 2)) / 2 AS mh FROM k),
-r AS (SELECT *, NOT (greatest(t1, t2, t3, t4) > 0.0001 AND least(t1, t2, t3, t4) < -0.0001) AS convex, CASE WHEN mh > 0 THEN mw / mh ELSE 0 END AS plain, CASE WHEN mh > 0 THEN mw * 0.75 / mh ELSE 0 END AS ratio,
-  w * 0.75 / h AS bounding, w * h AS a, greatest(ax, bx, cx, dx) - least(ax, bx, cx, dx) AS sx, greatest(ay, "by", cy, dy) - least(ay, "by", cy, dy) AS sy FROM t),
+r AS (SELECT *, NOT (greatest(t1, t2, t3, t4) > 0.0001 AND least(t1, t2, t3, t4) < -0.0001) AS convex, CASE WHEN mh > 0 THEN mw / mh ELSE 0 END AS plain, CASE WHEN mh > 0 THEN mw * 0.7531 / mh ELSE 0 END AS ratio,
+  w * 0.7531 / h AS bounding, w * h AS a, greatest(ax, bx, cx, dx) - least(ax, bx, cx, dx) AS sx, greatest(ay, "by", cy, dy) - least(ay, "by", cy, dy) AS sy FROM t),
 s AS (SELECT *, CASE WHEN NOT convex OR sx <= 0 OR sy <= 0 THEN 0.1 WHEN plain > 0.28 AND plain < 1.22 THEN 1.0 ELSE 0.35 END AS shape FROM r),
 f AS (SELECT *, least(greatest(c, 0), 1) * 0.30 + (CASE WHEN a < 0.10 THEN a / 0.10 WHEN a <= 0.45 THEN 1 ELSE greatest(0, 1 - (a - 0.45) / 0.41) END) * 0.20
   + (CASE WHEN ratio <= 0 THEN 0 WHEN ratio < 0.45 THEN ratio / 0.45 WHEN ratio > 1.05 THEN greatest(0, 1 - (ratio - 1.05) / 0.20) ELSE 1 - abs(ratio - 63.0 / 88.0) / greatest(63.0 / 88.0 - 0.45, 1.05 - 63.0 / 88.0) * 0.45 END) * 0.20
@@ -72,11 +72,11 @@ def corner_scores(spark, sf):
     at = lambda x, y: f"named_struct('x', {x}, 'y', {y})"
     x, y, w, h = "box.x", "box.y", "box.w", "box.h"
     corners = (
-        f"named_struct('tl', {at(f'{x} + (l_partkey % 3) * 0.02D', f'{y} + {h}')}, 'tr', {at(f'{x} + {w} - (l_suppkey % 5) * 0.1D', f'{y} + {h} - (l_suppkey % 7) * 0.05D')}, "
-        f"'br', {at(f'{x} + {w}', y)}, 'bl', {at(x, f'{y} + (l_partkey % 4) * 0.03D')}) as corners"
+        f"named_struct('tl', {at(f'{x} + (l_partkey % 3) * 0.0213D', f'{y} + {h}')}, 'tr', {at(f'{x} + {w} - (l_suppkey % 5) * 0.1031D', f'{y} + {h} - (l_suppkey % 7) * 0.0517D')}, "
+        f"'br', {at(f'{x} + {w}', y)}, 'bl', {at(x, f'{y} + (l_partkey % 4) * 0.0319D')}) as corners"
     )
     rows = _table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _CONF, _BOX).selectExpr("*", corners)
-    c, aspect = F.col("corners"), F.lit(0.75)
+    c, aspect = F.col("corners"), F.lit(0.7531)
     rows = rows.select(
         "l_orderkey", "l_linenumber", s.is_convex(c).alias("convex"), F.round(s.side_aspect(c, aspect), 6).alias("ratio"), s.shape_score(c).alias("shape"),
         s.detection(F.col("box"), F.col("confidence"), c, aspect).alias("d"),
@@ -108,23 +108,22 @@ def grid_crops(spark, sf):
 
 
 @query("""
-WITH p AS (SELECT l_orderkey, l_linenumber, (l_quantity / 50)::DOUBLE AS r, (l_partkey % 100) / 100.0::DOUBLE AS g, (l_suppkey % 50) / 50.0::DOUBLE AS b, (l_orderkey % 10) / 10.0::DOUBLE AS br FROM lineitem),
+WITH p AS (SELECT l_orderkey, l_linenumber, (l_quantity / 50)::DOUBLE AS r, (l_partkey % 100) / 100.0::DOUBLE AS g, (l_suppkey % 50) / 50.0::DOUBLE AS b, (l_orderkey % 10) / 10.0::DOUBLE + 0.0113 AS br FROM lineitem),
 q AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS l, 0.299 * r + 0.587 * g + 0.114 * b AS f, CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) ELSE 0 END AS s,
-  0.2126 * br + 0.7152 * 0.6 + 0.0722 * 0.5 AS bl, (greatest(br, 0.6) - least(br, 0.5)) / greatest(br, 0.6) AS bs, (abs(r - br) + abs(g - 0.6) + abs(b - 0.5)) / 3 AS d FROM p)
+  0.2126 * br + 0.7152 * 0.6137 + 0.0722 * 0.5071 AS bl, (greatest(br, 0.6137) - least(br, 0.5071)) / greatest(br, 0.6137) AS bs, (abs(r - br) + abs(g - 0.6137) + abs(b - 0.5071)) / 3 AS d FROM p)
 SELECT l_orderkey, l_linenumber, round(l, 6) AS luma, round(f, 6) AS focus_luma, round(s, 6) AS saturation,
-  round(l, 9) > round(bl + 0.16, 9) OR (bl > 0.55 AND round(l, 9) < round(bl - 0.12, 9)) OR (bl > 0.55 AND round(d, 9) > 0.14)
-    OR (round(s, 9) > round(greatest(0.18, bs + 0.14), 9) AND (round(l, 9) > round(bl + 0.16, 9) OR (bl > 0.55 AND round(l, 9) < round(bl - 0.12, 9)) OR round(d, 9) > 0.08)) AS in_crop,
-  (bl > 0.55 AND round(l, 9) < round(bl - 0.10, 9) AND (round(s, 9) > 0.08 OR round(l, 9) < round(bl - 0.20, 9))) OR (round(s, 9) > round(bs + 0.12, 9) AND round(abs(l - bl), 9) > 0.04) AS in_shape FROM q
+  (l) > (bl + 0.16) OR (bl > 0.55 AND (l) < (bl - 0.12)) OR (bl > 0.55 AND (d) > 0.14)
+    OR ((s) > (greatest(0.18, bs + 0.14)) AND ((l) > (bl + 0.16) OR (bl > 0.55 AND (l) < (bl - 0.12)) OR (d) > 0.08)) AS in_crop,
+  (bl > 0.55 AND (l) < (bl - 0.10) AND ((s) > 0.08 OR (l) < (bl - 0.20))) OR ((s) > (bs + 0.12) AND (abs(l - bl)) > 0.04) AS in_shape FROM q
 """)
 def pixel_masks(spark, sf):
-    """Both rule sets of the foreground; compared values are rounded so that
-    ties fall alike in the query and its SQL."""
-    rows = _table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity / 50 as r", "(l_partkey % 100) / 100.0D as g", "(l_suppkey % 50) / 50.0D as b", "(l_orderkey % 10) / 10.0D as br")
+    """Both rule sets of the foreground, on colours that give no ties."""
+    rows = _table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity / 50 as r", "(l_partkey % 100) / 100.0D as g", "(l_suppkey % 50) / 50.0D as b", "(l_orderkey % 10) / 10.0D + 0.0113D as br")
 
     def pixel(r, gr, b):
         return F.struct(r.alias("r"), gr.alias("g"), b.alias("b"), grids.luma(r, gr, b, video=True).alias("luma"), grids.saturation(r, gr, b).alias("saturation"))
 
-    p, e = pixel(F.col("r"), F.col("g"), F.col("b")), pixel(F.col("br"), F.lit(0.6), F.lit(0.5))
+    p, e = pixel(F.col("r"), F.col("g"), F.col("b")), pixel(F.col("br"), F.lit(0.6137), F.lit(0.5071))
     return rows.select("l_orderkey", "l_linenumber", p.alias("p"), e.alias("e"), F.round(grids.luma(F.col("r"), F.col("g"), F.col("b")), 6).alias("focus_luma")).select(
         "l_orderkey", "l_linenumber", F.round("p.luma", 6).alias("luma"), "focus_luma", F.round("p.saturation", 6).alias("saturation"), grids.crop_foreground(F.col("p"), F.col("e")).alias("in_crop"),
         grids.foreground(F.col("p.luma"), F.col("p.saturation"), F.col("e.luma"), F.col("e.saturation")).alias("in_shape"),
