@@ -12,8 +12,11 @@ Jaccard similarity of their sets is 0.8 or more.
 3. Within the components of these edges the pairs' signatures are compared 32
    values at a time; a pair is dropped as soon as the posterior probability
    (uniform prior) of reaching the threshold is below ``TOLERANCE``, and what is
-   left is verified on the shingle sets themselves.  Large components are dealt
-   out as pairs of blocks; blocks return counts and spanning edges, not pairs.
+   left is verified on the shingle sets themselves.  Work is dealt out as pairs
+   of blocks; blocks return counts and spanning edges, not pairs.  A component
+   of several blocks that its buckets hold together loosely, by chains of unlike
+   texts, is dealt bucket by bucket instead where that copies fewer sets: a pair
+   then counts in the first bucket that it shares, so it counts once.
 
 Cases: null and empty texts form one class without links; texts of fewer than
 five words are one shingle; equal texts, and repeated rows, share a class;
@@ -115,10 +118,11 @@ def _described(batches):
 
 
 def _unpacked(batches):
-    for batch in batches:
-        n = len(batch)
-        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys)], ["cid", "band"]) if n else batch
+    """A row for each band; the bands are the last column, numbers before them are repeated."""
+    for batch in slices(batches):
+        keys = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.int64)
+        others = [pa.array(np.repeat(c.to_numpy(), BANDS)) for c in batch.columns[:-1]]
+        yield pa.RecordBatch.from_arrays([*others, pa.array(keys)], [*batch.schema.names[:-1], "band"])
 
 
 def _sets(batches):
@@ -170,20 +174,35 @@ def common_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
     return total[i, j].astype(np.int64)
 
 
+def first_shared(keys: np.ndarray, band: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs share no band before the one with this key."""
+    before = keys[:, : int(np.flatnonzero(keys[0] == band)[0])]
+    ok = np.ones(len(i), bool)
+    for k in range(0, len(i), 1 << 14):
+        at = slice(k, k + (1 << 14))
+        ok[at] = ~(before[i[at]] == before[j[at]]).any(1)
+    return ok
+
+
 def _verified(group: pa.Table) -> pa.Table:
-    """Links of one pair of blocks (or of one whole component): per member its
-    number of links and the least member it hangs together with."""
+    """Links of one pair of blocks (or of one whole component or bucket): per
+    member its number of links and the least member it hangs together with."""
     order = np.argsort(group.column("cid").to_numpy())
     cid = group.column("cid").to_numpy()[order]
     block = group.column("block").to_numpy()[order]
     raw = group.column("sh").to_pylist()
     sets = [np.frombuffer(raw[k], np.uint64) for k in order]
-    sig = np.stack([signature(s).astype(np.uint32) for s in sets])
+    full = [signature(s) for s in sets]
+    sig = np.stack([s.astype(np.uint32) for s in full])
+    band = group.column("band")[0].as_py()
     i, j = np.triu_indices(len(cid), 1)
     if group.column("low")[0] != group.column("high")[0]:  # blocks' own pairs are another group's work
         cross = block[i] != block[j]
         i, j = i[cross], j[cross]
     i, j = survivors(sig, i.astype(np.int32), j.astype(np.int32))
+    if band is not None and len(i):
+        own = first_shared(np.stack([band_keys(s) for s in full]), band, i, j)
+        i, j = i[own], j[own]
     n = np.array([len(s) for s in sets])
     if len(i):
         inter = common_counts(sets, i, j)
@@ -238,6 +257,25 @@ def _bucket_edges(bands: DataFrame) -> DataFrame:
     return found.where("band is null").select("u", "v").unionByName(seams.join(least, "band").where("u <> v").select("u", "v"))
 
 
+def _units(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """How members (cid, label, size, blocks) are dealt: (cid, label, band,
+    blocks), one row for each component or bucket that a member is compared in;
+    band is null for whole components."""
+    whole = members.select("cid", "label", F.lit(None).cast("long").alias("band"), "blocks")
+    large = members.where("blocks > 1").select("cid", "label", "size", "blocks")
+    if large.isEmpty():
+        return whole
+    held = classes.select(F.col("cid").alias("c"), "bands").join(large, F.col("c") == F.col("cid")).select("cid", "label", "bands")
+    held = written(held.mapInArrow(_unpacked, "cid long, label long, band long"), "join-held")
+    buckets = held.groupBy("label", "band").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    buckets = written(buckets, "join-buckets")
+    copies = buckets.groupBy("label").agg(F.sum(F.col("n") * F.col("blocks")).alias("copies"))
+    loose = large.select("label", "size", "blocks").distinct().join(copies, "label").where(F.col("copies") < F.col("size") * F.col("blocks")).select("label")
+    loose = written(loose, "join-loose")
+    dealt = held.join(buckets.join(loose, "label", "left_semi").select("label", "band", "blocks"), ["label", "band"])
+    return whole.join(loose, "label", "left_anti").select("cid", "label", "band", "blocks").unionByName(dealt.select("cid", "label", "band", "blocks"))
+
+
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: id, class_id (least id of the texts with the
     same words), n_copies (size of the class), n_links (other classes that are
@@ -247,13 +285,13 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     cut = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = cut.mapInArrow(_described, f"id {kind}, key binary, cid long, n long, bands binary")
     rows = written(rows, "join-rows")
-    classes = rows.groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"), F.first("cid").alias("cid"))
+    classes = rows.groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"), F.first("cid").alias("cid"), F.first("bands").alias("bands"))
     classes = written(classes, "join-classes")
 
-    bands = rows.where("bands is not null").select("cid", "bands").mapInArrow(_unpacked, "cid long, band long")
+    bands = classes.where("bands is not null").select("cid", "bands").mapInArrow(_unpacked, "cid long, band long")
     parts = components(_bucket_edges(bands))
     sizes = parts.groupBy("label").agg(F.count("*").alias("size"))
-    members = parts.join(sizes, "label").select(F.col("node").alias("cid"), "label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    members = parts.join(sizes, "label").select(F.col("node").alias("cid"), "label", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     members = written(members.join(classes.select("cid", "class_id"), "cid"), "join-members")
 
     own = members.select(F.col("class_id").alias("id"), "cid")
@@ -262,13 +300,13 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     texts = cut.join(own, "id").select("text", "cid")
     # a class of null ids alone is found by its text
     texts = texts.unionByName(cut.where("id is null").select("text", F.lit(None).cast("long").alias("cid"))).mapInArrow(_sets, "cid long, sh binary")
-    dealt = texts.dropDuplicates(["cid"]).join(members.select("cid", "label", "blocks"), "cid")
+    dealt = texts.dropDuplicates(["cid"]).join(_units(members, classes), "cid")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("cid", "sh", "label", "block", "blocks", other).select(
-        "cid", "sh", "label", "block", "blocks", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    dealt = dealt.select("cid", "sh", "label", "band", "block", "blocks", other).select(
+        "cid", "sh", "label", "band", "block", "blocks", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
-    found = dealt.groupBy("label", "low", "high").applyInArrow(lambda t: _verified(t), "cid long, links long, root long")
+    found = dealt.groupBy("label", "band", "low", "high").applyInArrow(lambda t: _verified(t), "cid long, links long, root long")
     found = written(found, "join-found")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     groups = components(found.where("root <> cid").select(F.col("cid").alias("u"), F.col("root").alias("v")))

@@ -81,6 +81,25 @@ def test_large_groups_in_blocks(spark, block, monkeypatch):
     assert sorted(r["doc_id"] for r in kept) == sorted({v[3] for v in brute_links(rows).values()})
 
 
+def test_loose_components_by_buckets(spark, monkeypatch):
+    """A chain of texts of which each shares 0.7 with the next, and some near
+    copies on it, is dealt by buckets, with the same links."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = random.Random(3)
+    stream = [f"w{rng.randint(0, 10**7)}" for _ in range(60 + 10 * 300)]
+    chain = [stream[10 * i : 10 * i + 60] for i in range(300)]
+    near = [[*w[:-2], f"x{k}"] for w in chain[::40] for k in range(12)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(chain + near)] + [(1000 + i, t) for i, t in near_copies(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    units = neardup._units
+    monkeypatch.setattr(neardup, "_units", lambda *a: seen.append(units(*a)) or seen[-1])
+    assert linked(df) == brute_links(rows)
+    by = {r["dealt"]: (r["n"], r["rows"]) for r in seen[0].groupBy(F.col("band").isNull().alias("dealt")).agg(F.countDistinct("cid").alias("n"), F.count("*").alias("rows")).collect()}
+    assert by[False][0] > 100 and by[False][1] < 60 * by[False][0]
+    assert by[True][0] >= 40
+
+
 def test_join_of_empty_and_unlinked_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")
     assert neardup.link(df.where("false")).count() == 0
