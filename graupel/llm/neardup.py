@@ -88,7 +88,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-@lru_cache(8)
+@lru_cache(2 * BINS // STEP)
 def least_matches(n: int, tolerance: float = TOLERANCE) -> int:
     """Fewest matches among ``n`` values with which the posterior probability
     of a similarity at the threshold or above isn't below ``tolerance``: it is
