@@ -118,8 +118,15 @@ def _described(batches):
 
 
 def _unpacked(batches):
-    """A row for each band; the bands are the last column, numbers before them are repeated."""
+    """A row for each band of each class, once a task however many copies it
+    holds; the bands are the last column, the numbers before them are repeated."""
+    seen: set[int] = set()
     for batch in slices(batches):
+        cids = batch.column(0).to_pylist()
+        new = [k for k, cid in enumerate(cids) if not (cid in seen or seen.add(cid))]
+        if not new:
+            continue
+        batch = batch.take(pa.array(new))
         keys = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.int64)
         others = [pa.array(np.repeat(c.to_numpy(), BANDS)) for c in batch.columns[:-1]]
         yield pa.RecordBatch.from_arrays([*others, pa.array(keys)], [*batch.schema.names[:-1], "band"])
@@ -257,7 +264,7 @@ def _bucket_edges(bands: DataFrame) -> DataFrame:
     return found.where("band is null").select("u", "v").unionByName(seams.join(least, "band").where("u <> v").select("u", "v"))
 
 
-def _units(members: DataFrame, classes: DataFrame) -> DataFrame:
+def _units(members: DataFrame, rows: DataFrame) -> DataFrame:
     """How members (cid, label, size, blocks) are dealt: (cid, label, band,
     blocks), one row for each component or bucket that a member is compared in;
     band is null for whole components."""
@@ -265,7 +272,10 @@ def _units(members: DataFrame, classes: DataFrame) -> DataFrame:
     large = members.where("blocks > 1").select("cid", "label", "size", "blocks")
     if large.isEmpty():
         return whole
-    held = classes.select(F.col("cid").alias("c"), "bands").join(large, F.col("c") == F.col("cid")).select("cid", "label", "bands")
+    own = large.select("cid", "label")
+    if own.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        own = F.broadcast(own)
+    held = rows.select("cid", "bands").join(own, "cid").select("cid", "label", "bands").dropDuplicates(["cid"])
     held = written(held.mapInArrow(_unpacked, "cid long, label long, band long"), "join-held")
     buckets = held.groupBy("label", "band").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     buckets = written(buckets, "join-buckets")
@@ -285,10 +295,10 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     cut = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = cut.mapInArrow(_described, f"id {kind}, key binary, cid long, n long, bands binary")
     rows = written(rows, "join-rows")
-    classes = rows.groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"), F.first("cid").alias("cid"), F.first("bands").alias("bands"))
+    classes = rows.groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"), F.first("cid").alias("cid"))
     classes = written(classes, "join-classes")
 
-    bands = classes.where("bands is not null").select("cid", "bands").mapInArrow(_unpacked, "cid long, band long")
+    bands = rows.where("bands is not null").select("cid", "bands").mapInArrow(_unpacked, "cid long, band long")
     parts = components(_bucket_edges(bands))
     sizes = parts.groupBy("label").agg(F.count("*").alias("size"))
     members = parts.join(sizes, "label").select(F.col("node").alias("cid"), "label", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -300,7 +310,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     texts = cut.join(own, "id").select("text", "cid")
     # a class of null ids alone is found by its text
     texts = texts.unionByName(cut.where("id is null").select("text", F.lit(None).cast("long").alias("cid"))).mapInArrow(_sets, "cid long, sh binary")
-    dealt = texts.dropDuplicates(["cid"]).join(_units(members, classes), "cid")
+    dealt = texts.dropDuplicates(["cid"]).join(_units(members, rows), "cid")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = dealt.select("cid", "sh", "label", "band", "block", "blocks", other).select(
