@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, fingerprint, html, katz, langid, neardup, oracles, secrets, suffix
+from . import bpe, chat, decontam, divergence, fingerprint, html, katz, langid, neardup, oracles, secrets, suffix, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_byte_bpe": bpe.op9_byte_bpe,
         "op10_suffix_dedup": suffix.op10_suffix_dedup,
+        "op11_toxicity": toxicity.op11_toxicity,
+        "op12_source_divergence": divergence.op12_source_divergence,
     }
 
 

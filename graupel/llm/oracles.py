@@ -1,6 +1,6 @@
 """DuckDB SQL of the corpus queries that SQL can express."""
 
-from . import chat
+from . import chat, divergence
 
 OP4_SQL = r"""
 WITH RECURSIVE c AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x09-\x0D ]+'), lambda x: x <> '') AS w FROM documents),
@@ -39,4 +39,4 @@ FROM (SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n
 FROM n LEFT JOIN t ON t.doc_id = n.doc_id)
 """
 
-ALL = {"op4_jaccard_join": OP4_SQL, "op5_chat_format": chat.OP5_SQL, "op10_suffix_dedup": OP10_SQL}
+ALL = {"op4_jaccard_join": OP4_SQL, "op5_chat_format": chat.OP5_SQL, "op10_suffix_dedup": OP10_SQL, "op12_source_divergence": divergence.OP12_SQL}
