@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, divergence, fingerprint, html, katz, langid, neardup, oracles, secrets, suffix, toxicity
+from . import alignment, bpe, chat, decontam, divergence, fingerprint, html, katz, langid, neardup, oracles, secrets, suffix, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix_dedup": suffix.op10_suffix_dedup,
         "op11_toxicity": toxicity.op11_toxicity,
         "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
     }
 
 

@@ -81,7 +81,7 @@ def features_of(column: pa.Array, feature: np.ndarray) -> tuple[np.ndarray, np.n
     return pair >> 18, pair & (BUCKETS - 1)
 
 
-def fitted(x: np.ndarray, labels: np.ndarray, steps: int = 3000, rate: float = 0.05, decay: float = 1e-3, weight: float = 3.0, factors: int = FACTORS, seed: int = 11) -> tuple[float, np.ndarray, np.ndarray]:
+def fitted(x: np.ndarray, labels: np.ndarray, steps: int = 3000, rate: float = 0.05, decay: float = 3e-3, weight: float = 3.0, factors: int = FACTORS, seed: int = 11) -> tuple[float, np.ndarray, np.ndarray]:
     """(bias, weights, factors) for the 0/1 rows of ``x``: gradient steps of
     clipped length with momentum on the logistic loss, which counts a text of
     label 1 ``weight`` times, with L2 decay."""
@@ -140,11 +140,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return none
     found = found.sort_values("bucket", ignore_index=True)
     ones, every = found["ones"].to_numpy(float), found["all"].to_numpy(float)
-    telling = np.abs(ones / n[1] - (every - ones) / n[0]) / np.sqrt((every + 20) / (n[0] + n[1]))
+    part = (every + 20) / (n[0] + n[1])
+    telling = np.abs(ones / n[1] - (every - ones) / n[0]) / np.sqrt(part * np.maximum(1 - part, 0.1) * (1 / n[1] + 1 / n[0]))
     telling[every < 3] = 0
-    best = np.argsort(-telling, kind="stable")[: features * 9 // 10]
+    best = np.argsort(-telling, kind="stable")[: features * 4 // 5]
+    best = best[(telling[best] >= 3) | (np.arange(len(best)) < 64)]
     rest = np.setdiff1d(np.arange(len(every)), best)
-    rest = rest[np.argsort(-every[rest], kind="stable")][: features - len(best)]
+    rest = rest[np.argsort(-every[rest], kind="stable")][: len(best) // 4]
     bucket = np.sort(found["bucket"].to_numpy()[np.concatenate((best, rest))])
     feature = np.full(BUCKETS, -1, np.int32)
     feature[bucket] = np.arange(len(bucket))
