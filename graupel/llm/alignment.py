@@ -5,14 +5,19 @@ the first splits words there itself, and of the second every piece is looked
 through (``starts``).  A segment's tokens are so the text's own there.  The job:
 
 1. texts are packed; a pack holds its documents as numbers of its distinct
-   segments, and those segments once with their occurrences (``packs``);
-2. the distinct segments of all packs are tokenised and aligned once
-   (``aligned``): byte offsets where tokens of both end cut groups, and each
-   byte range between two ends of either is one link of two tokens;
+   segments, frequent ones first, and those segments once with their
+   occurrences (``packs``);
+2. the distinct segments of all packs are gathered with their places, that is
+   packs and numbers there, and are tokenised and aligned once (``aligned``):
+   byte offsets where tokens of both end cut groups, and each byte range between
+   two ends of either is one link of two tokens;
 3. links of documents that both tokenizers give back byte by byte are counted
    by pair of ids, and each segment gets the sum of its links' counts;
-4. alignments are joined back to the packs' segments, and each pack composes
-   its documents.
+4. alignments go back to the places, those of a task for one pack as one
+   compressed row, and each pack composes its documents.
+
+A segment's places are gathered for 4,096 input partitions at a time, so that
+no row grows with the corpus; beyond these it is aligned once for each.
 
 Cases: a null or empty text, or one whose tokens don't join to its bytes in
 either tokenizer, has no tokens: zeros and an empty digest, and its links count
@@ -28,11 +33,11 @@ import json
 import os
 import re
 import uuid
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,7 +46,11 @@ from .terms import packed
 
 BLANK = "▁"
 #: Bytes of text of a pack.
-PACK = 12 << 20
+PACK = 32 << 20
+#: A place is the input partition, the pack there and the segment's number there, in 21, 13 and 29 bits.
+PACK_BITS, AT_BITS = 13, 29
+#: Places whose alignments are sorted and compressed together in a task.
+POSTED = 300_000
 #: Pairs of ids that are sent to every executor (17 bytes each); more are joined.
 SENT_PAIRS = 4_000_000
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -125,28 +134,49 @@ def segmenter(starts: str):
     return lambda text: cut(text) or [text]
 
 
+def coded(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes; small ones are mostly zeros."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def decoded(said: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(said), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def packs(df: DataFrame, id_col: str, text_col: str, starts: str) -> DataFrame:
-    """Rows of two kinds: (pack, id, codes) for a document, (pack, at, segment,
-    n) for a distinct segment of a pack."""
+    """Rows of two kinds: (pack, id, codes) for a document, (place, segment, n)
+    for a distinct segment of a pack."""
 
     def run(batches):
-        split, k = segmenter(starts), TaskContext.get().partitionId() << 32
+        split, k = segmenter(starts), TaskContext.get().partitionId() << PACK_BITS
+        last = k + (1 << PACK_BITS)
         for piece in packed(batches, 1, PACK):
             numbers: dict[str, int] = {}
-            codes = [np.array([numbers.setdefault(s, len(numbers)) for s in split(" " + t)], np.int32) if t else np.empty(0, np.int32) for t in piece.column(1).to_pylist()]
-            flat = np.concatenate(codes)
-            n, m = len(codes), len(numbers)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, codes)]), pa.int32()), pa.array(flat))
+            found = [np.array([numbers.setdefault(s, len(numbers)) for s in split(" " + t)], np.int64) if t else np.empty(0, np.int64) for t in piece.column(1).to_pylist()]
+            n, m = len(found), len(numbers)
+            if m >> AT_BITS or k == last:
+                raise ValueError("more segments or packs in a task than places can say")
+            counts = np.bincount(np.concatenate(found), minlength=m)
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(m, np.int64)
+            rank[order] = np.arange(m)
+            codes = pa.array([coded(rank[x]) for x in found], pa.binary())
             none = lambda kind, size: pa.nulls(size, kind)
-            names = ["pack", "id", "codes", "at", "segment", "n"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), piece.column(0), lists, none(pa.int32(), n), none(pa.string(), n), none(pa.int64(), n)], names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, k)), none(piece.column(0).type, m), none(lists.type, m), pa.array(np.arange(m, dtype=np.int32)), pa.array([*numbers], pa.string()), pa.array(np.bincount(flat, minlength=m).astype(np.int64))], names
-            )
+            names = ["pack", "id", "codes", "place", "segment", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), piece.column(0), codes, none(pa.int64(), n), none(pa.string(), n), none(pa.int64(), n)], names)
+            words = pa.array([*numbers], pa.string()).take(pa.array(order))
+            yield pa.RecordBatch.from_arrays([none(pa.int64(), m), none(piece.column(0).type, m), none(pa.binary(), m), pa.array((k << AT_BITS) + np.arange(m)), words, pa.array(counts[order].astype(np.int64))], names)
             k += 1
 
     cut = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return cut.mapInArrow(run, f"pack long, id {df.schema[id_col].dataType.simpleString()}, codes array<int>, at int, segment string, n long")
+    return cut.mapInArrow(run, f"pack long, id {df.schema[id_col].dataType.simpleString()}, codes binary, place long, segment string, n long")
+
+
+def gathered(words: DataFrame) -> DataFrame:
+    """(segment, part, n, places): each distinct segment of 4,096 partitions."""
+    part = F.shiftright("place", AT_BITS + PACK_BITS + 12).alias("part")
+    return words.groupBy("segment", part).agg(F.sum("n").alias("n"), F.collect_list("place").alias("places"))
 
 
 def align(pair: Pair, segments: list[str]) -> dict[str, pa.Array]:
@@ -189,27 +219,36 @@ _KINDS = "ok boolean, n_a int, n_b int, n_groups int, n_links int, groups string
 
 
 def aligned(segments: DataFrame, shared: Shared) -> DataFrame:
-    """``segments`` (segment, n), distinct, with their alignments."""
+    """``segments`` (segment, part, n, places) with their alignments."""
 
     def run(batches):
         pair = shared.pair
         for piece in packed(batches, 0, 1 << 18):
             got = align(pair, piece.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *got.values()], ["segment", "n", *got])
+            yield pa.RecordBatch.from_arrays([*piece.columns, *got.values()], [*piece.schema.names, *got])
 
-    return segments.select("segment", "n").mapInArrow(run, f"segment string, n long, {_KINDS}")
+    return segments.select("segment", "part", "n", "places").mapInArrow(run, f"segment string, part long, n long, places array<long>, {_KINDS}")
 
 
-def _only_whole(found: DataFrame, docs: DataFrame, words: DataFrame) -> DataFrame:
+def _only_whole(found: DataFrame, docs: DataFrame) -> DataFrame:
     """``found`` without the occurrences in documents that hold a segment which
     a tokenizer doesn't give back."""
-    bad = found.where("not ok").select("segment")
+    bad = found.where("not ok").select(F.explode("places").alias("place"))
     if bad.isEmpty():
         return found
-    marks = words.join(bad, "segment", "left_semi").groupBy("pack").agg(F.collect_set("at").alias("bad"))
-    lost = docs.join(marks, "pack").where(F.arrays_overlap("codes", "bad")).select("pack", F.explode("codes").alias("at")).groupBy("pack", "at").agg(F.count("*").alias("less"))
-    less = words.join(lost, ["pack", "at"]).groupBy("segment").agg(F.sum("less").alias("less"))
-    return written(found.join(less, "segment", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("less"), "alignment-whole")
+    marks = bad.groupBy(F.shiftright("place", AT_BITS).alias("pack")).agg(F.collect_set(F.col("place").bitwiseAND(F.lit((1 << AT_BITS) - 1))).alias("bad"))
+
+    def lost(batches):
+        for batch in batches:
+            for pack, codes, marked in zip(*(c.to_pylist() for c in batch.columns)):
+                at = decoded(codes)
+                if np.isin(at, marked).any():
+                    at, n = np.unique(at, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array((pack << AT_BITS) + at), pa.array(n.astype(np.int64))], ["place", "less"])
+
+    less = docs.select("pack", "codes").join(marks, "pack").mapInArrow(lost, "place long, less long").groupBy("place").agg(F.sum("less").alias("less"))
+    less = found.select("segment", "part", F.explode("places").alias("place")).join(less, "place").groupBy("segment", "part").agg(F.sum("less").alias("less"))
+    return written(found.join(less, ["segment", "part"], "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("less"), "alignment-whole")
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
@@ -225,8 +264,8 @@ def rated(found: DataFrame, counts: DataFrame, sent_pairs: int = SENT_PAIRS) ->
     number of those that are best for their second id."""
     kept = [c for c in found.columns if c != "links"]
     if counts.count() > sent_pairs:
-        sums = found.select("segment", F.explode("links").alias("link")).join(counts, "link").groupBy("segment").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-        return found.select(*kept).join(sums, "segment", "left").fillna(0, ["n_best", "count_sum"])
+        sums = found.select("segment", "part", F.explode("links").alias("link")).join(counts, "link").groupBy("segment", "part").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+        return found.select(*kept).join(sums, ["segment", "part"], "left").fillna(0, ["n_best", "count_sum"])
     held = counts.orderBy("link").toArrow()
     sent = found.sparkSession.sparkContext.broadcast(tuple(held[c].to_numpy() for c in ("link", "count", "best")))
 
@@ -246,29 +285,70 @@ def rated(found: DataFrame, counts: DataFrame, sent_pairs: int = SENT_PAIRS) ->
     return found.select(*kept, "links").mapInArrow(run, f"{kinds}, n_best long, count_sum long")
 
 
+SUMS = (*COUNTS, "n_best", "count_sum")
+
+
+def posted(found: DataFrame) -> DataFrame:
+    """(pack, size, said): the alignments of segments, dealt to their places;
+    those that a task has for one pack are compressed together."""
+
+    def packets(tables):
+        rows = pa.Table.from_batches(tables).combine_chunks()
+        places = rows["places"].combine_chunks()
+        place = places.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(rows)), np.diff(places.offsets.to_numpy()))
+        order = np.argsort(place)
+        place, owner = place[order], owner[order]
+        numbers = np.stack([rows[c].to_numpy().astype(np.int64) for c in SUMS])
+        ok, groups = rows["ok"].to_numpy().astype(np.uint8), rows["groups"].to_pylist()
+        pack = place >> AT_BITS
+        first = np.flatnonzero(np.concatenate(([True], pack[1:] != pack[:-1]))) if len(pack) else np.empty(0, np.int64)
+        bounds = [*first.tolist(), len(pack)]
+        said = []
+        for x, y in zip(bounds, bounds[1:]):
+            mine = owner[x:y]
+            at = np.diff(place[x:y] & ((1 << AT_BITS) - 1), prepend=0)
+            planes = np.concatenate((at[None], numbers[:, mine])).astype("<i8").tobytes()
+            said.append(zlib.compress(np.frombuffer(planes, np.uint8).reshape(-1, 8).T.tobytes() + ok[mine].tobytes() + "\n".join([groups[i] for i in mine.tolist()]).encode(), 1))
+        return pa.RecordBatch.from_arrays([pa.array(pack[first]), pa.array(np.diff(bounds).astype(np.int64)), pa.array(said, pa.binary())], ["pack", "size", "said"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch.column(0).flatten())
+            if size >= POSTED:
+                yield packets(held)
+                held, size = [], 0
+        if held:
+            yield packets(held)
+
+    return found.select("places", "ok", "groups", *SUMS).mapInArrow(run, "pack long, size long, said binary")
+
+
 def compose(docs: pa.Table, words: pa.Table) -> pa.Table:
     """The documents of one pack from the alignments of its segments."""
-    size = len(words)
-    at = words["at"].to_numpy()
-    numbers = {}
-    for c in (*COUNTS, "n_best", "count_sum"):
-        numbers[c] = np.zeros(size, np.int64)
-        numbers[c][at] = words[c].to_numpy()
-    bad = np.zeros(size, bool)
-    bad[at] = ~words["ok"].to_numpy()
-    said = words["groups"].take(pa.array(np.argsort(at))).to_pylist()
-    codes = docs["codes"].combine_chunks()
-    bounds = codes.offsets.to_numpy() - codes.offsets[0].as_py()
-    flat = codes.flatten().to_numpy()
+    size = sum(words["size"].to_pylist())
+    numbers, bad, said = np.zeros((len(SUMS), size), np.int64), np.zeros(size, bool), [""] * size
+    for n, packet in zip(words["size"].to_pylist(), words["said"].to_pylist()):
+        raw = zlib.decompress(packet)
+        k = 8 * n * (len(SUMS) + 1)
+        planes = np.ascontiguousarray(np.frombuffer(raw, np.uint8, k).reshape(8, -1).T).view("<i8").reshape(-1, n)
+        at = np.cumsum(planes[0])
+        numbers[:, at] = planes[1:]
+        bad[at] = np.frombuffer(raw, np.uint8, n, k) == 0
+        for i, x in zip(at.tolist(), raw[k + n :].decode().split("\n")):
+            said[i] = x
+    codes = [decoded(x) for x in docs["codes"].to_pylist()]
+    bounds = np.cumsum([0, *map(len, codes)])
+    flat = np.concatenate(codes)
     lost = np.concatenate(([0], np.cumsum(bad[flat])))
     whole = (lost[bounds[1:]] == lost[bounds[:-1]]) & (bounds[1:] > bounds[:-1])
     out = {"id": docs["id"]}
-    for c, v in numbers.items():
+    for c, v in zip(SUMS, numbers):
         total = np.concatenate(([0], np.cumsum(v[flat])))
         out[c] = pa.array(np.where(whole, total[bounds[1:]] - total[bounds[:-1]], 0))
-    out["groups_sha256"] = pa.array([
-        hashlib.sha256(";".join(map(said.__getitem__, flat[x:y].tolist())).encode()).hexdigest() if good else "" for good, x, y in zip(whole.tolist(), bounds.tolist(), bounds[1:].tolist())
-    ], pa.string())
+    out["groups_sha256"] = pa.array([hashlib.sha256(";".join(map(said.__getitem__, x.tolist())).encode()).hexdigest() if good else "" for x, good in zip(codes, whole.tolist())], pa.string())
     return pa.table(out)
 
 
@@ -281,14 +361,13 @@ def align_documents(df: DataFrame, byte_level: str, pieces: str, id_col: str = "
         files = f.read(), g.read()
     shared = Shared(df.sparkSession.sparkContext.broadcast(files))
     rows = written(packs(df, id_col, text_col, shared.pair.starts), "alignment-packs")
-    docs = rows.where("segment is null").select("pack", "id", "codes")
-    words = rows.where("segment is not null").select("pack", "at", "segment", "n")
-    found = written(aligned(words.groupBy("segment").agg(F.sum("n").alias("n")), shared), "alignment-segments")
-    counts = written(pair_counts(_only_whole(found, docs, words)), "alignment-counts")
-    joined = words.select("pack", "at", "segment").join(rated(found.drop("n"), counts, sent_pairs), "segment").drop("segment")
+    docs = rows.where("pack is not null").select("pack", "id", "codes")
+    words = rows.where("place is not null").select("place", "segment", "n")
+    found = written(aligned(gathered(words), shared), "alignment-segments")
+    counts = written(pair_counts(_only_whole(found, docs)), "alignment-counts")
     kind = df.schema[id_col].dataType.simpleString()
-    sums = ", ".join(f"{c} long" for c in (*COUNTS, "n_best", "count_sum"))
-    out = docs.toDF(*docs.columns).groupBy("pack").cogroup(joined.groupBy("pack")).applyInArrow(compose, f"id {kind}, {sums}, groups_sha256 string")
+    sums = ", ".join(f"{c} long" for c in SUMS)
+    out = docs.groupBy("pack").cogroup(posted(rated(found.drop("n"), counts, sent_pairs)).groupBy("pack")).applyInArrow(compose, f"id {kind}, {sums}, groups_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
 
