@@ -46,11 +46,11 @@ from .terms import packed
 
 BLANK = "▁"
 #: Bytes of text of a pack.
-PACK = 32 << 20
+PACK = 18 << 20
 #: A place is the input partition, the pack there and the segment's number there, in 21, 13 and 29 bits.
 PACK_BITS, AT_BITS = 13, 29
 #: Places whose alignments are sorted and compressed together in a task.
-POSTED = 300_000
+POSTED = 150_000
 #: Pairs of ids that are sent to every executor (17 bytes each); more are joined.
 SENT_PAIRS = 4_000_000
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -153,7 +153,7 @@ def packs(df: DataFrame, id_col: str, text_col: str, starts: str) -> DataFrame:
         last = k + (1 << PACK_BITS)
         for piece in packed(batches, 1, PACK):
             numbers: dict[str, int] = {}
-            found = [np.array([numbers.setdefault(s, len(numbers)) for s in split(" " + t)], np.int64) if t else np.empty(0, np.int64) for t in piece.column(1).to_pylist()]
+            found = [np.array([numbers.setdefault(s, len(numbers)) for s in split(" " + t)], np.int32) if t else np.empty(0, np.int32) for t in piece.column(1).to_pylist()]
             n, m = len(found), len(numbers)
             if m >> AT_BITS or k == last:
                 raise ValueError("more segments or packs in a task than places can say")
