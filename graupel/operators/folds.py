@@ -165,15 +165,26 @@ def plain_key(text: Column) -> Column:
     return F.lower(t.squeezed(t.narrow(text)))
 
 
-def reading_order(items):
+def reading_order(items: Column) -> Column:
     """An array of struct<text, x, y, w, h> from top to bottom, lines (middles
-    within 0.025) from left to right."""
+    within 0.025) from left to right.
+
+    Being within 0.025 isn't transitive, so boxes that drift have no one order
+    by it, and a sort may refuse the comparison.  Here each item goes, in the
+    array's order, behind the last one that it isn't before: the order of an
+    insertion sort, which is defined for any comparison and is the sorted one
+    wherever there is one.  It compares each two items at most once."""
     middle = lambda r: r["y"] + r["h"] / 2
-    return F.array_sort(
-        items,
-        lambda a, b: F.when(F.abs(middle(a) - middle(b)) > 0.025, F.when(middle(a) > middle(b), -1).otherwise(1))
-        .when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(0),
-    )
+
+    def before(a: Column, b: Column) -> Column:
+        return F.when(F.abs(middle(a) - middle(b)) > 0.025, middle(a) > middle(b)).otherwise(a["x"] < b["x"])
+
+    def placed(done: Column, item: Column) -> Column:
+        back = F.array_position(F.reverse(F.transform(done, lambda other: F.coalesce(before(item, other), F.lit(False)))), False)
+        rest = F.when(back == 0, F.size(done)).otherwise((back - 1).cast("int"))
+        return F.concat(F.slice(done, 1, F.size(done) - rest), F.array(item), F.slice(done, F.size(done) - rest + 1, rest))
+
+    return F.aggregate(items, F.slice(items, 1, 0), placed)
 
 
 def combined_text(items):

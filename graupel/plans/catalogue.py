@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import geometry as g, scores as s, text as t
+from ..functions import geometry as g, rules as r, scores as s, text as t
 from ..operators import folds, gate, grids, keys, passes
 from ..sources import lexicon, logs, store
 
@@ -105,6 +105,35 @@ def json_props(spark, sf):
     return _table(spark, sf, "events").select("event_id", F.from_json("props", "k long", {"mode": "FAILFAST"})["k"].alias("k"))
 
 
+@query("""
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i FROM lineitem),
+s AS (SELECT l_orderkey, i, concat_ws('; ', CASE WHEN l_partkey % 23 = 0 THEN 'lines.' || i || '.quantity: range' END,
+  CASE WHEN l_linenumber = 6 AND l_orderkey % 3 = 0 THEN 'lines.' || i || '.part: null' WHEN l_suppkey % 29 = 0 THEN 'lines.' || i || '.part.url: url' END) AS said FROM l),
+a AS (SELECT l_orderkey, string_agg(said, '; ' ORDER BY i) FILTER (WHERE said <> '') AS said FROM s GROUP BY l_orderkey)
+SELECT o_orderkey, concat_ws('; ', CASE WHEN o_orderkey % 13 = 0 THEN 'id: range' END, CASE WHEN o_orderkey % 11 = 0 THEN 'name: blank' END, CASE WHEN o_orderkey % 17 = 0 THEN 'link: url' END,
+  CASE WHEN o_orderkey % 38 = 0 THEN 'urgent: missing' WHEN o_orderkey % 19 = 0 THEN 'urgent: null' END, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0 THEN 'customer.name: type' END, said) AS issues
+FROM orders JOIN a ON l_orderkey = o_orderkey
+""")
+def json_violations(spark, sf):
+    """Orders with their lines as nested JSON, some of it bad: all issues of each."""
+    part = "if(l_linenumber = 6 and l_orderkey % 3 = 0, null, struct(concat('p', l_partkey) as name, if(l_suppkey % 29 = 0, 'p', concat('https://shop.test/part/', l_partkey)) as url))"
+    lines = _table(spark, sf, "lineitem", "l_orderkey", f"struct(l_linenumber, l_partkey, l_suppkey, l_quantity, if(l_partkey % 23 = 0, -1, cast(l_quantity as long)) as quantity, {part} as part) as line")
+    lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    k = F.col("o_orderkey")
+    customer = F.when(k % 5 != 0, F.struct(F.col("o_custkey").cast("string").alias("name"), F.concat(F.lit("https://shop.test/customer/"), "o_custkey").alias("url")))
+    row = F.struct(
+        F.when(k % 13 == 0, -k).otherwise(k).alias("id"), F.when(k % 11 == 0, " \u00a0").otherwise(F.col("o_orderstatus")).alias("name"), F.when(k % 17 == 0, "nowhere").otherwise(F.concat(F.lit("https://shop.test/order/"), k)).alias("link"),
+        F.when(k % 19 != 0, F.col("o_orderstatus") == "O").alias("urgent"), customer.alias("customer"), "lines",
+    )
+    body = F.to_json(row, {"ignoreNullFields": "false"})
+    body = F.when(k % 38 == 0, F.replace(body, F.lit('"urgent":null,'), F.lit(""))).otherwise(body)
+    body = F.when(k % 7 == 0, F.regexp_replace(body, r'"customer":\{"name":"(\d+)"', r'"customer":{"name":$1')).otherwise(body)
+    thing = r.Record(name=r.Text(), url=r.Text(url=True))
+    rule = r.Record(id=r.Whole(1), name=r.Text(), link=r.Text(url=True), urgent=r.Flag(), customer=r.Nullable(thing), lines=r.Each(r.Record(quantity=r.Whole(0), part=thing)))
+    bodies = _table(spark, sf, "orders").join(lines, k == F.col("l_orderkey")).select(k, body.alias("body"))
+    return bodies.select("o_orderkey", r.listed(r.violations(F.col("body"), rule)).alias("issues"))
+
+
 @query("""
 WITH o AS (SELECT user_id, max(ts) AS last FROM events WHERE ts < TIMESTAMP '2024-01-28 00:00:00' GROUP BY user_id),
 n AS (SELECT user_id, max(ts) AS last FROM events WHERE ts >= TIMESTAMP '2024-01-28 00:00:00' GROUP BY user_id)
@@ -330,6 +359,22 @@ def reading_order(spark, sf):
     return rows.groupBy("l_orderkey").agg(folds.combined_text(F.collect_list("item")).alias("text"), F.count("*").alias("n"))
 
 
+@query("""
+WITH RECURSIVE r AS (SELECT l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS n,
+  {'said': l_orderkey || '-' || l_linenumber, 'x': (l_suppkey % 7) / 10.0::DOUBLE, 'm': (l_orderkey % 40) / 800.0::DOUBLE + 0.05::DOUBLE / 2} AS item FROM lineitem),
+d AS (SELECT l_partkey, 1::BIGINT AS n, [item] AS done FROM r WHERE n = 1 UNION ALL
+  SELECT l_partkey, n, done[:len(done) - rest] || [item] || done[len(done) - rest + 1:] FROM (SELECT d.l_partkey, r.n, r.item, d.done,
+    coalesce(nullif(list_position(list_reverse(list_transform(d.done, lambda o: CASE WHEN abs(r.item.m - o.m) > 0.025::DOUBLE THEN r.item.m > o.m ELSE r.item.x < o.x END)), false), 0), len(d.done) + 1) - 1 AS rest
+    FROM d JOIN r ON r.l_partkey = d.l_partkey AND r.n = d.n + 1))
+SELECT l_partkey, n, array_to_string(list_transform(done, lambda o: o.said), chr(10)) AS text FROM d QUALIFY n = max(n) OVER (PARTITION BY l_partkey)
+""")
+def reading_order_drift(spark, sf):
+    """Boxes whose middles drift, so that no order suits all comparisons."""
+    rows = _table(spark, sf, "lineitem", "l_partkey", "struct(l_orderkey, l_linenumber, l_suppkey, concat(l_orderkey, '-', l_linenumber) as text, (l_suppkey % 7) / 10.0D as x, (l_orderkey % 40) / 800.0D as y, 0.1D as w, 0.05D as h) as item")
+    items = rows.groupBy("l_partkey").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return items.select("l_partkey", F.size("items").cast("long").alias("n"), folds.combined_text(F.col("items")).alias("text"))
+
+
 @query("""
 WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag AS text_key, l_discount AS c, (l_partkey % 5) / 10.0::DOUBLE AS x, (l_suppkey % 4) / 10.0::DOUBLE AS y,
   [l_linestatus, 'P' || l_partkey % 3, 'p' || l_suppkey % 3] AS said FROM lineitem),

@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.rules import Each, Flag, Nullable, Record, Text, Whole, checked
 from ..functions.text import id_in_url, stripped
 
 PAGE_SIZE = 20
@@ -25,6 +26,9 @@ DETAIL = (
     f"{{numbers}} array<struct<entry_number: int, {{index}}: {_RESOURCE}>>"
 )
 
+RESOURCE = Record(name=Text(), url=Text(url=True))
+PAGE_RULE = Record(count=Whole(0), next=Nullable(Text(url=True)), previous=Nullable(Text(url=True)), results=Each(RESOURCE))
+
 
 def fetched(url: str, fetch: Fetch) -> str:
     status, body = fetch(url)
@@ -62,7 +66,7 @@ def page_row(ordinal: int, body: str) -> tuple:
 def summaries(pages: DataFrame) -> DataFrame:
     """Pages (ordinal, body) as (ordinal, place, id, name); a bad body or an
     entry without an id is an error."""
-    page = F.from_json("body", PAGE, {"mode": "FAILFAST"})
+    page = checked(F.col("body"), PAGE_RULE, f"struct<{PAGE}>", "bad page")
     rows = pages.select("ordinal", F.posexplode(page["results"]).alias("place", "entry"))
     return rows.select("ordinal", "place", id_in_url(F.col("entry.url")).alias("id"), stripped(F.col("entry.name")).alias("name"))
 
@@ -85,25 +89,26 @@ def details(ids: DataFrame, base: str, fetch: Fetch, parts: int = 8) -> DataFram
     return ids.select(F.col("id").cast("long")).repartition(parts, "id").mapInPandas(run, "id long, body string").orderBy("id")
 
 
-def _text(value, what: str):
-    """Without white space at the ends; an error where empty or missing."""
-    plain = stripped(value)
-    return F.when(F.length(plain) > 0, plain).otherwise(F.raise_error(F.lit(f"{what} must not be empty")))
+def detail_rule(numbers: str = "index_numbers", index: str = "index") -> Record:
+    """What a detail body must hold; ``numbers`` and ``index`` are the feed's
+    names of the third array and its key."""
+    return Record(
+        id=Whole(1), name=Text(), evolution_chain=Record(url=Text(url=True)), color=RESOURCE, evolves_from_species=Nullable(RESOURCE), generation=RESOURCE, habitat=Nullable(RESOURCE),
+        is_baby=Flag(), is_legendary=Flag(), is_mythical=Flag(), names=Each(Record(name=Text(), language=RESOURCE)), genera=Each(Record(genus=Text(), language=RESOURCE)),
+        **{numbers: Each(Record(entry_number=Whole(0), **{index: RESOURCE}))},
+    )
 
 
 def normalised(bodies: DataFrame, numbers: str = "index_numbers", index: str = "index") -> DataFrame:
-    """Detail bodies (JSON) as flat species rows with three arrays of structs;
-    ``numbers`` and ``index`` are the feed's names of the third array and its key.
-    Unknown keys are dropped; any violation of the schema is an error."""
-    d = F.from_json("body", DETAIL.format(numbers=numbers, index=index), {"mode": "FAILFAST"})
+    """Detail bodies (JSON) as flat species rows with three arrays of structs.
+    Unknown keys are dropped; a body that breaks ``detail_rule`` is an error
+    that names all its issues."""
+    d = checked(F.col("body"), detail_rule(numbers, index), f"struct<{DETAIL.format(numbers=numbers, index=index)}>", "bad detail")
     rows = bodies.select(d.alias("d"))
     named = lambda r: stripped(r["name"])
     return rows.select(
-        F.when(F.col("d.id") > 0, F.col("d.id")).otherwise(F.raise_error(F.lit("id must be positive"))).alias("id"),
-        _text(F.col("d.name"), "name").alias("name"), _text(F.col("d.color.name"), "color").alias("color_name"),
-        stripped(F.col("d.evolves_from_species.name")).alias("evolves_from_species_name"), _text(F.col("d.generation.name"), "generation").alias("generation_name"),
-        stripped(F.col("d.habitat.name")).alias("habitat_name"), "d.is_baby", "d.is_legendary", "d.is_mythical",
-        F.transform("d.names", lambda x: F.struct(named(x["language"]).alias("language_name"), stripped(x["name"]).alias("name"))).alias("names"),
+        "d.id", named(F.col("d")).alias("name"), *(named(F.col(f"d.{c}")).alias(f"{c}_name") for c in ("color", "evolves_from_species", "generation", "habitat")), "d.is_baby", "d.is_legendary", "d.is_mythical",
+        F.transform("d.names", lambda x: F.struct(named(x["language"]).alias("language_name"), named(x).alias("name"))).alias("names"),
         F.transform("d.genera", lambda x: F.struct(named(x["language"]).alias("language_name"), stripped(x["genus"]).alias("genus"))).alias("genera"),
         F.transform(f"d.{numbers}", lambda x: F.struct(named(x[index]).alias("index_name"), x["entry_number"].alias("entry_number"))).alias("index_numbers"),
     )

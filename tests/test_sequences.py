@@ -1,6 +1,7 @@
 """Gate, throttle, refocus, ordered dedup, grids: batch and stream."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -152,3 +153,24 @@ def test_place_follows_the_key_over_all_texts(spark):
     rows = [(0, "b"), (1, "a"), (2, "b"), (3, "c")]
     df = spark.createDataFrame([("k", i, t, 0.5, 0.1, 0.1, 0.2, 0.2) for i, t in rows], "k string, i int, text_key string, confidence double, x double, y double, w double, h double")
     assert [(r["text_key"], r["merged"]) for r in folds.deduplicated(df, ["k"], ["i"]).orderBy("place").collect()] == [("b", 2), ("a", 1), ("c", 1)]
+
+
+def test_reading_order_of_boxes_without_one(spark):
+    """Middles that drift by less than a line: as an insertion sort, and no error."""
+    rng = random.Random(8)
+    keys = [(k, [(f"{i}", rng.random(), rng.random() / (1 + k % 9), 0.1, rng.random() / 20) for i in range(rng.randrange(200 if k % 10 else 3))]) for k in range(400)]
+
+    def before(a, b):
+        p, q = a[2] + a[4] / 2, b[2] + b[4] / 2
+        return p > q if abs(p - q) > 0.025 else a[1] < b[1]
+
+    df = spark.createDataFrame(keys, "k long, items array<struct<text: string, x: double, y: double, w: double, h: double>>").repartition(8)
+    got = {r["k"]: r["t"] for r in df.select("k", folds.combined_text(F.col("items")).alias("t")).collect()}
+    for k, items in keys:
+        done = []
+        for item in items:
+            at = len(done)
+            while at and before(item, done[at - 1]):
+                at -= 1
+            done.insert(at, item)
+        assert got[k] == "\n".join(x[0] for x in done)

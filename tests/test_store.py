@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 import sys
 import tempfile
 from datetime import datetime, timedelta
@@ -10,6 +11,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from graupel.functions import rules
 from graupel.sources import catalogue_feed as feed, lexicon, logs, store
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors can't import tests
@@ -24,7 +26,7 @@ def resource(kind, name):
 
 def detail(i):
     return {
-        "id": i, "name": f"s-{i}", "evolution_chain": {"url": "x"}, "color": resource("color", "red"), "evolves_from_species": None if i == 1 else resource("species", f"s-{i - 1}"),
+        "id": i, "name": f"s-{i}", "evolution_chain": {"url": "https://feed.test/chain/1/"}, "color": resource("color", "red"), "evolves_from_species": None if i == 1 else resource("species", f"s-{i - 1}"),
         "generation": resource("generation", "g-1"), "habitat": None if i % 2 == 0 else resource("habitat", "grassland"), "is_baby": False, "is_legendary": False, "is_mythical": False,
         "names": [{"name": f"S{i}", "language": resource("language", "en")}], "genera": [{"genus": "Seed", "language": resource("language", "en")}],
         "index_numbers": [{"entry_number": i, "index": resource("index", "national")}],
@@ -153,6 +155,44 @@ def test_blank_names_are_errors(spark, blank):
         feed.normalised(body).collect()
 
 
+BAD = [
+    ({"names": [{"name": " ", "language": resource("language", "en")}]}, "names.0.name: blank"),
+    ({"index_numbers": [{"entry_number": -1, "index": resource("index", "x")}]}, "index_numbers.0.entry_number: range"),
+    ({"is_baby": None}, "is_baby: null"),
+    ({"color": {"name": "red", "url": "nowhere"}}, "color.url: url"),
+    ({"habitat": {"name": "\u3000", "url": "https://x.test/"}}, "habitat.name: blank"),
+    ({"genera": [{"genus": "a", "language": resource("l", "en")}, {"genus": "a", "language": None}]}, "genera.1.language: null"),
+    ({"names": None}, "names: null"),
+    ({"id": 0}, "id: range"), ({"id": 1.5}, "id: type"), ({"id": "1"}, "id: type"), ({"is_mythical": 1}, "is_mythical: type"), ({"names": {}}, "names: type"),
+    ({"generation": "g", "name": 7}, "name: type; generation: type"), ({"evolution_chain": {"url": "https://"}}, "evolution_chain.url: url"), ({"names": [None, 3]}, "names.0: null; names.1: type"),
+]
+
+
+@pytest.mark.parametrize("change, said", BAD)
+def test_bad_details_name_their_issues(spark, change, said):
+    body = spark.createDataFrame([(json.dumps(detail(1) | change),)], "body string")
+    assert body.select(rules.listed(rules.violations(F.col("body"), feed.detail_rule())).alias("x")).first()["x"] == said
+    with pytest.raises(Exception, match=re.escape(said)):
+        feed.normalised(body).select("id").collect()
+
+
+def test_good_details_have_no_issues(spark):
+    kept = {**detail(1), "more": {"x": [1]}, "id": 3.0, "habitat": None, "names": [], "color": {"name": " red ", "url": "HTTPS://u:p@x.test:80/a?b#c", "other": 1}}
+    bodies = spark.createDataFrame([(json.dumps(kept),), (json.dumps(detail(2) | {"evolution_chain": {"url": "urn:x:1"}}),)], "body string")
+    rows = feed.normalised(bodies).orderBy("id").collect()
+    assert [r["id"] for r in rows] == [2, 3] and rows[1]["color_name"] == "red" and rows[1]["habitat_name"] is None and rows[1]["names"] == []
+    lacking = {k: v for k, v in detail(1).items() if k not in ("is_baby", "habitat")}
+    texts = spark.createDataFrame([(json.dumps(lacking),), ("{",), (None,), ("[]",), ("null",)], "body string")
+    assert [r["x"] for r in texts.select(rules.listed(rules.violations(F.col("body"), feed.detail_rule())).alias("x")).collect()] == ["habitat: missing; is_baby: missing", "<root>: json", "<root>: json", "<root>: type", "<root>: null"]
+
+
+@pytest.mark.parametrize("change", [{"count": -1}, {"next": "x"}, {"results": None}, {"results": [{"name": "", "url": f"{BASE}/1/"}]}, {"previous": 3}])
+def test_bad_pages_are_errors(spark, change):
+    body = json.dumps({"count": 1, "next": None, "previous": None, "results": [{"name": "a", "url": f"{BASE}/1/"}]} | change)
+    with pytest.raises(Exception, match="bad page"):
+        feed.summaries(feed.from_bodies(spark, [body])).collect()
+
+
 def test_listing_goes_on_behind_the_announced_count(spark, shop):
     f = Feed(45, listed=[*range(1, 21)] * 2 + [*range(21, 46)])
     assert store.sync(shop, BASE, f, NOW) == 45 and f.pages == 4
