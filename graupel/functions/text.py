@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Script ranges, suffixes, junk fragments, language order.
 SCRIPTS = r"\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FFF}"
@@ -50,6 +53,16 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def nfkc_each(lists: pa.Array) -> pa.Array:
+    """Compatibility forms of the texts in each array, on the flat values."""
+    flat = lists.flatten().dictionary_encode()
+    plain = pa.array([unicodedata.normalize("NFKC", x) for x in flat.dictionary.to_pylist()], pa.string())
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, plain.take(flat.indices), mask=lists.is_null())
+
+
 def observation_key(text: Column) -> Column:
     """Compatibility form, single spaces, lower case."""
     return F.lower(squeezed(nfkc(text)))

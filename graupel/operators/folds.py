@@ -144,25 +144,24 @@ def deduplicated(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
         # who takes the slot over puts the own candidates before the rest, others behind
         turn = F.when(F.col("replaces"), -F.col("__nth")).otherwise(F.col("__nth"))
         every = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(turn.alias("turn"), "candidates")).over(w)), lambda x: x["candidates"]))
-        found = found.withColumn("candidates", F.when(F.col("merged") == 1, F.col("candidates")).otherwise(unique_candidates(every)))
+        found = found.withColumn("__every", every).where("__best = 1")
+        found = found.withColumn("candidates", F.when(F.col("merged") == 1, F.col("candidates")).otherwise(unique_candidates(F.col("__every"))))
     place = F.row_number().over(Window.partitionBy(*key).orderBy("__begun", "text_key")) - 1
     return found.where("__best = 1").withColumn("place", place).select(*df.columns, "place", "merged")
 
 
 def unique_candidates(candidates: Column) -> Column:
     """Candidates (array<struct<text, confidence>>) with each text once by its
-    normal form, the first of equals, in order."""
-    keyed = F.transform(candidates, lambda c: F.struct(plain_key(c["text"]).alias("key"), c.alias("c")))
-    keys = F.transform(keyed, lambda x: x["key"])
-    first = F.filter(F.transform(keyed, lambda x, i: F.struct(x["c"].alias("c"), (F.array_position(keys, x["key"]) == i + 1).alias("new"))), lambda x: x["new"])
-    return F.transform(first, lambda x: x["c"])
-
-
-def plain_key(text: Column) -> Column:
-    """The normal form of a candidate inside an array, where the Arrow function
-    for compatibility forms can't be called: full-width forms, single spaces,
-    lower case."""
-    return F.lower(t.squeezed(t.narrow(text)))
+    normal form (``text.observation_key``), the first of equals, in order.
+    Compatibility forms of all texts of a batch are made at once."""
+    keys = F.transform(t.nfkc_each(F.transform(candidates, lambda c: c["text"])), lambda k: F.lower(t.squeezed(k)))
+    both = F.struct(keys.alias("keys"), candidates.alias("c"))  # one value, as a lambda can't hold a Python function
+
+    def first_of_each(v: Column) -> Column:
+        zipped = F.arrays_zip(v["keys"].alias("key"), v["c"].alias("c"))
+        return F.transform(F.filter(zipped, lambda x, i: F.array_position(v["keys"], F.coalesce(x["key"], F.lit(""))) == i + 1), lambda x: x["c"])
+
+    return t.bound(both, first_of_each)
 
 
 def reading_order(items: Column) -> Column:

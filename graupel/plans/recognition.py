@@ -133,6 +133,21 @@ def pixel_masks(spark, sf):
 # ---- candidates of several passes ---------------------------------------------------
 
 
+@query("""
+WITH l AS (SELECT l_orderkey, l_partkey % 4 AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n,
+  ['カ', 'ｶ', ' カ'][1 + l_suppkey % 3] || [['1', '①', '１'], ['ａ', 'A', 'a'], ['ﬁ', 'fi', 'FI'], ['㍍', 'メートル', 'ﾒｰﾄﾙ']][1 + l_partkey % 4][1 + l_linenumber % 3] AS said FROM lineitem),
+f AS (SELECT l_orderkey, k, min(n) AS n, arg_min(said, n) AS said FROM l GROUP BY l_orderkey, k)
+SELECT l_orderkey, count(*) AS kept, string_agg(said, '|' ORDER BY n) AS texts FROM f GROUP BY l_orderkey
+""")
+def candidate_forms(spark, sf):
+    """Candidates that differ in compatibility forms, once each."""
+    forms = "array(array('1', '①', '１'), array('ａ', 'A', 'a'), array('ﬁ', 'fi', 'FI'), array('㍍', 'メートル', 'ﾒｰﾄﾙ'))[l_partkey % 4][l_linenumber % 3]"
+    rows = _table(spark, sf, "lineitem", "l_orderkey", f"struct(l_linenumber, l_partkey, l_suppkey, concat(array('カ', 'ｶ', ' カ')[l_suppkey % 3], {forms}) as text) as c")
+    listed = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: F.struct(c["text"].alias("text"), F.lit(1.0).alias("confidence"))).alias("candidates"))
+    kept = listed.select("l_orderkey", folds.unique_candidates(F.col("candidates")).alias("c"))
+    return kept.select("l_orderkey", F.size("c").cast("long").alias("kept"), F.array_join(F.transform("c", lambda c: c["text"]), "|").alias("texts"))
+
+
 @query("""
 WITH d AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 c AS (SELECT conv_id AS id, list(text ORDER BY turn, text) AS l FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
