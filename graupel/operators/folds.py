@@ -92,8 +92,21 @@ def free_step(state: tuple, t: float, until: float) -> tuple[tuple, tuple]:
 REFOCUS_COLUMNS = {"t": "t", "px": "px", "py": "py", "reason": "reason"}
 
 
-def throttle(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """``df`` (with t in seconds) and whether each row is accepted."""
+def resettable(step: Callable, start: tuple, width: int) -> Callable:
+    """A step that takes one value more, first: a true one is no row of its own
+    but puts the state back to ``start``, and has null results."""
+
+    def run(state: tuple, again: bool | None, *values) -> tuple[tuple, tuple]:
+        return (start, (None,) * width) if again else step(state, *values)
+
+    return run
+
+
+def throttle(df: DataFrame, key: list[str], order: list[str], reset: str | None = None) -> DataFrame:
+    """``df`` (with t in seconds) and whether each row is accepted; a row whose
+    ``reset`` column is true begins anew."""
+    if reset:
+        return scan(df, key, order, resettable(throttle_step, (None,), 1), (None,), {"reset": reset, "t": "t"}, "accepted boolean")
     return scan(df, key, order, throttle_step, (None,), {"t": "t"}, "accepted boolean")
 
 

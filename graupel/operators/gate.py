@@ -46,12 +46,16 @@ def decisions(frames: DataFrame, session: str = "session_id", seq: str = "seq")
 
 
 def best_frames(gated: DataFrame, session: str = "session_id", seq: str = "seq", score: str = "score") -> DataFrame:
-    """For each capture the best of the last RING sharp frames of its run: the
-    highest score, the earliest of equals."""
-    sharp = gated.where("box is not null and is_sharp")
-    w = Window.partitionBy(session, "run").orderBy(seq).rowsBetween(1 - RING, 0)
-    best = F.max(F.struct(F.col(score).alias("score"), (-F.col(seq)).alias("back"))).over(w)
-    picked = sharp.withColumn("__best", best).where("should_capture")
+    """For each capture the best of the last RING sharp frames of its run up to
+    it: the highest score, the earliest of equals.  A frame of unknown sharpness
+    may fire but isn't remembered; a capture without a sharp frame gives no row."""
+    sharp = F.col("box").isNotNull() & F.coalesce(F.col("is_sharp"), F.lit(False))
+    rows = gated.withColumn("__sharp", sharp)
+    recent = Window.partitionBy(session, "run", "__sharp").orderBy(seq).rowsBetween(1 - RING, 0)
+    best = F.max(F.struct(F.col(score).alias("score"), (-F.col(seq)).alias("back"))).over(recent)
+    rows = rows.withColumn("__best", F.when(F.col("__sharp"), best))
+    so_far = Window.partitionBy(session, "run").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    picked = rows.withColumn("__best", F.last("__best", ignorenulls=True).over(so_far)).where("should_capture and __best is not null")
     return picked.select(session, F.col(seq).alias("capture_seq"), (-F.col("__best.back")).alias("best_seq"), F.col("__best.score").alias("best_score"))
 
 

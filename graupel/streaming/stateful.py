@@ -1,7 +1,11 @@
 """The ordered folds and the capture gate as Structured Streaming operators.
 
-State is kept per key between micro-batches (RocksDB where the session says so);
-rows of a micro-batch are put in the order of ``seq``.  With the same rows in
+State is kept per key between micro-batches, in the session's RocksDB store, which
+``spark.sql.streaming.stateStore.providerClass`` must name; rows of a micro-batch
+are put in the order of ``seq``.  The folds' state ends after a time of silence,
+by the clock; as such operators make Spark run batches without data on and on, a
+query that is to end (``availableNow``) needs
+``spark.sql.streaming.noDataMicroBatches.enabled=false``.  With the same rows in
 the same order the results are those of the batch operators.
 """
 
@@ -14,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.folds import REFOCUS_COLUMNS, refocus_step, throttle_step
+from ..operators.folds import REFOCUS_COLUMNS, free_step, refocus_step, resettable, throttle_step
 from ..operators.gate import FOCUSED, RING, STABLE
 
 
@@ -23,30 +27,55 @@ def frames(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)
 
 
-def _stateful(stream: DataFrame, key: list[str], seq: str, step, start: tuple, take: dict[str, str], into: str, state: str) -> DataFrame:
-    names = [part.split()[0] for part in into.split(", ")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + ", " + into
+class Fold(StatefulProcessor):
+    """A step of ``operators.folds`` over the rows of a key: each micro-batch's
+    rows in the order of ``seq``, the state kept between them.  A key that is
+    silent for ``idle`` seconds loses its state and begins anew."""
+
+    def __init__(self, step, start: tuple, take: list[str], names: list[str], state: str, seq: str, idle: float):
+        self.step, self.start, self.take, self.names, self.state, self.seq, self.idle = step, start, take, names, state, seq, idle
+
+    def init(self, handle) -> None:
+        self.kept = handle.getValueState("kept", self.state, int(self.idle * 1000))
 
-    def run(_, batches, kept):
-        now = tuple(kept.get) if kept.exists else start
+    def handleInputRows(self, key, rows, timer_values):
+        now = tuple(self.kept.get()) if self.kept.exists() else self.start
         now = tuple(None if isinstance(v, float) and v != v else v for v in now)
-        rows = pd.concat([*batches]).sort_values(seq, kind="stable")
+        batch = pd.concat([*rows]).sort_values(self.seq, kind="stable")
         out = []
-        for values in zip(*(rows[c].tolist() for c in take.values())):
-            now, results = step(now, *values)
+        for values in zip(*(batch[c].tolist() for c in self.take)):
+            now, results = self.step(now, *values)
             out.append(results)
-        kept.update(now)
-        yield rows.assign(**{n: [v[i] for v in out] for i, n in enumerate(names)})
+        self.kept.update(now)
+        yield batch.assign(**{n: pd.Series([v[i] for v in out], batch.index, object) for i, n in enumerate(self.names)})
+
+    def close(self) -> None:
+        pass
+
+
+#: Seconds after which a silent key's state ends.
+IDLE = 3600.0
+
+
+def _folded(stream: DataFrame, key: list[str], seq: str, step, start: tuple, take: list[str], into: str, state: str, idle: float) -> DataFrame:
+    names = [part.split()[0] for part in into.split(", ")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + ", " + into
+    return stream.groupBy(*key).transformWithStateInPandas(Fold(step, start, take, names, state, seq, idle), schema, "Append", "ProcessingTime")
+
 
-    return stream.groupBy(*key).applyInPandasWithState(run, schema, state, "append", "NoTimeout")
+def throttle(stream: DataFrame, key: list[str], seq: str = "seq", reset: str | None = None, idle: float = IDLE) -> DataFrame:
+    step = resettable(throttle_step, (None,), 1) if reset else throttle_step
+    return _folded(stream, key, seq, step, (None,), [reset, "t"] if reset else ["t"], "accepted boolean", "last double", idle)
 
 
-def throttle(stream: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
-    return _stateful(stream, key, seq, throttle_step, (None,), {"t": "t"}, "accepted boolean", "last double")
+def refocus(stream: DataFrame, key: list[str], seq: str = "seq", idle: float = IDLE) -> DataFrame:
+    return _folded(stream, key, seq, refocus_step, (None, None, None, 0), [*REFOCUS_COLUMNS.values()], "requested boolean, settling boolean", "at double, x double, y double, blurry long", idle)
 
 
-def refocus(stream: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
-    return _stateful(stream, key, seq, refocus_step, (None, None, None, 0), REFOCUS_COLUMNS, "requested boolean, settling boolean", "at double, x double, y double, blurry long")
+def on_time(stream: DataFrame, key: list[str], seq: str = "seq", arrived: str = "arrived", done: str = "done", idle: float = IDLE) -> DataFrame:
+    """Rows that arrive when the one taken before, in whatever micro-batch, is
+    ``done``; the others are dropped."""
+    return _folded(stream, key, seq, free_step, (None,), [arrived, done], "taken boolean", "busy double", idle).where("taken").drop("taken")
 
 
 def _steady(a: tuple, b: tuple) -> bool:
@@ -60,9 +89,9 @@ def _steady(a: tuple, b: tuple) -> bool:
 GATE = "seq long, should_capture boolean, is_stable boolean, is_eligible boolean, did_reset boolean, best_seq long, best_score double"
 
 
-def gate_step(state: dict, seq: int, box: tuple | None, sharp: bool, moving: bool, score: float) -> tuple:
+def gate_step(state: dict, seq: int, box: tuple | None, sharp: bool, known: bool, moving: bool, score: float) -> tuple:
     """One frame through the gate; ``state`` holds the box before, the counts,
-    whether it has fired, and the ring of sharp frames."""
+    whether it has fired, and the ring of frames ``known`` to be sharp."""
     fired = state["fired"]
     if box is None:
         state.update(before=None, stable=0, focused=0)
@@ -80,7 +109,7 @@ def gate_step(state: dict, seq: int, box: tuple | None, sharp: bool, moving: boo
     eligible = sharp and not moving
     state["focused"] = state["focused"] + 1 if eligible else 0
     state["before"] = box
-    if sharp:
+    if known:
         state["ring"].append((seq, score))
     if fired:
         return seq, False, False, False, False, None, None
@@ -109,8 +138,8 @@ class CaptureGate(StatefulProcessor):
             state["ring"].extend((int(a), float(b)) for a, b in self.ring.get())
         batch = pd.concat([*rows]).sort_values("seq", kind="stable")
         out = []
-        for seq, there, x, y, w, h, sharp, moving, score in zip(*(batch[c].tolist() for c in ("seq", "there", "x", "y", "w", "h", "is_sharp", "moving", "score"))):
-            out.append(gate_step(state, seq, (x, y, w, h) if there else None, bool(sharp), bool(moving), score))
+        for seq, there, x, y, w, h, sharp, known, moving, score in zip(*(batch[c].tolist() for c in ("seq", "there", "x", "y", "w", "h", "is_sharp", "known", "moving", "score"))):
+            out.append(gate_step(state, seq, (x, y, w, h) if there else None, bool(sharp), bool(known), bool(moving), score))
         self.gate.update((*(state["before"] or (None,) * 4), state["stable"], state["focused"], state["fired"]))
         self.ring.put([*state["ring"]]) if state["ring"] else self.ring.clear()
         names = [part.split()[0] for part in GATE.split(", ")]
@@ -126,7 +155,7 @@ def gate(stream: DataFrame, session: str = "session_id", seq: str = "seq", score
     """The capture gate on a stream of frames (box struct or null, is_sharp,
     is_adjusting): the decision of each frame, and with a capture the best of
     the last sharp frames.  Frames with an ``error`` pass by the state; null
-    means sharp, not adjusting."""
+    means sharp for the gate, though not for the ring, and not adjusting."""
     kind = stream.schema[session].dataType.simpleString()
     if "error" in stream.columns:
         stream = stream.where("error is null")
@@ -136,6 +165,6 @@ def gate(stream: DataFrame, session: str = "session_id", seq: str = "seq", score
         moving = moving | flag("is_settling", False)
     cut = stream.select(
         F.col(session).alias("session_id"), F.col(seq).cast("long").alias("seq"), F.col("box").isNotNull().alias("there"),
-        *(F.coalesce(F.col(f"box.{n}"), F.lit(0.0)).alias(n) for n in "xywh"), flag("is_sharp", True).alias("is_sharp"), moving.alias("moving"), F.col(score).cast("double").alias("score"),
+        *(F.coalesce(F.col(f"box.{n}"), F.lit(0.0)).alias(n) for n in "xywh"), flag("is_sharp", True).alias("is_sharp"), flag("is_sharp", False).alias("known"), moving.alias("moving"), F.col(score).cast("double").alias("score"),
     )
     return cut.groupBy("session_id").transformWithStateInPandas(CaptureGate(), f"session_id {kind}, {GATE}", "Append", "None").withColumnRenamed("session_id", session)

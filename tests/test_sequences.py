@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -36,6 +37,8 @@ def test_best_frame_is_the_earliest_of_the_best(spark):
     assert [tuple(r) for r in gate.best_frames(rows).collect()] == [(0, 2, 0, 1.0)]
 
 
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 THROTTLE = [(10.0, True), (10.25, True), (10.30, False), (10.51, True)]
 REFOCUS = [(10.0, 0.5, "focused", True), (10.2, 0.7, "focused", False), (10.9, 0.7, "focused", True), (11.8, 0.71, "tooBlurry", False), (12.1, 0.71, "tooBlurry", True), (12.2, 0.1, "focused", False)]
 
@@ -58,6 +61,8 @@ def test_stream_equals_batch(spark, tmp_path):
     for part in range(3):
         spark.createDataFrame(rows[part * 100 : part * 100 + 100], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set(NO_DATA, "false")
     for op, batch, column in ((stateful.throttle, folds.throttle, "accepted"), (stateful.refocus, folds.refocus, "requested")):
         name = f"out_{column}"
         q = op(stream, ["k"]).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}").start()
@@ -174,3 +179,62 @@ def test_reading_order_of_boxes_without_one(spark):
                 at -= 1
             done.insert(at, item)
         assert got[k] == "\n".join(x[0] for x in done)
+
+
+def _streamed(spark, tmp_path, rows, op, parts):
+    """The rows of ``op`` on a stream of ``parts`` files, restarted after each."""
+    for part in range(parts):
+        rows.where(F.col("part") == part).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+        stream = stateful.frames(spark, f"{tmp_path}/in", rows.schema)
+        q = op(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/mark").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.parquet(f"{tmp_path}/out")
+
+
+def test_throttle_resets_in_batch_and_on_a_restarted_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set(NO_DATA, "false")
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(k, i, i * 0.1 + rng.random() / 20, rng.random() < 0.2, i // 20) for k in range(5) for i in range(60)], "k int, seq int, t double, again boolean, part int")
+    batch = folds.throttle(rows, ["k"], ["seq"], reset="again")
+    got = _streamed(spark, tmp_path, rows, lambda s: stateful.throttle(s, ["k"], reset="again"), 3)
+    key = lambda df: sorted((r["k"], r["seq"], r["accepted"]) if r["accepted"] is not None else (r["k"], r["seq"]) for r in df.collect())
+    assert key(got) == key(batch) and got.where("again and accepted is not null").count() == 0
+    plain = folds.throttle(rows, ["k"], ["seq"])
+    assert batch.where("accepted").count() > plain.where("accepted and not again").count()
+
+
+def test_late_frames_are_dropped_across_micro_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set(NO_DATA, "false")
+    rng = random.Random(10)
+    rows = spark.createDataFrame([(k, i, i * 0.1, i * 0.1 + rng.random() * 0.5, i // 20) for k in range(6) for i in range(60)], "k int, seq int, arrived double, done double, part int")
+    got = _streamed(spark, tmp_path, rows, lambda s: stateful.on_time(s, ["k"]), 3)
+    key = lambda df: sorted((r["k"], r["seq"]) for r in df.collect())
+    assert key(got) == key(gate.on_time(rows, "k")) and 0 < got.count() < 360
+
+
+def test_state_of_silent_keys_ends(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set(NO_DATA, "false")
+    rows = spark.createDataFrame([(k, i, float(i), part) for part, keys in ((0, range(20)), (1, [99]), (2, [99])) for k in keys for i in range(3)], "k int, seq int, t double, part int")
+
+    def waiting(stream):
+        time.sleep(2.5)
+        return stateful.throttle(stream, ["k"], idle=2.0)
+
+    got = _streamed(spark, tmp_path, rows, waiting, 3)
+    kept = spark.read.format("statestore").option("stateVarName", "kept").load(f"{tmp_path}/mark")
+    assert {r["key"][0] for r in kept.collect()} <= {99}
+    assert got.where("k = 99 and seq = 0 and accepted").count() == 2  # silent for longer than idle, so it begins anew
+
+
+def test_frames_of_unknown_sharpness_are_not_remembered(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set(NO_DATA, "false")
+    rows = [(s, i, *R, sharp, 1.0 + i, i // 2) for s, flags in enumerate([[None] * 4, [True, None, None], [True, True, None], [False, None, None, None], [None, True, True]]) for i, sharp in enumerate(flags)]
+    df = spark.createDataFrame(rows, "session_id int, seq int, x double, y double, w double, h double, is_sharp boolean, score double, part int").withColumn("box", F.struct("x", "y", "w", "h")).withColumn("is_adjusting", F.lit(False))
+    batch = sorted(tuple(r) for r in gate.best_frames(gate.decisions(df)).collect())
+    got = _streamed(spark, tmp_path, df, stateful.gate, 2).where("should_capture")
+    assert batch == sorted((r["session_id"], r["seq"], r["best_seq"], r["best_score"]) for r in got.where("best_seq is not null").collect())
+    assert batch == [(1, 2, 0, 1.0), (2, 2, 1, 2.0), (4, 2, 2, 3.0)] and got.count() == 5
