@@ -29,8 +29,10 @@ from .common import table, written
 _NAMES = r"/?(?:INST\]|s>|ROLE[ \]])"
 _CONTROL = r"([<\[])(\\*)(" + _NAMES + ")"
 _ESCAPED = r"([<\[])\\(\\*)(" + _NAMES + ")"
-_TURN = r"(?s)\[INST\].*?\[/INST\]|<s>.*?</s>|\[ROLE(?: (?:[^\]\\]|\\.)*)?\].*?\[/ROLE\]"
-_ROLE = r"(?s)^\[ROLE (?:(?:[^\]\\]|\\.)*)\]"
+# A role's name; possessive, so that a long one takes no stack.
+_NAME = r"[^\]\\]*+(?:\\.[^\]\\]*+)*+"
+_TURN = rf"(?s)\[INST\].*?\[/INST\]|<s>.*?</s>|\[ROLE(?: {_NAME})?\].*?\[/ROLE\]"
+_ROLE = rf"(?s)^\[ROLE {_NAME}\]"
 
 
 def escape(text: Column) -> Column:

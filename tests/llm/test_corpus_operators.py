@@ -193,6 +193,13 @@ def test_chat_with_circles_of_parents_ends(spark):
     assert got == [(1, 7, "[INST]m6[/INST][INST]m7[/INST]"), (3, 2, "[INST]m1[/INST][INST]m2[/INST]"), (3, 3, "[INST]m1[/INST][INST]m3[/INST]")]
 
 
+def test_chat_with_very_long_roles(spark):
+    rows = [(i, i, role * n, "text") for i, (role, n) in enumerate([("r", 100_000), ("]\\", 50_000), ("ab]", 40_000), ("\\", 100_000), ("\n", 3000)])]
+    df = spark.createDataFrame(rows, "i int, tree int, role string, text string").withColumn("said", chat.turn(F.col("role"), F.col("text")))
+    for r in df.select("role", "text", chat.parse(F.col("said")).alias("back")).collect():
+        assert [tuple(b) for b in r["back"]] == [(r["role"], r["text"])]
+
+
 def test_chat_of_odd_rows(spark):
     rows = [(1, 0, "user", None), (1, 0, "user", None), (None, 5, None, "x"), (2, None, "assistant", "y")]
     df = chat.chains(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
