@@ -152,6 +152,22 @@ def insert_if_absent(spark, sf):
     return keys.missing(_table(spark, sf, "customer", "c_custkey", "c_name").dropDuplicates(["c_custkey"]), _table(spark, sf, "orders", "o_custkey as c_custkey"), "c_custkey")
 
 
+@query("""
+SELECT c_custkey, c_custkey % 3 <> 0 AS fresh, count(o_orderkey) FILTER (WHERE c_custkey % 3 <> 0) AS children, sum(o_orderkey) FILTER (WHERE c_custkey % 3 <> 0) AS child_keys
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
+""")
+def insert_records(spark, sf):
+    """Customers with their orders onto a table that has a third of them: what
+    is there stays, the others come with their children."""
+    orders = _table(spark, sf, "orders", "o_custkey as c_custkey", "o_orderkey").groupBy("c_custkey").agg(F.collect_list("o_orderkey").alias("keys"))
+    records = _table(spark, sf, "customer", "c_custkey", "c_name").join(orders, "c_custkey", "left")
+    stored = records.where("c_custkey % 3 = 0").select("c_custkey")
+    new = keys.missing(records, stored, "c_custkey")
+    children = new.select("c_custkey", F.explode("keys").alias("k")).groupBy("c_custkey").agg(F.count("k").alias("children"), F.sum("k").alias("child_keys"))
+    parents = stored.withColumn("fresh", F.lit(False)).unionByName(new.select("c_custkey").withColumn("fresh", F.lit(True)))
+    return parents.join(children, "c_custkey", "left").select("c_custkey", "fresh", F.coalesce("children", F.lit(0).cast("long")).alias("children"), "child_keys")
+
+
 @query("""
 WITH r AS (SELECT sha256(text) AS h, min(doc_id) AS first_id FROM documents GROUP BY 1)
 SELECT d.doc_id, r.first_id FROM documents d LEFT JOIN r ON sha256(d.text) = r.h
