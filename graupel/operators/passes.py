@@ -63,6 +63,18 @@ def failed(reports: DataFrame, key: str) -> DataFrame:
     return sums.where("coalesce(n, 0) = 0 and errors > 0").select(key)
 
 
+def outcomes(reports: DataFrame, key: str, place: str | Column, raising: bool = False) -> DataFrame:
+    """For each key the number of its observations, and the first error in the
+    order of ``place`` where there is none of them though some pass failed;
+    with ``raising`` that error ends the job."""
+    first = F.min(F.when(F.col("error").isNotNull(), F.struct((F.col(place) if isinstance(place, str) else place).alias("place"), "error")))["error"]
+    sums = reports.groupBy(key).agg(F.coalesce(F.sum("observations"), F.lit(0)).cast("long").alias("n"), first.alias("error"))
+    error = F.when(F.col("n") == 0, F.col("error"))
+    if raising:
+        error = F.when(error.isNotNull(), F.raise_error(error)).cast("string")
+    return sums.select(key, "n", error.alias("error"))
+
+
 def completed(captures: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """Captures with their names, null where none was found."""
     return captures.join(names, key, "left")

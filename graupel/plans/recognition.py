@@ -133,6 +133,18 @@ def pixel_masks(spark, sf):
 # ---- candidates of several passes ---------------------------------------------------
 
 
+@query("""
+WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n,
+  CASE WHEN l_partkey % 3 = 0 THEN 'pass ' || l_linenumber || ' of ' || l_partkey END AS error, CASE WHEN l_suppkey % 4 = 0 THEN l_suppkey % 3 END AS observations FROM lineitem),
+s AS (SELECT l_orderkey, CAST(coalesce(sum(observations), 0) AS BIGINT) AS n, arg_min(error, n) FILTER (WHERE error IS NOT NULL) AS error FROM r GROUP BY l_orderkey)
+SELECT l_orderkey, n, CASE WHEN n = 0 THEN error END AS error FROM s
+""")
+def first_failures(spark, sf):
+    """Passes that failed or found nothing: the first error of orders without any observation."""
+    rows = _table(spark, sf, "lineitem", "l_orderkey", "struct(l_linenumber, l_partkey, l_suppkey) as place", "if(l_partkey % 3 = 0, concat('pass ', l_linenumber, ' of ', l_partkey), null) as error", "if(l_suppkey % 4 = 0, l_suppkey % 3, null) as observations")
+    return passes.outcomes(rows, "l_orderkey", "place")
+
+
 @query("""
 WITH l AS (SELECT l_orderkey, l_partkey % 4 AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n,
   ['カ', 'ｶ', ' カ'][1 + l_suppkey % 3] || [['1', '①', '１'], ['ａ', 'A', 'a'], ['ﬁ', 'fi', 'FI'], ['㍍', 'メートル', 'ﾒｰﾄﾙ']][1 + l_partkey % 4][1 + l_linenumber % 3] AS said FROM lineitem),

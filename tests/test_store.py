@@ -230,3 +230,13 @@ def test_records_and_issues(spark):
 
 def test_iso_time(spark):
     assert spark.sql("select timestamp'2024-05-01 10:20:30.123' as t").select(store.iso(F.col("t")).alias("x")).first()["x"] == "2024-05-01T10:20:30.123Z"
+
+
+def test_first_error_of_passes_without_observations(spark):
+    from graupel.operators import passes
+
+    rows = spark.createDataFrame([(1, 1, "late", 0), (1, 0, "early", None), (2, 0, "lost", 0), (2, 1, None, 2), (3, 0, None, 0)], "k int, place int, error string, observations int")
+    assert sorted(tuple(r) for r in passes.outcomes(rows, "k", "place").collect()) == [(1, 0, "early"), (2, 2, None), (3, 0, None)]
+    with pytest.raises(Exception, match="early"):
+        passes.outcomes(rows, "k", "place", raising=True).collect()
+    assert passes.outcomes(rows.where("k > 1"), "k", "place", raising=True).count() == 2
