@@ -451,3 +451,58 @@ def test_html_broken_tags_cost_what_their_length_is(page):
     began = time.process_time()
     html.main_text(page)
     assert time.process_time() - began < 10
+
+
+# ---- secrets: shifted frames, bare deflate, wide text, short lines, seams, many escapes ----
+
+
+def bare(raw):
+    d = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return d.compress(raw) + d.flush()
+
+
+@pytest.mark.parametrize("prefix", ["x", "id", "ab/", "key/", "path/", "id_tok", "a-b-c-d", "example/t", "https://h.example/t/"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress, bare, base64.b64encode, lambda b: b.decode().encode("utf-16"), lambda b: b.decode().encode("utf-32-be")], ids=["plain", "gzip", "zlib", "bz2", "bare", "twice", "utf-16", "utf-32"])
+def test_base64_behind_letters_of_its_alphabet(prefix, pack):
+    for secret in (b"password=hunter2hunter2", b"note: token=abcdef"):
+        token = prefix + base64.b64encode(pack(secret)).decode()
+        text = f"words {token} words"
+        spans = secrets.layer_spans(text, secrets.base_spans(text))[0]
+        assert any(k == 0 and a <= 6 + len(prefix) and b == 6 + len(token) for a, k, b in spans), (token, spans)
+
+
+@pytest.mark.parametrize("width", [4, 8, 20, 59, 64])
+def test_base64_in_short_lines(width):
+    token = base64.b64encode(bare(b"some words in front of it, password=hunter2hunter2")).decode()
+    lines = "\n".join(token[i : i + width] for i in range(0, len(token), width))
+    text = f"see: {lines}\n\nend"
+    spans = secrets.layer_spans(text, secrets.base_spans(text))[0]
+    assert any(k == 0 and a <= 5 and b >= 5 + len(lines) for a, k, b in spans)
+
+
+def test_wrapped_base64_over_a_seam_of_a_large_layer(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_LAYER", 1 << 14)
+    monkeypatch.setattr(secrets, "CHUNK", 1 << 12)
+    token = base64.b64encode(b"a long enough text in front of the secret, password=hunter2hunter2, and some more").decode()
+    block = "\n".join(token[i : i + 24] for i in range(0, len(token), 24))
+    for at in range((1 << 14) - 160, (1 << 14) + 20, 9):
+        layer = ("plain words, and more.\n" * 2000)[:at] + "\n\n" + block + "\n\n" + "plain words, and more.\n" * 500
+        outer = base64.b64encode(gzip.compress(layer.encode())).decode()
+        assert secrets.layer_spans(outer, [])[0] == {(0, 0, len(outer))}, at
+
+
+def test_many_escapes_and_secrets_map_in_linear_time():
+    line = r"AB words and password=hunter2hunter2 " + r"C D E " * 3
+    text = line * 10_000
+    began = time.time()
+    spans = secrets.layer_spans(text, secrets.base_spans(text))[0]
+    assert len(spans) == 10_000 and time.time() - began < 10
+    assert all(text[a:b] == "password=hunter2hunter2" for a, _, b in spans)
+
+
+def test_long_runs_without_a_layer_cost_what_their_length_is():
+    rng = random.Random(4)
+    began = time.time()
+    for text in ("a" * 300_000, "word\n" * 60_000, base64.b64encode(rng.randbytes(200_000)).decode()):
+        assert secrets.layer_spans(text, [])[0] == set()
+    assert time.time() - began < 15
