@@ -185,25 +185,36 @@ def dilated(mask: np.ndarray, radius: int) -> np.ndarray:
 
 def labelled(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """4-connected components as (x, y, w, h, pixels), in the order of their
-    first pixel, row by row.  Labels spread to the least neighbour until none
-    changes."""
-    n = mask.size
-    label = np.where(mask, np.arange(n).reshape(mask.shape), n)
-    while True:
-        new = label.copy()
-        new[1:] = np.minimum(new[1:], label[:-1])
-        new[:-1] = np.minimum(new[:-1], label[1:])
-        new[:, 1:] = np.minimum(new[:, 1:], label[:, :-1])
-        new[:, :-1] = np.minimum(new[:, :-1], label[:, 1:])
-        new = np.where(mask, new, n)
-        if (new == label).all():
-            break
-        label = new
-    out = []
-    for k in np.unique(label[mask]):
-        y, x = np.nonzero(label == k)
-        out.append((int(x.min()), int(y.min()), int(x.max() - x.min() + 1), int(y.max() - y.min() + 1), len(x)))
-    return out
+    first pixel, row by row: a union of row runs that touch, in two passes."""
+    if not mask.size:
+        return []
+    width = mask.shape[1] + 1  # a blank column keeps the runs of two rows apart
+    flat = np.zeros((mask.shape[0], width), np.int8)
+    flat[:, :-1] = mask
+    turns = np.diff(flat.ravel(), prepend=0)
+    starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+    # of each run, the runs of the row above that share a column: they follow each other
+    first, last = np.searchsorted(ends, starts - width, "right"), np.searchsorted(starts, ends - width, "left")
+    parent = list(range(len(starts)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for k, (low, high) in enumerate(zip(first.tolist(), last.tolist())):
+        for above in range(low, high):
+            one, other = root(k), root(above)
+            parent[max(one, other)] = min(one, other)
+    of = np.unique([root(k) for k in range(len(starts))], return_inverse=True)[1]
+    order = np.argsort(of, kind="stable")
+    at = np.flatnonzero(np.diff(of[order], prepend=-1))
+    if not len(at):
+        return []
+    left, row, right = (starts % width)[order], (starts // width)[order], (ends - 1)[order] % width
+    x, y = np.minimum.reduceat(left, at), np.minimum.reduceat(row, at)
+    w, h = np.maximum.reduceat(right, at) - x + 1, np.maximum.reduceat(row, at) - y + 1
+    return list(zip(*(v.tolist() for v in (x, y, w, h, np.add.reduceat((ends - starts)[order], at)))))
 
 
 def components(df: DataFrame, key: str, mask_col: str, width_col: str, height_col: str, radius: int = 0) -> DataFrame:

@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g, scores as s, text as t
-from ..operators import folds, gate, grids, keys, observations, passes
+from ..operators import folds, gate, grids, images, keys, observations, passes
 from ..sources import catalogue_feed as feed, lexicon, logs, store
-from .catalogue import _BOX, _BOX_SQL, _CONF, _FRAMES, _FRAMES_SQL, _table, query
+from .catalogue import _BOX, _BOX_SQL, _CONF, _FRAMES, _FRAMES_SQL, _components_sql, _score_sql, _table, query
 
 # ---- regions ---------------------------------------------------------------------
 
@@ -338,3 +338,32 @@ def log_contexts(spark, sf):
     context = F.when(e % 5 == 0, "not json").when(e % 5 == 1, '{"k": 1, "a": [1, "x", {"n": 2}], "o": {"n": 1}, "b": [{}]}').when(e % 5 == 2, '{"token": "abc"}').otherwise(F.col("props"))
     issues = F.when(e % 2 == 0, F.concat(F.lit('{"validations": [{}, null, {"path": ["name", '), e.cast("string"), F.lit(']}, {"path": [null]}]}'))).otherwise("{}")
     return rows.select("event_id", logs.redacted_record(logs.sanitised(context)).alias("kept"), F.array_join(logs.issue_paths(issues), "|").alias("issues"))
+
+
+# ---- from pixels to boxes --------------------------------------------------------
+
+_SHADES = {"red": 400, "green": 300, "blue": 100}
+_PLANES_SQL = ", ".join(f"(least(250, greatest(0, floor(170 + v * {k}))) + 1) / 255 AS {n[0]}" for n, k in _SHADES.items())
+_MASK_SQL = f"""SELECT vec_id, i FROM (
+  SELECT *, avg(l) FILTER (WHERE edge) OVER (PARTITION BY vec_id) AS bl, avg(s) FILTER (WHERE edge) OVER (PARTITION BY vec_id) AS bs FROM (
+    SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS l, (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) AS s, i % 8 < 2 OR i % 8 >= 6 OR i // 8 < 2 OR i // 8 >= 6 AS edge FROM (
+      SELECT vec_id, i, {_PLANES_SQL} FROM v)))
+  WHERE bl > 0.55 AND l < bl - 0.10 AND (s > 0.08 OR l < bl - 0.20) OR s > bs + 0.12 AND abs(l - bl) > 0.04"""
+
+
+@query(_components_sql(_MASK_SQL) + f"""
+, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(pixels / 64.0 * 3 + greatest(0, 1 - least(abs(w / h - 63.0 / 88.0) / (63.0 / 88.0), 1)) * 2, 12) DESC, root) AS n FROM c
+  WHERE w >= 2 AND h >= 2 AND pixels / 64.0 >= 0.035 * 0.45 AND pixels / 64.0 <= 0.86 AND w / h <= 1.25),
+m AS (SELECT vec_id, x / 8.0 AS x, 1 - (y + h) / 8.0 AS y, w / 8.0 AS w, h / 8.0 AS h, w / 8.0 * h / 8.0 AS a, w / h AS r FROM k WHERE n = 1),
+f AS (SELECT *, {_score_sql('0.62', '0.75')} AS score FROM m)
+SELECT e.vec_id, f.x::DOUBLE AS x, f.y::DOUBLE AS y, f.w::DOUBLE AS w, f.h::DOUBLE AS h, round(score, 6)::DOUBLE AS score, a >= 0.035 AND a <= 0.86 AND r <= 1.18 AND r >= 0.32 AND score >= 0.55 AS accepted
+FROM embeddings e LEFT JOIN f ON e.vec_id = f.vec_id
+""")
+def pixels_to_box(spark, sf):
+    """Images of 16 x 16 pixels, one for each vector, analysed at 8 x 8."""
+    shade = "cast(least(250, greatest(0, floor(170 + cast(embedding[(i div 32) * 8 + (i % 16) div 2] as double) * {k}))) + 2 * (i % 2) as int)"
+    plane = "unhex(array_join(transform(sequence(0, 255), i -> lpad(hex({0}), 2, '0')), '')) as {1}"
+    rows = _table(spark, sf, "embeddings", "vec_id", *(plane.format(shade.format(k=k), n) for n, k in _SHADES.items()), "16 as wide", "16 as high")
+    found = images.fallback_detections(rows, tuple(_SHADES), "wide", "high", most=8, radius=0, least=2)
+    box = [F.col(f"box.{n}").alias(n) for n in "xywh"]
+    return found.select("vec_id", *box, F.round("score", 6).alias("score"), (F.size("reasons") == 0).alias("accepted"))

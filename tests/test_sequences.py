@@ -112,6 +112,38 @@ def test_components_equal_search(seed):
     assert grids.labelled(mask) == want
 
 
+def spiral(n):
+    mask = np.zeros((n, n), bool)
+    y, x, dy, dx = 0, 0, 0, 1
+    mask[0, 0] = True
+    inside = lambda a, b: 0 <= a < n and 0 <= b < n
+    while True:
+        for _ in range(2):
+            a, b = y + dy, x + dx
+            if inside(a, b) and not mask[a, b] and not (inside(a + dy, b + dx) and mask[a + dy, b + dx]):
+                break
+            dy, dx = dx, -dy
+        else:
+            return mask
+        y, x = a, b
+        mask[y, x] = True
+
+
+def test_components_of_a_spiral_and_of_odd_masks():
+    mask = spiral(240)
+    began = time.time()
+    found = grids.labelled(mask)
+    took = time.time() - began
+    assert found == [(0, 0, 240, 240, int(mask.sum()))] and mask.sum() > 20_000 and took < 0.5
+    assert grids.labelled(np.zeros((3, 4), bool)) == [] == grids.labelled(np.zeros((0, 0), bool))
+    assert grids.labelled(np.ones((3, 4), bool)) == [(0, 0, 4, 3, 12)]
+    combs = np.zeros((50, 99), bool)
+    combs[:, ::2] = True
+    assert len(grids.labelled(combs)) == 50
+    combs[-1] = True
+    assert grids.labelled(combs) == [(0, 0, 99, 50, int(combs.sum()))]
+
+
 def test_dilation_is_a_square():
     mask = np.zeros((7, 7), bool)
     mask[3, 3] = True
