@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import geometry as g, text as t
 
@@ -91,6 +91,46 @@ def detection(box: Column, confidence: Column, corners: Column | None = None, im
     return t.bound(t.bound(parts, lambda p: F.struct(p["area"].alias("area"), p["bounding"].alias("bounding"), p["ratio"].alias("ratio"), scored(p).alias("score"))), judged)
 
 
+def with_detection(df: DataFrame, name: str, box: str, confidence: Column, corners: str, image_aspect: Column, content: Column | None = None) -> DataFrame:
+    """``df`` with ``name``: struct<convex, ratio, shape, score, reasons>, what
+    ``detection`` gives for boxes with corners, step by step.  Each step is a
+    projection of its own, whose values the next one reads as plain columns, so
+    all is compiled; a value within ``detection`` is bound by an array function,
+    which isn't.  Columns that begin with ``__d_`` are replaced and dropped."""
+    c, b = {n: F.col(corners)[n] for n in ("tl", "tr", "br", "bl")}, F.col(box)
+    p = list(c.values())
+    turns = [f"__d_t{i}" for i in range(4)]
+    turn = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"])
+    span = lambda n: F.greatest(*(k[n] for k in p)) - F.least(*(k[n] for k in p))
+    kept = df.columns
+    df = df.withColumns(
+        {t: turn(p[i], p[(i + 1) % 4], p[(i + 2) % 4]) for i, t in enumerate(turns)}
+        | {
+            "__d_w": (_side(c["tl"], c["tr"]) + _side(c["bl"], c["br"])) / 2, "__d_h": (_side(c["tl"], c["bl"]) + _side(c["tr"], c["br"])) / 2, "__d_sx": span("x"), "__d_sy": span("y"),
+            "__d_area": b["w"] * b["h"], "__d_bounding": F.when(b["h"] > 0, b["w"] * image_aspect / b["h"]).otherwise(0.0), "__d_conf": confidence.cast("double"),
+        }
+    )
+    v = lambda n: F.col(f"__d_{n}")
+    sides = lambda aspect: F.when(v("h") > 0, v("w") * aspect / v("h")).otherwise(0.0)
+    df = df.withColumns({"__d_convex": ~((F.greatest(*turns) > 0.0001) & (F.least(*turns) < -0.0001)), "__d_plain": sides(F.lit(1.0)), "__d_sides": sides(image_aspect)})
+    there = F.col(corners).isNotNull()
+    odd = F.when(v("plain").between(0.28, 1.22) & ~v("plain").isin(0.28, 1.22), 1.0).otherwise(0.35)
+    df = df.withColumns({
+        "__d_shape": F.when(~there, 0.6).when(~v("convex") | (v("sx") <= 0) | (v("sy") <= 0), 0.1).otherwise(odd), "__d_ratio": F.when(there & v("sides").isNotNull(), v("sides")).otherwise(v("bounding")),
+    })
+    held = unit(F.lit(0.5) if content is None else content)
+    df = df.withColumn("__d_score", unit(v("conf")) * 0.30 + area_score(v("area")) * 0.20 + aspect_score(v("ratio")) * 0.20 + held * 0.20 + v("shape") * 0.10)
+    outside = (b["w"] <= 0) | (b["h"] <= 0) | (b["x"] < 0) | (b["y"] < 0) | (b["x"] + b["w"] > 1) | (b["y"] + b["h"] > 1)
+    rules = [
+        ("lowConfidence", v("conf") < MIN_CONFIDENCE), ("invalidBounds", outside), ("tooSmall", v("area") < MIN_AREA), ("tooLarge", v("area") > MAX_AREA),
+        ("unlikelyOrientation", (v("bounding") > 1.25) | (v("ratio") < 0.32) | (v("ratio") > 1.18)), ("poorScore", v("score") < MIN_SCORE),
+    ]
+    df = df.withColumn("__d_why", F.concat_ws(",", *(F.when(rule, reason) for reason, rule in rules)))
+    reasons = F.when(v("why") == "", F.array().cast("array<string>")).otherwise(F.split("__d_why", ","))
+    made = F.struct(*(v(n).alias(n) for n in ("convex", "ratio", "shape", "score")), reasons.alias("reasons"))
+    return df.select(*(F.col(f"`{k}`") for k in kept if k != name), made.alias(name))
+
+
 def title_score(text: Column, confidence: Column, box: Column, region: Column | None = None) -> Column:
     """How likely a recognised line is the title; null where it can't be."""
     placed = F.lit(0.0)

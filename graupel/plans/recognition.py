@@ -76,12 +76,10 @@ def corner_scores(spark, sf):
         f"'br', {at(f'{x} + {w}', y)}, 'bl', {at(x, f'{y} + (l_partkey % 4) * 0.0319D')}) as corners"
     )
     rows = _table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _CONF, _BOX).selectExpr("*", corners)
-    c, aspect = F.col("corners"), F.lit(0.7531)
-    rows = rows.select(
-        "l_orderkey", "l_linenumber", s.is_convex(c).alias("convex"), F.round(s.side_aspect(c, aspect), 6).alias("ratio"), s.shape_score(c).alias("shape"),
-        s.detection(F.col("box"), F.col("confidence"), c, aspect).alias("d"),
-    )
-    return rows.select("l_orderkey", "l_linenumber", "convex", "ratio", "shape", F.round("d.score", 6).alias("score"), F.array_contains("d.reasons", "unlikelyOrientation").alias("turned"))
+    rows = s.with_detection(rows, "d", "box", F.col("confidence"), "corners", F.lit(0.7531))
+    return rows.select(
+        "l_orderkey", "l_linenumber", "d.convex", F.round("d.ratio", 6).alias("ratio"), "d.shape", F.round("d.score", 6).alias("score"), F.array_contains("d.reasons", "unlikelyOrientation").alias("turned")
+    )
 
 
 # ---- grids -----------------------------------------------------------------------

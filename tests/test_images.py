@@ -65,3 +65,25 @@ def test_reduction_is_the_mean_of_what_is_covered():
         for x in range(7):
             part = plane[y * 37 // 10 : (y + 1) * 37 // 10, x * 23 // 7 : (x + 1) * 23 // 7]
             assert small[y, x] == pytest.approx(part.mean())
+
+
+def test_detection_step_by_step_equals_the_expression(spark):
+    from graupel.functions import scores as s
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(400):
+        x, y, w, h = rng.random(4) * (0.6, 0.6, 0.7, 0.7)
+        at = lambda a, b: (float(a + rng.normal(0, 0.1)), float(b + rng.normal(0, 0.1)))
+        corners = None if i % 9 == 0 else (at(x, y + h), at(x + w, y + h), at(x + w, y), at(x, y))
+        rows.append((i, None if i % 50 == 7 else (float(x), float(y), float(w) if i % 11 else 0.0, float(h) if i % 13 else 0.0), float(rng.random() * 1.2), corners, 1))
+    xy = "struct<x: double, y: double>"
+    df = spark.createDataFrame(rows, f"id int, box struct<x: double, y: double, w: double, h: double>, c double, corners struct<tl: {xy}, tr: {xy}, br: {xy}, bl: {xy}>, __d_w int")
+    got = s.with_detection(df, "d", "box", F.col("c"), "corners", F.lit(0.7531)).select("id", "d.*")
+    want = df.select("id", s.is_convex(F.col("corners")).alias("convex"), s.shape_score(F.col("corners")).alias("shape"), s.detection(F.col("box"), F.col("c"), F.col("corners"), F.lit(0.7531)).alias("e"))
+    seen = 0
+    both = got.join(want.select("id", F.col("shape").alias("sh"), F.col("e.score").alias("b"), F.col("e.reasons").alias("rb")), "id")
+    for r in both.withColumnsRenamed({"score": "a", "reasons": "ra"}).collect():
+        assert r["a"] == (None if r["b"] is None else pytest.approx(r["b"], abs=1e-12)) and r["ra"] == r["rb"] and r["shape"] == r["sh"], r
+        seen += bool(r["ra"])
+    assert 50 < seen < 400
