@@ -7,13 +7,16 @@ in its SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as g, rules as r, scores as s, text as t
 from ..operators import folds, gate, grids, keys, passes
-from ..sources import lexicon, logs, store
+from ..session import shared_dir
+from ..sources import lexicon, log_sink, logs, store
+from ..sources.records import Records
 
 FLAGSHIP = "lexicon_groups"
 
@@ -168,6 +171,22 @@ def insert_records(spark, sf):
     return parents.join(children, "c_custkey", "left").select("c_custkey", "fresh", F.coalesce("children", F.lit(0).cast("long")).alias("children"), "child_keys")
 
 
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS run, count(*) OVER (PARTITION BY o_orderstatus = 'F') AS saved, coalesce(lines, 0) AS lines, quantity
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS lines, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+""")
+def nested_records(spark, sf):
+    """Orders with their lines, written as nested rows in two runs: the filled
+    ones, then all, of which the first stay; read back by the views."""
+    lines = _table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("lines"))
+    orders = _table(spark, sf, "orders", "o_orderkey", "o_orderstatus").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    kept = Records(spark, f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}", "o_orderkey long, run int, lines array<struct<l_linenumber: int, l_quantity: double>>", "o_orderkey")
+    saved = [kept.insert(rows.withColumn("run", F.lit(run))) for run, rows in ((1, orders.where("o_orderstatus = 'F'")), (2, orders))]
+    sums = kept.children("lines", "k").groupBy("k").agg(F.count("l_linenumber").alias("lines"), F.sum("l_quantity").alias("quantity"))
+    n = F.when(F.col("run") == 1, saved[0]).otherwise(saved[1]).cast("long")
+    return kept.rows("o_orderkey", "run").join(sums, F.col("o_orderkey") == F.col("k"), "left").select("o_orderkey", "run", n.alias("saved"), F.coalesce("lines", F.lit(0).cast("long")).alias("lines"), "quantity")
+
+
 @query("""
 WITH r AS (SELECT sha256(text) AS h, min(doc_id) AS first_id FROM documents GROUP BY 1)
 SELECT d.doc_id, r.first_id FROM documents d LEFT JOIN r ON sha256(d.text) = r.h
@@ -612,6 +631,18 @@ def log_records(spark, sf):
     )
 
 
+@query("SELECT event_id, 'api' AS service, '[Redacted]' AS token, '[Redacted]' AS auth, event_type AS kind, '[Redacted]' AS body, value FROM events")
+def redacted_log(spark, sf):
+    """Events written as log records by the sink, and read back as JSON."""
+    log_sink.register(spark)
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    headers = F.struct(F.col("props").alias("authorization"), F.col("event_type").alias("kind"))
+    rows = _table(spark, sf, "events").select("event_id", F.col("event_type").alias("token"), F.struct(headers.alias("headers")).alias("req"), F.struct("user_id").alias("body"), "value")
+    rows.write.format("redacted_log").option("base", '{"service": "api"}').mode("append").save(path)
+    back = spark.read.schema("event_id long, service string, token string, req struct<headers: struct<authorization: string, kind: string>>, body string, value double").json(path)
+    return back.select("event_id", "service", "token", F.col("req.headers.authorization").alias("auth"), F.col("req.headers.kind").alias("kind"), "body", "value")
+
+
 @query("SELECT event_id, k AS step, CASE WHEN k = 0 THEN 'started' WHEN 200 + event_id % 300 >= 400 THEN 'failed' ELSE 'completed' END AS event FROM events, (VALUES (0), (1)) v(k)")
 def request_events(spark, sf):
     return logs.lifecycle(_table(spark, sf, "events", "event_id", "200 + event_id % 300 as status")).select("event_id", "step", "event")

@@ -25,3 +25,20 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.join("graupel", os.path.relpath(full, here)))
     context.addPyFile(path)
     context._graupel_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the session has none, a session on one machine gets a temporary folder
+    as its checkpoint folder; on a cluster that is an error, as executors would
+    each write to their own disks.
+    """
+    context = spark.sparkContext
+    path = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="graupel-"))
+        path = context.getCheckpointDir()
+    return path

@@ -48,6 +48,18 @@ def redacted(path: Column, value: Column) -> Column:
     return F.when(path.isin(*REDACTED), F.lit(MARK)).otherwise(value)
 
 
+def masked(record: dict) -> dict:
+    """The record, changed in place: its values at the REDACTED paths are marks."""
+    for path in REDACTED:
+        *way, last = path.split(".")
+        at = record
+        for step in way:
+            at = at.get(step) if isinstance(at, dict) else None
+        if isinstance(at, dict) and last in at:
+            at[last] = MARK
+    return record
+
+
 @F.pandas_udf(StringType())
 def redacted_record(records: pd.Series) -> pd.Series:
     """JSON objects with the values at the REDACTED paths replaced by the mark;
@@ -60,14 +72,7 @@ def redacted_record(records: pd.Series) -> pd.Series:
             return text
         if not isinstance(value, dict):
             return text
-        for path in REDACTED:
-            *way, last = path.split(".")
-            at = value
-            for step in way:
-                at = at.get(step) if isinstance(at, dict) else None
-            if isinstance(at, dict) and last in at:
-                at[last] = MARK
-        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+        return json.dumps(masked(value), ensure_ascii=False, separators=(",", ":"))
 
     return records.map(one)
 

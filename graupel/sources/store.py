@@ -1,9 +1,8 @@
 """A small table store over Parquet folders: existence, insert if absent,
 keyed upsert, clear, guarded reset, and the incremental synchronisation.
 
-Children are written before their parent, and a parent row marks its record as
-complete: after a run that was cut off, the next one finds the record missing
-and writes what its tables lack, each by an anti-join on its own key.
+A record is one nested row with its children in arrays, so it is there as a
+whole or not at all; the child tables are views of it (``records.Records``).
 """
 
 from __future__ import annotations
@@ -14,15 +13,16 @@ from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.keys import missing
 from . import catalogue_feed as feed
+from .records import Records
 
 SPECIES = "id long, name string, color_name string, evolves_from_species_name string, generation_name string, habitat_name string, is_baby boolean, is_legendary boolean, is_mythical boolean, seeded_at timestamp"
 CHILDREN = {
-    "names": "species_id long, language_name string, name string",
-    "genera": "species_id long, language_name string, genus string",
-    "index_numbers": "species_id long, index_name string, entry_number int",
+    "names": "language_name: string, name: string",
+    "genera": "language_name: string, genus: string",
+    "index_numbers": "index_name: string, entry_number: int",
 }
+RECORDS = SPECIES + "".join(f", {name} array<struct<{fields}>>" for name, fields in CHILDREN.items())
 STATE = "seed_name string, last_successful_sync_at timestamp"
 
 
@@ -60,9 +60,7 @@ class Store:
 
     def prepare(self) -> None:
         """All tables, made where they are missing."""
-        self.create("species", SPECIES)
-        for name, schema in CHILDREN.items():
-            self.create(name, schema)
+        self.create("species", RECORDS)
         self.create("sync_state", STATE)
 
     def reset(self, under: str) -> None:
@@ -74,9 +72,15 @@ class Store:
         self.prepare()
 
     def table(self, name: str) -> DataFrame:
-        schema = {"species": SPECIES, "sync_state": STATE, **CHILDREN}[name]
+        if name in CHILDREN:
+            return self.records().children(name, "species_id")
         self.exists(name)
-        return self.spark.read.schema(schema).parquet(self.path(name))
+        return self.spark.read.schema({"species": SPECIES, "sync_state": STATE}[name]).parquet(self.path(name))
+
+    def records(self) -> Records:
+        """The species with their children."""
+        self.exists("species")
+        return Records(self.spark, self.path("species"), RECORDS, "id")
 
     def overwrite(self, name: str, df: DataFrame) -> None:
         """A table's new content, written beside it and moved into its place;
@@ -92,23 +96,12 @@ class Store:
         fs.delete(old, True)
 
     def clear(self) -> None:
-        for name in [*CHILDREN, "species"]:
-            self.overwrite(name, self.table(name).limit(0))
+        self.overwrite("species", self.records().rows().limit(0))
 
     def insert(self, species: DataFrame, at: datetime) -> int:
         """Records whose id isn't there; returns how many.  A name that another
         record has is an error."""
-        new = missing(species.dropDuplicates(["id"]), self.table("species"), "id").cache()
-        twice = new.select("name").unionByName(self.table("species").select("name")).groupBy("name").count().where("count > 1")
-        if not twice.isEmpty():
-            raise ValueError(f"duplicate name: {twice.first()['name']}")
-        saved = new.count()
-        for name in CHILDREN:
-            rows = missing(feed.children(new, name), self.table(name), "species_id")
-            rows.select(self.table(name).columns).write.mode("append").parquet(self.path(name))
-        new.drop(*CHILDREN).withColumn("seeded_at", F.lit(at)).write.mode("append").parquet(self.path("species"))
-        new.unpersist()
-        return saved
+        return self.records().insert(species.withColumn("seeded_at", F.lit(at)), unique=("name",))
 
     def mark(self, seed: str, at: datetime) -> None:
         row = self.spark.createDataFrame([(seed, at)], STATE)
