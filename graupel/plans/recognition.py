@@ -71,14 +71,16 @@ def corner_scores(spark, sf):
     """Detections with corners on images that aren't square."""
     at = lambda x, y: f"named_struct('x', {x}, 'y', {y})"
     x, y, w, h = "box.x", "box.y", "box.w", "box.h"
+    by = lambda key, n, step: f"cast(({key} % {n}) * {step}BD as double)"  # noqa: E731  an exact decimal, as a double may miss it by a digit
     corners = (
-        f"named_struct('tl', {at(f'{x} + (l_partkey % 3) * 0.0213D', f'{y} + {h}')}, 'tr', {at(f'{x} + {w} - (l_suppkey % 5) * 0.1031D', f'{y} + {h} - (l_suppkey % 7) * 0.0517D')}, "
-        f"'br', {at(f'{x} + {w}', y)}, 'bl', {at(x, f'{y} + (l_partkey % 4) * 0.0319D')}) as corners"
+        f"named_struct('tl', {at(f'{x} + ' + by('l_partkey', 3, '0.0213'), f'{y} + {h}')}, 'tr', {at(f'{x} + {w} - ' + by('l_suppkey', 5, '0.1031'), f'{y} + {h} - ' + by('l_suppkey', 7, '0.0517'))}, "
+        f"'br', {at(f'{x} + {w}', y)}, 'bl', {at(x, f'{y} + ' + by('l_partkey', 4, '0.0319'))}) as corners"
     )
     rows = _table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _CONF, _BOX).selectExpr("*", corners)
     rows = s.with_detection(rows, "d", "box", F.col("confidence"), "corners", F.lit(0.7531))
+    six = lambda c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6  # noqa: E731  of the double, as SQL rounds it; Spark's round is of its shortest decimal
     return rows.select(
-        "l_orderkey", "l_linenumber", "d.convex", F.round("d.ratio", 6).alias("ratio"), "d.shape", F.round("d.score", 6).alias("score"), F.array_contains("d.reasons", "unlikelyOrientation").alias("turned")
+        "l_orderkey", "l_linenumber", "d.convex", six("d.ratio").alias("ratio"), "d.shape", six("d.score").alias("score"), F.array_contains("d.reasons", "unlikelyOrientation").alias("turned")
     )
 
 
