@@ -39,8 +39,10 @@ def squeezed(text: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    """No white space of any kind at the ends."""
-    return F.reverse(F.regexp_replace(F.reverse(F.regexp_replace(text, f"^{SPACE}+", "")), f"^{SPACE}+", ""))
+    """No white space of any kind at the ends; a text without is left as it is."""
+    cut = F.reverse(F.regexp_replace(F.reverse(F.regexp_replace(text, f"^{SPACE}+", "")), f"^{SPACE}+", ""))
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(F.rlike(ends, F.lit(SPACE)), cut).otherwise(text)
 
 
 def bound(value: Column, of) -> Column:
@@ -158,10 +160,13 @@ def language(text: Column) -> Column:
 
 def plausible_title(text: Column) -> Column:
     """4 to 20 characters, letters, blanks, - and ' alone, a vowel, and not
-    mostly capitals."""
+    mostly capitals.  The rule that fails soonest is asked first, and each only
+    where those before it hold; conditions joined by & may all be evaluated."""
     upper, lower = F.regexp_count(text, F.lit(r"[\p{Lu}\p{Lt}]")), F.regexp_count(text, F.lit(r"\p{Ll}"))
-    shaped = graphemes(text).between(4, 20) & F.rlike(text, F.lit(r"^[\p{L}\p{M} '-]*$")) & F.rlike(text, F.lit("[AEIOUaeiou]"))
-    return F.when(text.isNotNull(), F.when(shaped, ~((upper > lower) & (lower <= 1))).otherwise(False))
+    plausible = ~((upper > lower) & (lower <= 1))
+    for rule in (graphemes(text).between(4, 20), F.rlike(text, F.lit("[AEIOUaeiou]")), F.rlike(text, F.lit(r"^[\p{L}\p{M} '-]*$")), F.length(text) >= 4):
+        plausible = F.when(rule, plausible).otherwise(False)
+    return F.when(text.isNotNull(), plausible)
 
 
 def needs_another_pass(text: Column, dominant: Column) -> Column:
@@ -170,6 +175,14 @@ def needs_another_pass(text: Column, dominant: Column) -> Column:
     return F.when(text.isNull() | differs, True).when(has_script(text), ~has_suffix(text)).otherwise(~plausible_title(text))
 
 
+def satisfies(text: Column, dominant: Column) -> Column:
+    """Whether a title needs no further pass.  Only texts that end in a suffix
+    or are plausible can, which most show at their first characters or their
+    last; scripts and language are looked for in these alone."""
+    may = F.when(has_suffix(text), True).otherwise(plausible_title(text))
+    return F.when(may, ~needs_another_pass(text, dominant)).otherwise(False)
+
+
 def shortened(text: Column, n: int = 18) -> Column:
     """Without white space at the ends; more than ``n`` user-perceived
     characters are cut to ``n`` and three dots."""

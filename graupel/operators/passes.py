@@ -47,9 +47,9 @@ def until_satisfied(results: DataFrame, key: str, place: str, title: str, domina
     """Results of all passes as rows: those up to and with the first whose title
     needs no further pass; all where none is good enough."""
     w = Window.partitionBy(key).orderBy(place)
-    done = ~t.needs_another_pass(F.col(title), F.col(dominant))
-    before = F.coalesce(F.max(F.when(done, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return results.withColumn("__done", before).where("__done = 0").drop("__done")
+    rows = results.withColumn("__good", t.satisfies(F.col(title), F.col(dominant)).cast("int"))  # before the shuffle, which then needs no titles
+    before = F.coalesce(F.max("__good").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__done", before).where("__done = 0").drop("__done", "__good")
 
 
 def with_retry(explicit: Column, plain: Column) -> Column:
