@@ -9,12 +9,13 @@ The same step functions drive the streaming versions.
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import hypot
+from math import hypot, isfinite
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as t
 
@@ -177,27 +178,61 @@ def unique_candidates(candidates: Column) -> Column:
     return t.bound(both, first_of_each)
 
 
-def reading_order(items: Column) -> Column:
-    """An array of struct<text, x, y, w, h> from top to bottom, lines (middles
-    within 0.025) from left to right.
+def before(a: tuple, b: tuple) -> bool:
+    """Whether the box with (middle, x) ``a`` is read before ``b``: higher by
+    more than 0.025, else further left; no null is before anything.  NaN is the
+    largest number, as in SQL."""
+    (p, x), (q, y) = a, b
+    if p is None or q is None:
+        return False
+    apart = abs(p - q)
+    if apart > 0.025 or apart != apart:
+        return p > q or (p != p and q == q)
+    return x is not None and y is not None and (x < y or (y != y and x == x))
+
+
+def reading_order(places: list[tuple]) -> list[int]:
+    """The positions of boxes, each given as (middle, x), from top to bottom,
+    lines (middles within 0.025) from left to right.
 
     Being within 0.025 isn't transitive, so boxes that drift have no one order
     by it, and a sort may refuse the comparison.  Here each item goes, in the
-    array's order, behind the last one that it isn't before: the order of an
+    given order, behind the last one that it isn't before: the order of an
     insertion sort, which is defined for any comparison and is the sorted one
-    wherever there is one.  It compares each two items at most once."""
-    middle = lambda r: r["y"] + r["h"] / 2
-
-    def before(a: Column, b: Column) -> Column:
-        return F.when(F.abs(middle(a) - middle(b)) > 0.025, middle(a) > middle(b)).otherwise(a["x"] < b["x"])
-
-    def placed(done: Column, item: Column) -> Column:
-        back = F.array_position(F.reverse(F.transform(done, lambda other: F.coalesce(before(item, other), F.lit(False)))), False)
-        rest = F.when(back == 0, F.size(done)).otherwise((back - 1).cast("int"))
-        return F.concat(F.slice(done, 1, F.size(done) - rest), F.array(item), F.slice(done, F.size(done) - rest + 1, rest))
-
-    return F.aggregate(items, F.slice(items, 1, 0), placed)
-
-
-def combined_text(items):
-    return F.array_join(F.transform(reading_order(items), lambda r: r["text"]), "\n")
+    wherever there is one.  Where the middles fall into lines that are clearly
+    apart, it is that of a stable sort, which is made instead."""
+    if all(m is not None and x is not None and isfinite(m) and isfinite(x) for m, x in places):
+        line, first, last = {}, None, None
+        for m in sorted({m for m, _ in places}, reverse=True):
+            if last is None or last - m > 0.025:
+                first = m
+            elif first - m > 0.025:
+                break  # a line that drifts
+            line[m], last = -first, m
+        else:
+            return sorted(range(len(places)), key=lambda i: (line[places[i][0]], places[i][1]))
+    done: list[int] = []
+    for i, place in enumerate(places):
+        at = len(done)
+        while at and before(place, places[done[at - 1]]):
+            at -= 1
+        done.insert(at, i)
+    return done
+
+
+@F.arrow_udf(StringType())
+def combined_text(items: pa.Array) -> pa.Array:
+    """The texts of an array of struct<text, x, y, w, h> in reading order, a
+    line each; null texts are left out."""
+    flat = items.flatten()
+    text, x, y, h = (pc.struct_field(flat, n) for n in ("text", "x", "y", "h"))
+    middle, x, text = pc.add(y, pc.divide(h, 2.0)).to_pylist(), x.to_pylist(), text.to_pylist()
+    out, at = [], 0
+    for n in pc.list_value_length(items).to_pylist():
+        if n is None:
+            out.append(None)
+            continue
+        order = reading_order(list(zip(middle[at : at + n], x[at : at + n])))
+        out.append("\n".join(t for i in order if (t := text[at + i]) is not None))
+        at += n
+    return pa.array(out, pa.string())

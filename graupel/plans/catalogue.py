@@ -121,7 +121,7 @@ def json_violations(spark, sf):
     """Orders with their lines as nested JSON, some of it bad: all issues of each."""
     part = "if(l_linenumber = 6 and l_orderkey % 3 = 0, null, struct(concat('p', l_partkey) as name, if(l_suppkey % 29 = 0, 'p', concat('https://shop.test/part/', l_partkey)) as url))"
     lines = _table(spark, sf, "lineitem", "l_orderkey", f"struct(l_linenumber, l_partkey, l_suppkey, l_quantity, if(l_partkey % 23 = 0, -1, cast(l_quantity as long)) as quantity, {part} as part) as line")
-    lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    lines = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     k = F.col("o_orderkey")
     customer = F.when(k % 5 != 0, F.struct(F.col("o_custkey").cast("string").alias("name"), F.concat(F.lit("https://shop.test/customer/"), "o_custkey").alias("url")))
     row = F.struct(
@@ -406,7 +406,7 @@ SELECT l_partkey, n, array_to_string(list_transform(done, lambda o: o.said), chr
 def reading_order_drift(spark, sf):
     """Boxes whose middles drift, so that no order suits all comparisons."""
     rows = _table(spark, sf, "lineitem", "l_partkey", "struct(l_orderkey, l_linenumber, l_suppkey, concat(l_orderkey, '-', l_linenumber) as text, (l_suppkey % 7) / 10.0D as x, (l_orderkey % 40) / 800.0D as y, 0.1D as w, 0.05D as h) as item")
-    items = rows.groupBy("l_partkey").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    items = rows.groupBy("l_partkey").agg(F.sort_array(F.collect_list("item")).alias("items"))
     return items.select("l_partkey", F.size("items").cast("long").alias("n"), folds.combined_text(F.col("items")).alias("text"))
 
 
