@@ -16,13 +16,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from .text import bound, stripped
+from .text import SPACE, bound, stripped
 
 ISSUES = "array<struct<path: string, code: string>>"
 #: Schemes whose URLs have a host.
 _HOSTED = "https?|wss?|ftp"
 _URL = rf"(?is)^(?:(?:{_HOSTED}):[/\\]*[^\s/\\?#<>^|%@:\[\]]+(?::\d*)?(?:[/\\?#].*)?|(?:{_HOSTED}):[/\\]*[^\s/\\?#]*@[^\s/\\?#<>^|%@]+.*|(?:{_HOSTED}):[/\\]*\[[0-9a-f:.]+\].*|(?!(?:{_HOSTED}):)[a-z][a-z0-9+.-]*:.*)$"
 
+#: What isn't white space.
+_SHOWN = SPACE.replace("[", "[^", 1)
+
 
 def _none() -> Column:
     return F.array().cast(ISSUES)
@@ -42,23 +45,18 @@ def _named(path: Column | None) -> Column:
 
 
 class Rule:
-    """``sound`` says of a value that is there and not null whether it has the
-    right type; ``inner`` gives the issues of one that has."""
+    """``issues`` judges a value (VARIANT; null: it isn't there).  Of a value
+    that is there and not null, ``inner`` gives the issues, null where it
+    hasn't the right type."""
 
-    def sound(self, root: Column, at: str) -> Column:
+    def inner(self, value: Column, path: Column | None) -> Column:
         raise NotImplementedError
 
-    def inner(self, root: Column, at: str, path: Column | None) -> Column:
-        return _none()
-
-    def issues(self, root: Column, at: str = "$", path: Column | None = None, nullable: bool = False) -> Column:
-        value = F.variant_get(root, at, "variant")
+    def issues(self, value: Column, path: Column | None = None, nullable: bool = False) -> Column:
         null = _none() if nullable else _issue(_named(path), "null")
-        absent = F.lit("null") if at == "$" else F.lit("missing")
-        return (
-            F.when(value.isNull(), _issue(_named(path), absent)).when(F.is_variant_null(value), null)
-            .when(F.coalesce(self.sound(root, at), F.lit(False)), self.inner(root, at, path)).otherwise(_issue(_named(path), "type"))
-        )
+        absent = "null" if path is None else "missing"
+        unfit = F.when(F.is_variant_null(value), null).otherwise(_issue(_named(path), "type"))
+        return F.when(value.isNull(), _issue(_named(path), absent)).otherwise(F.coalesce(self.inner(value, path), unfit))
 
 
 @dataclass(frozen=True)
@@ -68,13 +66,10 @@ class Text(Rule):
 
     url: bool = False
 
-    def sound(self, root, at):
-        return F.schema_of_variant(F.variant_get(root, at, "variant")) == "STRING"
-
-    def inner(self, root, at, path):
-        said = stripped(F.try_variant_get(root, at, "string"))
-        bad = ~said.rlike(_URL) if self.url else F.length(said) == 0
-        return F.when(bad, _issue(_named(path), "url" if self.url else "blank")).otherwise(_none())
+    def inner(self, value, path):
+        bad = lambda said: ~stripped(said).rlike(_URL) if self.url else ~said.rlike(_SHOWN)
+        judged = bound(F.try_variant_get(value, "$", "string"), lambda said: F.when(bad(said), _issue(_named(path), "url" if self.url else "blank")).otherwise(_none()))
+        return F.when(F.schema_of_variant(value) == "STRING", judged)
 
 
 @dataclass(frozen=True)
@@ -83,56 +78,53 @@ class Whole(Rule):
 
     least: int
 
-    def sound(self, root, at):
-        number = F.try_variant_get(root, at, "double")
-        return F.schema_of_variant(F.variant_get(root, at, "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (number == F.floor(number)) & (F.abs(number) < 2.0**53)
+    def inner(self, value, path):
+        def judged(number: Column) -> Column:
+            sound = F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (number == F.floor(number)) & (F.abs(number) < 2.0**53)
+            return F.when(sound, F.when(number < self.least, _issue(_named(path), "range")).otherwise(_none()))
 
-    def inner(self, root, at, path):
-        return F.when(F.try_variant_get(root, at, "double") < self.least, _issue(_named(path), "range")).otherwise(_none())
+        return bound(F.try_variant_get(value, "$", "double"), judged)
 
 
 @dataclass(frozen=True)
 class Flag(Rule):
-    def sound(self, root, at):
-        return F.schema_of_variant(F.variant_get(root, at, "variant")) == "BOOLEAN"
+    def inner(self, value, path):
+        return F.when(F.schema_of_variant(value) == "BOOLEAN", _none())
 
 
 @dataclass(frozen=True)
 class Nullable(Rule):
     rule: Rule
 
-    def issues(self, root, at="$", path=None, nullable=True):
-        return self.rule.issues(root, at, path, nullable=True)
+    def issues(self, value, path=None, nullable=True):
+        return self.rule.issues(value, path, nullable=True)
 
 
 @dataclass(frozen=True)
 class Each(Rule):
     rule: Rule
 
-    def sound(self, root, at):
-        return F.try_variant_get(root, at, "array<variant>").isNotNull()
-
-    def inner(self, root, at, path):
-        return F.flatten(F.transform(F.try_variant_get(root, at, "array<variant>"), lambda x, i: self.rule.issues(x, "$", _step(path, i))))
+    def inner(self, value, path):
+        return F.flatten(F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x, i: self.rule.issues(x, _step(path, i))))
 
 
 class Record(Rule):
-    """An object with a rule for each of its fields; other fields are free."""
+    """An object with a rule for each of its fields; other fields are free.
+    All fields are taken out at once, as each look-up copies what it finds."""
 
     def __init__(self, **fields: Rule):
         self.fields = fields
 
-    def sound(self, root, at):
-        return F.try_variant_get(root, at, "map<string, variant>").isNotNull()
-
-    def inner(self, root, at, path):
-        return F.concat(*(rule.issues(root, f"{at}.{name}", _step(path, name)) for name, rule in self.fields.items()))
+    def inner(self, value, path):
+        if not self.fields:
+            return F.when(F.try_variant_get(value, "$", "map<string, variant>").isNotNull(), _none())
+        taken = F.try_variant_get(value, "$", "struct<" + ", ".join(f"`{name}`: variant" for name in self.fields) + ">")
+        return bound(taken, lambda o: F.when(o.isNotNull(), F.concat(*(rule.issues(o[name], _step(path, name)) for name, rule in self.fields.items()))))
 
 
 def violations(body: Column, rule: Rule) -> Column:
     """All issues of a JSON text, in the order of the rule's fields."""
-    found = bound(F.try_parse_json(body), lambda root: rule.issues(root))  # parsed once for all leaves
-    return F.when(F.try_parse_json(body).isNull(), _issue(F.lit("<root>"), "json")).otherwise(found)
+    return bound(F.try_parse_json(body), lambda root: F.when(root.isNull(), _issue(F.lit("<root>"), "json")).otherwise(rule.issues(root)))  # parsed once
 
 
 def listed(issues: Column) -> Column:
