@@ -24,8 +24,8 @@ import base64
 import binascii
 import bz2
 import hashlib
-import itertools
 import re
+import tempfile
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import deque
@@ -67,11 +67,9 @@ SHORTEST, DEFLATED = len("token=abcdef"), 14
 #: Bare deflate begins up to so many characters into a token, or behind one that may separate.
 NEAR = 64
 
-#: A decompressed layer of more bytes is scanned as a stream of pieces.
+#: A layer is decompressed in chunks, which are gathered on disk where they are more bytes than this.
 MAX_LAYER = 1 << 24
 CHUNK = 1 << 20
-#: Where no pattern goes on: behind a line end that no base64 line precedes, or a quote before punctuation.
-BREAK = re.compile(r"[^A-Za-z0-9+/_\-\r]\r?\n|[\"'](?=[,)>\]};])")
 
 COLUMNS = "n_assign long, n_access long, n_hex long, base_spans string, spans string, n_layers long"
 
@@ -149,17 +147,12 @@ def _inflated(raw: bytes, rest: list[bytes]) -> Iterator[bytes]:
     rest.append(raw)
 
 
-def _pieces(chunks: Iterator[bytes]) -> Iterator[str]:
-    """The bytes, a character each, in pieces that end behind a break."""
-    kept: list[str] = []
-    for chunk in chunks:
-        text = chunk.decode("latin-1")
-        at = max((m.end() for m in BREAK.finditer(text)), default=0)
-        if at:
-            yield "".join([*kept, text[:at]])
-            kept = []
-        kept.append(text[at:])
-    yield "".join(kept)
+def _gathered(chunks: Iterator[bytes]) -> bytes:
+    """All chunks as one; a large layer isn't held twice for that."""
+    with tempfile.SpooledTemporaryFile(MAX_LAYER) as out:
+        out.writelines(chunks)
+        out.seek(0)
+        return out.read()
 
 
 def _from_base64(token: str) -> list[bytes]:
@@ -226,14 +219,14 @@ def _begins(raw: bytes, at: int) -> bool:
         return False
 
 
-def _opened(token: str, raws: list[bytes], above: frozenset) -> tuple[list[str], set[int]]:
-    """The layers below a token's bytes, a character each byte (the patterns
-    are ASCII, so it doesn't matter what the other bytes mean), and the kinds
-    found in layers that are too large to be held.  Of several readings the
-    first is a layer in any case, the others where they hold anything."""
-    if not raws or token in above:
-        return [], set()
-    seen, texts, kinds = set(), [], set()
+def _opened(token: str, raws: list[bytes]) -> list[str]:
+    """The layers below a token's bytes, whole, a character each byte (the
+    patterns are ASCII, so it doesn't matter what the other bytes mean).  Of
+    several readings the first is a layer in any case, the others where they
+    hold anything."""
+    if not raws:
+        return []
+    seen, texts = set(), []
     packed = [any(_begins(raw, m.start()) for m in MAGIC.finditer(raw)) for raw in raws]
     # bytes, whether bare deflate, whether kept in any case; other frames of a payload's text mean nothing
     work = [(raw, False, k == 0) for k, raw in enumerate(raws) if k == 0 or packed[k] or not any(packed)]
@@ -247,16 +240,8 @@ def _opened(token: str, raws: list[bytes], above: frozenset) -> tuple[list[str],
         seen.add(digest)
         if bare or _packed(raw):
             rest: list[bytes] = []
-            chunks, head, size = _decompressed(raw, []) if bare else _inflated(raw, rest), [], 0
-            for chunk in chunks:
-                head.append(chunk)
-                size += len(chunk)
-                if size > MAX_LAYER and not _packed(head[0]):
-                    for piece in _pieces(itertools.chain(head, chunks)):
-                        kinds |= {k for _, k, _ in layer_spans(piece, base_spans(piece), above | {token})[0]}
-                    head = []
-                    break
-            work += [(x, False, keep) for x in (b"".join(head), *rest)]
+            inner = _gathered(_decompressed(raw, []) if bare else _inflated(raw, rest))
+            work += [(x, False, keep) for x in (inner, *rest)]
             if bare or rest != [raw]:
                 continue
         work += [(raw[m.start() :], False, True) for m in MAGIC.finditer(raw, 1) if _begins(raw, m.start())]
@@ -265,7 +250,7 @@ def _opened(token: str, raws: list[bytes], above: frozenset) -> tuple[list[str],
         text = raw.decode("latin-1")
         if keep or WORTH.search(text):
             texts.append(text)
-    return texts, kinds
+    return texts
 
 
 #: Tokens that carry bytes: a sign that they may be there, their pattern, and how they are read.
@@ -276,20 +261,20 @@ def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def layer_spans(text: str, base: list[tuple[int, int, int]], above: frozenset = frozenset()) -> tuple[set[tuple[int, int, int]], int]:
+def layer_spans(text: str, base: list[tuple[int, int, int]]) -> tuple[set[tuple[int, int, int]], int]:
     """Spans of all layers below ``text`` in the places of ``text``, and how
     many different layers were opened.
 
     Each different layer is opened once; every place that holds it is a link
     from the layer around it, and findings go outwards over all links until
     nothing is new, so repeats are found at each of their places and circles
-    of layers end.  ``above`` are the tokens around a piece of a large layer."""
+    of layers end."""
     root = _digest(text)
     found: dict[bytes, set[tuple[int, int, int]]] = {root: set()}
     links: dict[bytes, list[tuple[bytes, object]]] = {root: []}  # of a layer: the layers that hold it, and where
     fresh = [(root, span) for span in base]
     work: deque = deque([(root, text)])
-    held: dict[tuple, tuple[list[bytes], set[int]]] = {}  # a token's layers, and the kinds in its large ones
+    held: dict[tuple, list[bytes]] = {}  # a token's layers
     while work:
         outer, layer = work.popleft()
         new: list[tuple[bytes, str | None, object]] = []
@@ -304,12 +289,11 @@ def layer_spans(text: str, base: list[tuple[int, int, int]], above: frozenset =
             for m in pattern.finditer(layer):
                 inners: list[str | None] = []
                 if (m[0], read) not in held:
-                    inners, kinds = _opened(m[0], read(m[0]), above)
-                    held[m[0], read] = [_digest(x) for x in inners], kinds
-                digests, kinds = held[m[0], read]
+                    inners = _opened(m[0], read(m[0]))
+                    held[m[0], read] = [_digest(x) for x in inners]
+                digests = held[m[0], read]
                 step = (m.start(), m.end())
                 new += [(digest, inner, step) for digest, inner in zip(digests, inners or [None] * len(digests))]
-                fresh += [(outer, (step[0], k, step[1])) for k in kinds]
         for digest, inner, step in new:
             if digest not in found:  # then its text came along
                 found[digest], links[digest] = set(), []
