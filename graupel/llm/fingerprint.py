@@ -9,7 +9,8 @@ ln c - r (t - b + 1), together with t.  Two documents keep the same (word, t)
 with probability equal to the generalised Jaccard similarity of their weights.
 
 Rows stay where they are between the shuffle that puts documents in order and
-the result: words are exploded, counted and sampled within the partition.
+the result: words are exploded, counted and sampled within the partition, each
+word and count once for all texts of a block.
 
 Cases: null texts count as empty; a text without words has the empty
 fingerprint, which is like itself (1) and unlike any other (0); repeated rows
@@ -27,6 +28,7 @@ from .common import partitions, table
 #: Samples of a fingerprint: the likeness of two has a standard error of at most 0.5 / sqrt(SAMPLES).
 SAMPLES = 64
 NAME_BITS = 28
+BLOCK_BITS = 16
 
 
 def _uniform(h: Column, shift: int, bits: int) -> Column:
@@ -52,15 +54,26 @@ def _samples(term: Column, log_weight: Column) -> list[Column]:
     return out
 
 
-def fingerprints(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+def fingerprints(df: DataFrame, keys: list[str], text_col: str, within: list[str] | None = None) -> DataFrame:
     """``keys`` and ``signature`` (array<int>) of each row that has a word;
     ``keys`` name a row.  Rows that are partitioned by some of the keys already
-    aren't moved."""
+    aren't moved.  A draw depends on a word and its count alone: rows that are
+    equal in ``within`` (some of the keys) share the draws of equal ones, whose
+    rows are gathered in one array; so these keys should name thousands of rows,
+    not millions."""
     words = df.select(*keys, F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("word")).where("word <> ''")
-    terms = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.ln(F.count("*").cast("double")).alias("ln_n"))
-    least = [F.min(x).alias(f"s{k}") for k, x in enumerate(_samples(F.col("term"), F.col("ln_n")))]
-    mixed = [F.pmod(F.xxhash64(f"s{k}"), F.lit(65536)).cast("int") for k in range(SAMPLES)]
-    return terms.groupBy(*keys).agg(*least).select(*keys, F.array(*mixed).alias("signature"))
+    terms = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+    draws = [x.alias(f"s{k}") for k, x in enumerate(_samples(F.col("term"), F.ln(F.col("n").cast("double"))))]
+    names = [f"s{k}" for k in range(SAMPLES)]
+    if within is None:
+        drawn = terms.select(*keys, *draws)
+    else:
+        # the draws are results of the grouping, made before its rows are dealt out
+        # again; the term comes first, as sorting is by the leading key's bits
+        drawn = terms.groupBy("term", "n", *within).agg(F.collect_list(F.struct(*(x for x in keys if x not in within))).alias("rows"), *draws)
+        drawn = drawn.select(*within, F.explode("rows").alias("row"), *names).select(*within, "row.*", *names)
+    mixed = [F.pmod(F.xxhash64(s), F.lit(65536)).cast("int") for s in names]
+    return drawn.groupBy(*keys).agg(*(F.min(s).alias(s) for s in names)).select(*keys, F.array(*mixed).alias("signature"))
 
 
 def said(signature: Column) -> Column:
@@ -105,8 +118,8 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     rows = cut.select("id", "text", F.explode(where).alias("w")).select("id", "text", F.col("w.part").alias("part"), F.col("w.own").alias("own"))
     at = F.row_number().over(Window.partitionBy("part").orderBy(F.col("own").desc(), *order))
-    # more tasks than the session's number: a task's word counts stay in memory
-    return rows.repartition(2 * n, "part").withColumn("at", at)
+    # a task for each part, more than the session's number: a task's word counts stay in memory
+    return rows.repartitionById(n, "part").withColumn("at", at)
 
 
 def op6_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +135,9 @@ def op6_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = F.lit(None).cast(kind)
     three = F.array(*(F.struct(F.lit(k).alias("which"), t.alias("t"), m.alias("about")) for k, (t, m) in enumerate(((F.col("text"), nothing), (F.col("edited"), nothing), (F.lit("-"), about)))))
     three = rows.select("part", "at", F.explode(three).alias("x")).select("part", (F.col("at") * 3 + F.col("x.which")).alias("row"), "x.about", "x.t")
-    marks = fingerprints(three, ["part", "row", "about"], "t")
+    # draws are shared by the rows of a block, so that a part of very many equal ids gathers no endless arrays
+    three = three.withColumn("block", F.shiftright("row", BLOCK_BITS))
+    marks = fingerprints(three, ["part", "block", "row", "about"], "t", ["part", "block"])
     none = F.array().cast("array<int>")
     of = lambda k: F.coalesce(F.max(F.when(F.col("row") % 3 == k, F.col("signature"))), none)
     one = marks.groupBy("part", F.floor(F.col("row") / 3).cast("int").alias("at")).agg(of(0).alias("a"), of(1).alias("b"), F.max("about").alias("about"))

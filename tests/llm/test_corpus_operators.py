@@ -261,6 +261,29 @@ def test_signatures_equal_the_formulas(spark, sf):
     assert [got[i] for i in range(len(texts))] == [drawn(t) for t in texts] and len(texts) > 4
 
 
+def test_shared_draws_equal_the_formulas(spark, sf):
+    texts = ["the cat the cat sat", "the cat sat", "The CAT the", "a " * 300, "", *(t[:300] for t in list(dict(documents(sf)).values())[:20] if t and t.isascii())]
+    df = spark.createDataFrame([(i % 3, i, t) for i, t in enumerate(texts)], "part int, i int, t string").repartition(2, "part")
+    df = fingerprint.fingerprints(df, ["part", "i"], "t", ["part"])
+    assert {r["i"]: r["signature"] for r in df.collect()} == {i: drawn(t) for i, t in enumerate(texts) if t}
+    assert len(texts) > 10 and df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_blocks_of_shared_draws_change_nothing(spark, tmp_path, monkeypatch):
+    rows = [(None if i % 2 else i, f"all of them say {i % 7} " * (1 + i % 3)) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda: collections.Counter(map(tuple, fingerprint.op6_weighted_fingerprint(spark, str(tmp_path)).collect()))
+    whole = run()
+    monkeypatch.setattr(fingerprint, "BLOCK_BITS", 3)
+    assert run() == whole and sum(whole.values()) == 60
+
+
+def test_documents_in_order_have_a_task_for_each_part(spark, sf):
+    rows = fingerprint.in_order(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
+    tasks = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("part").alias("n")).collect()
+    assert {r["n"] for r in tasks} == {1} and len(tasks) > 2
+
+
 def test_likeness_is_fine_enough_to_tell_near_from_nearer(spark):
     word = lambda n: " ".join(f"w{i}" for i in range(n))
     rows = [(j, word(100 + j % 2 * 15) + f" own{j}") for j in range(40)]
