@@ -390,8 +390,13 @@ def region_projection(spark, sf):
 
 @query("SELECT l_orderkey, string_agg(l_returnflag || l_linenumber, chr(10) ORDER BY l_linenumber % 3 DESC, l_extendedprice) AS text, count(*) AS n FROM lineitem GROUP BY l_orderkey")
 def reading_order(spark, sf):
-    rows = _table(spark, sf, "lineitem", "l_orderkey", "struct(concat(l_returnflag, l_linenumber) as text, l_extendedprice / 1e6D as x, (l_linenumber % 3) / 10.0D as y, 0.1D as w, 0.05D as h) as item")
-    return rows.groupBy("l_orderkey").agg(folds.combined_text(F.collect_list("item")).alias("text"), F.count("*").alias("n"))
+    """What the order leaves open is as in the table: by file and row, which a
+    shuffle doesn't keep.  Lines without a price are the last of theirs, those
+    without a text count but are not read."""
+    item = "struct(l_extendedprice is null, _metadata.file_path, _metadata.row_index, concat(l_returnflag, l_linenumber) as text, l_extendedprice as x, (l_linenumber % 3) / 10.0D as y, 0.1D as w, 0.05D as h) as item"
+    rows = _table(spark, sf, "lineitem", "l_orderkey", item)
+    items = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.when(F.col("item.text").isNotNull(), F.col("item")))).alias("items"), F.count("*").alias("n"))
+    return items.select("l_orderkey", F.nullif(folds.combined_text(F.col("items")), F.lit("")).alias("text"), "n")
 
 
 @query("""

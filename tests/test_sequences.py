@@ -1,15 +1,20 @@
 """Gate, throttle, refocus, ordered dedup, grids: batch and stream."""
 
 import json
+import os
 import random
 import time
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from graupel.functions import geometry as g
 from graupel.operators import folds, gate, grids
+from graupel.plans import catalogue
 from graupel.streaming import stateful
 
 R, M, J, K, V = (0.20, 0.15, 0.36, 0.50), (0.34, 0.29, 0.36, 0.50), (0.215, 0.16, 0.37, 0.48), (0.205, 0.145, 0.35, 0.51), (0.19, 0.14, 0.39, 0.52)
@@ -213,6 +218,25 @@ def test_reading_order_of_boxes_without_one(spark):
         assert got[k] == "\n".join(x[0] for x in done)
 
 
+def test_reading_order_of_ties_is_that_of_the_table(spark, tmp_path):
+    """Files of other sizes are read in another order than their names'; prices apart by a hair; no price, no text."""
+    nan, price = float("nan"), 63000.0
+    near = np.nextafter(price, 1e9)
+    first = [(1, 2, 5.0, "A"), (1, 5, 5.0, "R"), (2, 1, None, "A"), (2, 4, nan, "N"), (3, 3, near, "N"), (4, None, 1.0, "A"), (5000, None, 1.0, "A"), (5, 1, 1.0, "A"), (5, None, 2.0, "A"), (5, 3, 1.0, None), (5, 2, 1.0, "R")]
+    second = [(1, 2, 5.0, "N"), (1, 5, 5.0, "A"), (2, 7, 3.0, "R"), (2, 2, None, "R"), (3, 6, price, "A"), *((k, n, 7.0, "ANR"[n % 3]) for k in range(10, 500) for n in (4, 1, 7, 2))]
+    third = [(k, n, 7.0, "R") for k in range(1, 300) for n in (7, 5, 4)]
+    os.mkdir(f"{tmp_path}/lineitem.parquet")
+    for name, rows in (("part-2", second), ("part-1", first), ("part-10", third)):
+        columns = dict(zip(("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag"), (list(c) for c in zip(*rows))))
+        pq.write_table(pa.table(columns, pa.schema([("l_orderkey", pa.int64()), ("l_linenumber", pa.int32()), ("l_extendedprice", pa.float64()), ("l_returnflag", pa.string())])), f"{tmp_path}/lineitem.parquet/{name}.parquet")
+    got = {r["l_orderkey"]: (r["text"], r["n"]) for r in catalogue.queries()["reading_order"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute("set threads = 1")  # with more, SQL leaves ties to chance
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == {k: (text, n) for k, text, n in con.execute("select l_orderkey, text, n from (" + catalogue.oracle_sql()["reading_order"] + ")").fetchall()}
+    assert got[1] == ("A2\nR5\nN2\nA5\nR5\nR7\nR4", 7)
+
+
 def _streamed(spark, tmp_path, rows, op, parts):
     """The rows of ``op`` on a stream of ``parts`` files, restarted after each."""
     for part in range(parts):
